@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .workspace import table
+from . import bpe, quality_rules, token_files
+from .workspace import new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,8 +20,23 @@ def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text and the verdict of the risk-controlled rules."""
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all token ids to ORC and read them back."""
+    path = new_path(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return token_files.with_crc32(token_files.read(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_encoding": op4_bpe_encoding,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
