@@ -8,10 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, quality_rules, token_files
+from . import bpe, decontaminate, jaccard, licenses, quality_model, quality_rules, token_counts, token_files, toxicity
 from .workspace import new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text; a fifth of the labels is held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    held_out = (~quality_model.not_held_out()).alias("held_out")
+    return quality_model.score(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and unigram tokens of every whole text."""
+    return token_counts.count(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,12 +39,26 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every whole text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).drop("text")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of every whole text and the verdict of the risk-controlled rules."""
     out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: one row for each document and item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.flag(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    return found.select("doc_id", "leak.item_id", "leak.n_item", "leak.n_shared", (F.col("leak.n_shared") / F.col("leak.n_item")).alias("containment"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all token ids to ORC and read them back."""
     path = new_path(spark, "tokens")
@@ -38,11 +66,21 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read(spark, path))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document that has some."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_model": op1_quality_model,
+    "op2_token_counts": op2_token_counts,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_toxicity": op6_toxicity,
     "op7_quality_rules": op7_quality_rules,
+    "op8_decontamination": op8_decontamination,
     "op9_token_files": op9_token_files,
+    "op10_licenses": op10_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -132,12 +132,8 @@ class TextBlock:
         whole = np.flatnonzero(self.word_text[: n] == self.word_text[width - 1 :])
         return mix(acc[whole]), whole
 
-    def shingle_sets(self, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct shingles of every text, ascending by text and fingerprint, and the index of each one's text.
-
-        A text of fewer than ``width`` words, but one at least, has its whole
-        word sequence as its only shingle; a text without words has none.
-        """
+    def all_shingles(self, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles in order of text and place, with the index of each one's text; shorter texts have one."""
         h, at = self.shingles(width)
         text = self.word_text[at]
         few = np.flatnonzero((self.n_words > 0) & (self.n_words < width))
@@ -148,6 +144,17 @@ class TextBlock:
                 more = self.n_words[few] > i
                 acc[more] = acc[more] * np.uint64(0xFF51AFD7ED558CCD) + self.words[first[more] + i]
             h, text = np.concatenate([h, mix(acc)]), np.concatenate([text, few])
+            order = np.argsort(text, kind="stable")
+            h, text = h[order], text[order]
+        return h, text
+
+    def shingle_sets(self, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of every text, ascending by text and fingerprint, and the index of each one's text.
+
+        A text of fewer than ``width`` words, but one at least, has its whole
+        word sequence as its only shingle; a text without words has none.
+        """
+        h, text = self.all_shingles(width)
         order = np.lexsort((h, text))
         h, text = h[order], text[order]
         new = np.ones(len(h), bool)
