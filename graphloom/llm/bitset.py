@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 MOST_BITS = 1 << 26  # a million rows of 64 bits at most
 
 
-def thin(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows whose key may be among the distinct ids (one column); all that are, and some others.
+def mark(rows: DataFrame, ids: DataFrame, flag: str, key: str = "doc_id") -> DataFrame:
+    """Rows with a boolean: false only where the key is surely none of the distinct ids (one column).
 
     The filter has 16 bits for each id up to MOST_BITS, so what is broadcast
-    has a fixed bound; beyond it more other rows pass, and results stay right.
+    has a fixed bound; beyond it more other rows are marked, and results stay right.
     """
     n = ids.count()
     bits = 1 << 10
     while bits < min(16 * n, MOST_BITS):
         bits *= 2
     place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(bits))
-    name = ids.columns[0]
-    words = ids.select(place(name).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
-    marked = rows.withColumn("_p", place(key)).withColumn("_word", F.shiftright("_p", 6))
+    words = ids.select(place(ids.columns[0]).alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("_bits"))
+    placed = rows.withColumn("_p", place(key)).withColumn("_word", F.shiftright("_p", 6))
     hit = F.expr("shiftrightunsigned(_bits, cast(_p % 64 as int)) & 1L") == 1
-    return marked.join(F.broadcast(words), "_word").where(hit).select(*rows.columns)
+    return placed.join(F.broadcast(words), "_word", "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def thin(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key may be among the ids: all that are, and some others."""
+    return mark(rows, ids, "_may", key).where("_may").drop("_may")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, quality_model, quality_rules, token_counts, token_files, toxicity
+from . import bpe, decontaminate, jaccard, licenses, passages, quality_model, quality_rules, token_counts, token_files, toxicity
 from .workspace import new_path, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,6 +28,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of each document that an earlier one has."""
+    return passages.find(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the text decoded from them, as digests."""
     out = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -74,6 +79,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_model": op1_quality_model,
     "op2_token_counts": op2_token_counts,
+    "op3_passages": op3_passages,
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
