@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 from . import quality_model
 from . import textkernel as tk
 
-MOST_WORDS = 2_000
+MOST_WORDS = 500
 LEAST_TEXTS = 5
 GRADES = 3
 SLOTS_BITS = 20  # words are hashed to this many bits
-RIDGE = 2e-4
+RIDGE = 3e-5
+TOXIC = 0.4  # least P(grade > 0) of a document called toxic
 
 _PUNCTUATION = np.ones(256, bool)
 _PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -94,7 +95,7 @@ def fit(slots: list[np.ndarray], y: np.ndarray) -> Model:
     w, bias, gaps = np.zeros(len(chosen)), 1.0, np.zeros(GRADES - 1)
     over = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
     state = [np.zeros(len(w)), 0.0, np.zeros(GRADES - 1)]
-    for _ in range(400):  # adaptive steps; thresholds stay in order, as sums of positive gaps
+    for _ in range(1200):  # adaptive steps; thresholds stay in order, as sums of positive gaps
         thresholds = bias + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         p = 1 / (1 + np.exp(-np.clip(np.bincount(r, weights=w[c], minlength=n)[:, None] - thresholds, -40, 40)))
         miss = (p - over) / n
@@ -123,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents with expected_severity (0 to GRADES), grade (its most likely value) and toxic (P(grade > 0) is a half or more).
+    """The documents with expected_severity (0 to GRADES), grade (its most likely value) and toxic (P(grade > 0) is TOXIC or more).
 
     Null and empty texts have no words and the severity of those; rows are
     scored one by one, whatever their doc_id and further columns; an empty
@@ -136,7 +137,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         p = model.severity(*word_slots(block), block.n)
         steps = np.concatenate([np.ones((block.n, 1)), p, np.zeros((block.n, 1))], axis=1)
         grade = (steps[:, :-1] - steps[:, 1:]).argmax(axis=1).astype(np.int32)
-        made = [pa.array(p.sum(axis=1)), pa.array(grade), pa.array(p[:, 0] >= 0.5)]
+        made = [pa.array(p.sum(axis=1)), pa.array(grade), pa.array(p[:, 0] >= TOXIC)]
         return pa.RecordBatch.from_arrays([*rows.columns, *made], names=[*names, "expected_severity", "grade", "toxic"])
 
     return tk.map_blocks(docs, run, f"{kinds}, expected_severity double, grade int, toxic boolean", text)
