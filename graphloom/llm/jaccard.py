@@ -3,8 +3,8 @@
 Documents are sets of distinct shingles of five lower-cased words.  Shingles
 have one order for all documents: by the class (binary logarithm) of a count
 sketch of all documents, rarest first.  Two sets of at least 80 per cent
-similarity share a shingle among the first n - ceil(0.8 n) + 1 of each, the
-prefix; so only prefixes are joined.
+similarity share a shingle among the first n - ceil(0.8 n) + 1 of the larger and
+the first m - ceil(1.6 m / 1.8) + 1 of the smaller; so only prefixes are joined.
 
 1. Documents with the same set are one node.
 2. In each shingle's list, every document is compared with the most typical
@@ -36,7 +36,7 @@ from .components import components
 from .workspace import store
 
 PERCENT = 80  # smallest similarity of a link
-CHUNK = 256  # counters in a row of the sketch
+CHUNK = 1024  # counters in a row of the sketch
 MOST_SKETCH_BITS = 26
 
 
@@ -53,11 +53,12 @@ def _sketch(docs: DataFrame, bits: int) -> np.ndarray:
     """Class (binary logarithm of the count, rounded up) of each of 2**bits counters of distinct shingles a document."""
 
     def count(batches):
-        total = np.zeros(1 << bits, np.uint32)
+        total = np.zeros(1 << bits, np.uint8)  # of a task; full counters stay full
         for batch in batches:
             for _, _, block in tk.blocks(batch.column(0)):
                 h, _ = block.shingle_sets()
-                np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
+                slot, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                total[slot] = np.minimum(total[slot] + n, 255)
         full = total.reshape(-1, CHUNK)
         some = np.flatnonzero(full.any(axis=1))
         for at in range(0, len(some), 1024):
@@ -67,7 +68,7 @@ def _sketch(docs: DataFrame, bits: int) -> np.ndarray:
     def add(key, rows):
         total = np.zeros(CHUNK, np.uint64)
         for raw in rows.column("counts").to_pylist():
-            total += np.frombuffer(raw, np.uint32)
+            total += np.frombuffer(raw, np.uint8)
         classes = np.ceil(np.log2(np.maximum(total, 1).astype(float))).astype(np.uint8)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
@@ -121,7 +122,7 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
         table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if table is None:
             return
-        token, doc, n, typical = (table.column(c).to_numpy() for c in ("token", "doc_id", "n", "typical"))
+        token, doc, n, typical, short = (table.column(c).to_numpy() for c in ("token", "doc_id", "n", "typical", "short"))
         order = np.argsort(token, kind="stable")
         new = np.ones(len(token), bool)
         new[1:] = token[order][1:] != token[order][:-1]
@@ -130,7 +131,7 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
         order, group = order[many], group[many]
         if not len(order):
             return
-        token, doc, n, typical = token[order], doc[order], n[order], typical[order]
+        token, doc, n, typical, short = token[order], doc[order], n[order], typical[order], short[order]
         pivot = np.full(len(token), -1, np.int64)
         left = np.lexsort((doc, -typical, group))
         while len(left):  # one star of each list at a time, until every row has had its turn
@@ -141,9 +142,9 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
             fits = 100 * np.minimum(n[left], n[centre]) >= percent * np.maximum(n[left], n[centre])
             pivot[left[fits]] = doc[centre[fits]]
             left = left[~fits]
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc), pa.array(n), pa.array(pivot)], names=["token", "doc_id", "n", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc), pa.array(n), pa.array(short), pa.array(pivot)], names=["token", "doc_id", "n", "short", "pivot"])
 
-    return rows.repartition("token").mapInArrow(run, "token long, doc_id long, n long, pivot long")
+    return rows.repartition("token").mapInArrow(run, "token long, doc_id long, n long, short boolean, pivot long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -197,14 +198,17 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = min(MOST_SKETCH_BITS, max(18, math.ceil(math.log2(4 * docs.count() + 1))))
+    bits = min(MOST_SKETCH_BITS, max(18, math.ceil(math.log2(16 * docs.count() + 1))))
     classes = spark.sparkContext.broadcast(_sketch(docs, bits))
     signed = store(_prefixes(docs, classes, bits, percent), "prefixes")
     sets = signed.where("doc_id is not null and n > 0")
     nodes = sets.groupBy("fp_a", "fp_b", "n").agg(F.min("doc_id").alias("node"), F.max("doc_id").alias("last")).where("node < last").drop("last")
     copies = store(sets.select("doc_id", "fp_a", "fp_b", "n").join(store(nodes, "nodes"), ["fp_a", "fp_b", "n"]).select("doc_id", "node").where("doc_id <> node").distinct(), "copies")
 
-    rows = sets.where(F.size("prefix") > 0).select(F.explode("prefix").alias("token"), "doc_id", "n", "typical")
+    both = lambda n, m: F.ceil(percent * (n + m) / (100 + percent))  # noqa: E731  the least overlap of sets of n and m
+    rows = sets.where(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n", "typical")
+    # of the smaller set of a pair, a shorter prefix is enough
+    rows = rows.withColumn("short", F.col("at") <= F.col("n") - both(F.col("n"), F.col("n"))).drop("at")
     lists = store(_lists(rows, percent), "lists")
     star = lists.where("pivot <> doc_id").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct()
     # copies are linked already
@@ -213,25 +217,25 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = store(verify(star, docs, percent).union(known), "links")
     groups = components(links)
 
-    labelled = lists.select("token", "doc_id", "n").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", F.coalesce("label", "doc_id").alias("label"))
+    labelled = lists.select("token", "doc_id", "n", "short").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("token", "doc_id", "n", "short", F.coalesce("label", "doc_id").alias("label"))
     labelled = store(labelled, "labelled")
     mixed = store(labelled.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token"), "mixed")
     open_rows = store(labelled.join(mixed, "token"), "open")
-    matrix = store(open_rows.groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
+    # the matrix has the groups by the short prefixes of their members; queries are the larger sets
+    matrix = store(open_rows.where("short").groupBy("token", "label").agg(F.min("n").alias("least"), F.max("n").alias("most")), "matrix")
     queries = open_rows.select("token", "doc_id", F.col("n").alias("n_q"), F.col("label").alias("own"))
-    fitting = F.expr(f"100 * n_q >= {percent} * least and 100 * most >= {percent} * n_q")
-    met = queries.join(matrix, "token").where((F.col("own") < F.col("label")) & fitting)
+    met = queries.join(matrix, "token").where(F.expr(f"own <> label and least <= n_q and 100 * most >= {percent} * n_q"))
     overlap = met.groupBy("doc_id", "label").agg(F.count("token").alias("shared"), F.max("n_q").alias("n_q"), F.min("least").alias("least"), F.max("most").alias("most"))
-    rest = lambda c: F.ceil(percent * F.col(c) / 100) - 1
-    # the least that sizes ask for: of the smallest member that may still fit
-    smallest = F.greatest(F.col("least"), F.ceil(percent * F.col("n_q") / 100))
-    ask = F.ceil(percent * (F.col("n_q") + smallest) / (100 + percent))
-    qualified = store(overlap.where(F.col("shared") + F.greatest(rest("n_q"), F.ceil(percent * F.least(F.col("most"), F.floor(100 * F.col("n_q") / percent)) / 100) - 1) >= ask).select("doc_id", "label"), "qualified")
-    members = open_rows.select("token", "label", F.col("doc_id").alias("member"), F.col("n").alias("n_m"))
-    opened = queries.join(qualified, "doc_id").where("own < label").join(members, ["token", "label"])
-    opened = opened.where(f"100 * least(n_q, n_m) >= {percent} * greatest(n_q, n_m)")
-    pairs = opened.groupBy(F.least("doc_id", "member").alias("a"), F.greatest("doc_id", "member").alias("b")).agg(F.count("token").alias("shared"), F.max("n_q").alias("n_q"), F.max("n_m").alias("n_m"))
-    pairs = pairs.where(F.col("shared") + F.greatest(rest("n_q"), rest("n_m")) >= F.ceil(percent * (F.col("n_q") + F.col("n_m")) / (100 + percent))).select("a", "b")
+    rest = lambda n: F.ceil(percent * n / 100) - 1  # noqa: E731  of a query, what is not in its prefix
+    rest_short = lambda n: both(n, n) - 1  # noqa: E731  of a member, what is not in its short one
+    n_q, most, least = F.col("n_q"), F.least("most", "n_q"), F.greatest(F.col("least"), F.ceil(percent * F.col("n_q") / 100))
+    bound = F.col("shared") + F.greatest(rest(n_q), rest_short(most))
+    qualified = store(overlap.where(bound >= both(n_q, least)).select("doc_id", "label"), "qualified")
+    members = open_rows.where("short").select("token", "label", F.col("doc_id").alias("member"), F.col("n").alias("n_m"))
+    opened = queries.join(qualified, "doc_id").join(members, ["token", "label"]).where(f"n_m <= n_q and 100 * n_m >= {percent} * n_q")
+    pairs = opened.groupBy("doc_id", "member").agg(F.count("token").alias("shared"), F.max("n_q").alias("n_q"), F.max("n_m").alias("n_m"))
+    pairs = pairs.where(F.col("shared") + F.greatest(rest(n_q), rest_short(F.col("n_m"))) >= both(n_q, F.col("n_m")))
+    pairs = pairs.select(F.least("doc_id", "member").alias("a"), F.greatest("doc_id", "member").alias("b")).distinct()
     more = verify(pairs, docs, percent)
     found = components(links.union(more))
     out = signed.select("doc_id", F.col("n").alias("n_shingles"))
