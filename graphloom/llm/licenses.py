@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 ROWS_AT_ONCE = 512
 
 _MARKER = re.compile(r"licen[cs]|copyright|spdx|permission is|redistribution|warrant|public domain|unlicen|all rights", re.I)
-_BREAK = re.compile(r"\n+|(?<=[.;:!?])\s+(?=[A-Z\"'(]|$)")
+_BREAK = re.compile(r"\n+|(?<=[.;!?])\s+(?=[A-Z\"'(]|$)")
 _NOISE = re.compile(r"[^\w.+/-]+")
 
 #: Patterns of normalised sentences, with the identifier of each. The first that fits is taken.

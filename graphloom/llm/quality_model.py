@@ -63,6 +63,7 @@ def _features(block: tk.TextBlock) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with a struct ``_stats`` of the statistics of every whole text; null texts count as empty."""
+    docs = docs.drop("_stats")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -217,8 +218,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with score (0 to 1) and predicted (1 if the score is THRESHOLD or more).
 
     Null and empty texts have the statistics of the empty text and its score;
-    rows are scored one by one, so ties, repeated rows and further columns stay
-    as they are; an empty table gives no rows.
+    rows are scored one by one, so ties and repeated rows stay as they are;
+    columns named score and predicted are replaced, others stay; an empty table
+    gives no rows.
     """
     scored = statistics(docs).withColumn("score", model.column()).drop("_stats")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

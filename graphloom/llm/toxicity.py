@@ -127,9 +127,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents with expected_severity (0 to GRADES), grade (its most likely value) and toxic (P(grade > 0) is TOXIC or more).
 
     Null and empty texts have no words and the severity of those; rows are
-    scored one by one, whatever their doc_id and further columns; an empty
-    table gives no rows.
+    scored one by one, whatever their doc_id; columns with the names of the new
+    ones are replaced, others stay; an empty table gives no rows.
     """
+    docs = docs.drop("expected_severity", "grade", "toxic")
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
