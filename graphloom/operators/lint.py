@@ -42,7 +42,7 @@ def _out(df: DataFrame, rule: str, id_: str = "id", detail: Column | None = None
 def front_matter(parsed: DataFrame) -> DataFrame:
     """Documents (path, id, err) that can't be read, or whose id isn't the basename."""
     bad = parsed.where(F.col("err").isNotNull() | (F.col("id") != basename(F.col("path"))))
-    return _out(bad, "frontMatter", detail=F.coalesce("err", F.lit("id is not the basename")))
+    return _out(bad.withColumn("id", basename(F.col("path"))), "frontMatter", detail=F.coalesce("err", F.lit("id is not the basename")))
 
 
 def unique_basename(paths: DataFrame) -> DataFrame:
