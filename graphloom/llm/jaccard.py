@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .bitset import thin
 from .components import components
-from .workspace import store
+from .workspace import small_batches, store
 
 PERCENT = 80  # smallest similarity of a link
 CHUNK = 1024  # counters in a row of the sketch
@@ -72,7 +72,7 @@ def _sketch(docs: DataFrame, bits: int) -> np.ndarray:
         classes = np.ceil(np.log2(np.maximum(total, 1).astype(float))).astype(np.uint8)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "classes": pa.array([classes.tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "chunk long, counts binary")
+    parts = docs.select("text").transform(small_batches).mapInArrow(count, "chunk long, counts binary")
     out = np.zeros(1 << bits, np.uint8)
     rows = parts.groupBy("chunk").applyInArrow(add, "chunk long, classes binary").collect()  # 2**bits bytes, a parameter
     for chunk, raw in rows:
@@ -112,7 +112,7 @@ def _prefixes(docs: DataFrame, classes, bits: int, percent: int) -> DataFrame:
                     seen.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, fp_a long, fp_b long, typical int, prefix array<long>")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, f"doc_id {kind}, n long, fp_a long, fp_b long, typical int, prefix array<long>")
 
 
 def _lists(rows: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +144,7 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
             left = left[~fits]
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(doc), pa.array(n), pa.array(short), pa.array(pivot)], names=["token", "doc_id", "n", "short", "pivot"])
 
-    return rows.repartition("token").mapInArrow(run, "token long, doc_id long, n long, short boolean, pivot long")
+    return rows.repartition("token").transform(small_batches).mapInArrow(run, "token long, doc_id long, n long, short boolean, pivot long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -166,7 +166,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     texts = store(thin(docs.select("doc_id", "text").where("doc_id is not null"), pairs.select("a").union(pairs.select("b")).distinct()), "texts")
     left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return whole.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return whole.select("a", "b", "text_a", "text_b").transform(small_batches).mapInArrow(run, "a long, b long")
 
 
 def _similar(rows, a, b, percent: int):

@@ -15,6 +15,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .workspace import small_batches
+
 ROWS_AT_ONCE = 512
 
 _MARKER = re.compile(r"licen[cs]|copyright|spdx|permission is|redistribution|warrant|public domain|unlicen|all rights", re.I)
@@ -148,4 +150,4 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 names = pa.array([[n for n, _ in x] for x in found], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([rows.column(0).filter(some), names, pa.array([apply_rules(x) for x in found], pa.list_(pa.string()))], names=["doc_id", "sentences", "licences"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, sentences array<string>, licences array<string>")
+    return docs.select("doc_id", text).transform(small_batches).mapInArrow(run, f"doc_id {kind}, sentences array<string>, licences array<string>")

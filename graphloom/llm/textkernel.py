@@ -15,6 +15,8 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 
+from .workspace import small_batches
+
 BLOCK_BYTES = 1 << 20
 SHINGLE = 5
 
@@ -205,7 +207,7 @@ def map_blocks(df, fn: Callable, schema: str, text: str = "text", fold: bool = T
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.transform(small_batches).mapInArrow(run, schema)
 
 
 def hash_words(words: list[str], fold: bool = True) -> np.ndarray:

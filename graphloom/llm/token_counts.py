@@ -25,6 +25,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
+from .workspace import small_batches
+
 ZIPF_SHIFT = 2.7
 MOST_NODES = 400_000
 MOST_WORDS = 400_000
@@ -123,4 +125,4 @@ def count(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 n = pa.array(np.array([len(x) for x in words], np.int64))
                 yield pa.RecordBatch.from_arrays([rows.column(0), n, pa.array(model.count_batch(words), pa.int64())], names=["doc_id", "n_words", "n_tokens"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")
+    return docs.select("doc_id", text).transform(small_batches).mapInArrow(run, f"doc_id {kind}, n_words long, n_tokens long")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .pretokens import pretokenizer
+from .workspace import small_batches
 
 END_ID = 1
 CACHE_WORDS = 300_000
@@ -114,7 +115,7 @@ def write(docs: DataFrame, out: str, path: str, files: int | None = None, text:
     by = docs.select("doc_id", F.col(text).alias("text"))
     by = by.repartitionByRange(files, "doc_id") if files else by.repartitionByRange("doc_id")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = by.sortWithinPartitions("doc_id").mapInArrow(run, f"doc_id {kind}, file int, file_start long, ids array<int>")
+    ids = by.sortWithinPartitions("doc_id").transform(small_batches).mapInArrow(run, f"doc_id {kind}, file int, file_start long, ids array<int>")
     ids.write.options(**{"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "5000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true"}).orc(out)
 
 
@@ -145,4 +146,4 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(batch.num_columns - 1)] + [sums], names=[*batch.schema.names[:-1], "ids_crc32"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "ids")
-    return rows.select(*[c for c in rows.columns if c != "ids"], "ids").mapInArrow(run, f"{kinds}, ids_crc32 long")
+    return rows.select(*[c for c in rows.columns if c != "ids"], "ids").transform(small_batches).mapInArrow(run, f"{kinds}, ids_crc32 long")

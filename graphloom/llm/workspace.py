@@ -36,3 +36,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same table, to be sent to Python in batches of a few megabytes, whatever the length of its texts.
+
+    The session's limit is lowered only where it is Spark's own default.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES).lower().rstrip("b") in ("67108864", "64m"):
+        conf.set(_BATCH_BYTES, "4m")
+    return df
+
+
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
