@@ -80,10 +80,10 @@ def filter_attr_eq_fold(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).where(filters.Filter(attrs={"segment": "machinery"}).column()).select("id")
 
 
-@query("SELECT 'P' || p_partkey AS id FROM part WHERE regexp_matches(p_brand, '#[1-3]') AND regexp_matches(p_type, '(?i)steel$|BRASS$')")
+@query("SELECT 'P' || p_partkey AS id FROM part WHERE regexp_matches(p_brand, '#[1-3]') AND regexp_matches(p_type, '(?i)omy$|PROMO$')")
 def filter_attr_regex(spark: SparkSession, d: str) -> DataFrame:
     """Nodes whose attributes match patterns."""
-    return _parts(spark, d).where(filters.Filter(patterns={"brand": "#[1-3]", "kind": "(?i)steel$|BRASS$"}).column()).select("id")
+    return _parts(spark, d).where(filters.Filter(patterns={"brand": "#[1-3]", "kind": "(?i)omy$|PROMO$"}).column()).select("id")
 
 
 @query("""SELECT 'C' || c_custkey AS id FROM customer
@@ -316,7 +316,13 @@ def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.array_join(F.slice("l", 1, half), "\n\n").alias("existing"), F.array_join(F.slice("l", half + 1, F.size("l") - half), "\n\n").alias("incoming"))
 
 
-@query(None)
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS p, len(l) // 2 AS h FROM l WHERE len(l) > 1),
+w AS (SELECT doc_id, i, trim(p) AS p, i <= h AS old, list_filter(regexp_split_to_array(trim(p), '\\s+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT *, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda k: array_to_string(w[k:k+2], ' '))) AS s FROM w),
+near AS (SELECT DISTINCT n.doc_id, n.i FROM s n JOIN s o ON n.doc_id = o.doc_id AND o.old AND NOT n.old
+  WHERE len(list_intersect(n.s, o.s)) > 0.8 * (len(n.s) + len(o.s) - len(list_intersect(n.s, o.s))))
+SELECT s.doc_id, string_agg(p, chr(10) || chr(10) ORDER BY s.i) AS text FROM s LEFT JOIN near ON near.doc_id = s.doc_id AND near.i = s.i WHERE near.i IS NULL GROUP BY s.doc_id""")
 def paragraph_neardup_merge(spark: SparkSession, d: str) -> DataFrame:
     """Incoming paragraphs that are near an existing one are left out."""
     p = _line_pairs(spark, d)
