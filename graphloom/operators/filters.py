@@ -76,6 +76,30 @@ def with_attrs(nodes: DataFrame, attrs: DataFrame) -> DataFrame:
     return nodes.join(maps, "id", "left").withColumn("attrs", F.map_concat(own, F.coalesce(date, empty)))
 
 
+def matching(nodes: DataFrame, attrs: DataFrame, filter_: Filter) -> DataFrame:
+    """Nodes with ``matches``, from attributes in their long form.
+
+    One partial aggregation over the rows of the keys that the filter names, so
+    a node with any number of attributes never has them gathered.
+    """
+    of_type = F.coalesce(F.col("type").isin(*filter_.types), F.lit(False)) if filter_.types else F.lit(True)
+    value = F.col("value_str")
+    wanted = [("tags", F.lower(value) == t.lower()) for t in filter_.tags]
+    wanted += [(k, F.lower(value) == v.lower()) for k, v in sorted(filter_.attrs.items())]
+    wanted += [(k, value.rlike(to_jvm(p))) for k, p in sorted(filter_.patterns.items())]
+    if not wanted:
+        return nodes.withColumn("matches", of_type)
+    keys = sorted({k for k, _ in wanted})
+    rows = attrs.where(F.col("key").isin(*keys)).select("id", "key", "value_str")
+    if "published" in keys:
+        dates = nodes.where("published is not null").select("id", F.lit("published").alias("key"), F.date_format("published", "yyyy-MM-dd").alias("value_str"))
+        rows = rows.where("key <> 'published'").unionByName(dates)
+    found = rows.groupBy("id").agg(*(F.bool_or(F.coalesce((F.col("key") == k) & c, F.lit(False))).alias(f"_m{i}") for i, (k, c) in enumerate(wanted)))
+    every = reduce(and_, (F.col(f"_m{i}") for i in range(len(wanted))))
+    hits = found.where(every).select("id", F.lit(True).alias("_hit"))
+    return nodes.join(hits, "id", "left").withColumn("matches", of_type & F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def is_stub(nodes: DataFrame, *tables: DataFrame) -> DataFrame:
     """Nodes of which no table (keyed by id or src) has a row."""
     out = nodes

@@ -94,6 +94,15 @@ def filter_combined(spark: SparkSession, d: str) -> DataFrame:
     return _customers(spark, d).where(made.column()).select("id")
 
 
+@query(ORACLE_SQL["filter_combined"])
+def filter_long_form(spark: SparkSession, d: str) -> DataFrame:
+    """The same filter over attributes as rows."""
+    c = _customers(spark, d)
+    attrs = c.select("id", F.explode("attrs").alias("key", "list")).select("id", "key", F.explode("list").alias("value_str"))
+    made = filters.Filter(("Customer",), ("building",), {"segment": "building"}, {"name": "[02468]$", "tags": "^Hi.h$"})
+    return filters.matching(c.select("id", "type"), attrs, made).where("matches").select("id")
+
+
 @query("SELECT event_id FROM events WHERE CAST(json_extract(props, '$.k') AS VARCHAR) = '7'")
 def filter_json_attr(spark: SparkSession, d: str) -> DataFrame:
     """A filter over attributes kept as JSON."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph, NodeNotFound
 from ..operators import graph as traversal
-from ..operators.filters import Filter, with_attrs
+from ..operators.filters import Filter, matching
 from ..operators.grep import fit_window, grep
 from ..operators.schema import Schema
 from ..sources import codec
@@ -55,7 +55,7 @@ def node_get(graph: Graph, id_: str, schema: Schema | None = None) -> str:
 
 def search(graph: Graph, pattern: str, filter_: Filter = Filter()) -> DataFrame:
     """(type, id, path, line, text, start, end) of the lines that match, by path and line."""
-    kept = with_attrs(graph.nodes, graph.attrs).where(filter_.column()).select("type", "id", "path", "raw")
+    kept = matching(graph.nodes, graph.attrs, filter_).where("matches").select("type", "id", "path", "raw")
     return grep(kept, pattern).select("type", "id", "path", "line", "text", "start", "end").orderBy("path", "line")
 
 
@@ -76,8 +76,8 @@ def slug(text: str) -> str:
 def subgraph_get(graph: Graph, seed: str, now: dt.datetime, depth: int = 1, spec: dict | None = None, stubs: bool = False, direct_cap: int = 4096, backlink_cap: int = 1024, schema: Schema | None = None) -> str:
     """A node's surroundings as a patch document; the caps bound its size."""
     filter_ = Filter.from_json(spec)
-    nodes = with_attrs(graph.nodes, graph.attrs)
-    found = traversal.subgraph(nodes, graph.edges, seed, depth, direct_cap, backlink_cap, filter_.column() if filter_ != Filter() else None, stubs)
+    nodes = matching(graph.nodes, graph.attrs, filter_)
+    found = traversal.subgraph(nodes, graph.edges, seed, depth, direct_cap, backlink_cap, F.col("matches") if filter_ != Filter() else None, stubs)
     members = load_nodes(graph, found.members.where("part <> 'stub'").select("id"))
     if stubs:
         outer = found.members.where("part = 'stub'").select("id").join(graph.nodes, "id").select("id", "type").orderBy("id").collect()
