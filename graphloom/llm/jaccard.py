@@ -108,7 +108,7 @@ def _prefixes(docs: DataFrame, classes, bits: int, percent: int) -> DataFrame:
                 typical = (1000 * sums / np.maximum(size, 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(typical), lists], names=["doc_id", "n", "fp_a", "fp_b", "typical", "prefix"])
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:
                     seen.clear()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
