@@ -89,4 +89,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_SHINGLES_SQL = """SELECT DISTINCT {key}, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k+4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM (SELECT {key}, {words} AS w FROM {table})"""
+_DOCS_SQL = _SHINGLES_SQL.format(key="doc_id", words=_WORDS_SQL, table="documents")
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": f"""WITH RECURSIVE d AS MATERIALIZED ({_DOCS_SQL}),
+n AS MATERIALIZED (SELECT documents.doc_id, count(s) AS n FROM documents LEFT JOIN d USING (doc_id) GROUP BY ALL),
+links AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n m ON m.doc_id = p.a JOIN n o ON o.doc_id = p.b WHERE 100 * k >= 80 * (m.n + o.n - k)),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT links.b, r FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT doc_id, any_value(n) AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op8_decontamination": f"""WITH d AS ({_DOCS_SQL}), i AS ({_SHINGLES_SQL.format(key="item_id", words=_WORDS_SQL, table="benchmark")}),
+size AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_item, CAST(count(*) AS INTEGER) AS n_shared, CAST(count(*) AS DOUBLE) / any_value(n) AS containment
+FROM d JOIN i USING (s) JOIN size USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n)""",
+}

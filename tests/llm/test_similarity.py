@@ -186,3 +186,20 @@ def test_words_are_those_of_the_pattern():
         _, _, block = next(tk.blocks(pa.array([text, "z"])))
         assert block.n_words.tolist() == [len(WORD.findall(text)), 1]
         assert [bytes(block.data[a:b]).decode() for a, b in zip(block.starts, block.ends)] == [*WORD.findall(text), "z"]
+
+
+@pytest.mark.parametrize("name", ["op5_jaccard_join", "op8_decontamination"])
+def test_sql(spark, name):
+    import duckdb
+
+    from graphloom.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    cur = con.execute(queries.ORACLE_SQL[name])
+    names = [c[0] for c in cur.description]
+    df = queries.QUERIES[name](spark, data)
+    assert df.columns == names
+    assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
