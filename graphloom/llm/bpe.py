@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from .pretokens import byte_alphabet, pretokenizer
 from .workspace import small_batches
 
-CACHE_WORDS = 250_000
-KNOWN_PAIRS = 2_000_000
-ROWS_AT_ONCE = 1024
+CACHE_WORDS = 80_000
+KNOWN_PAIRS = 500_000
+ROWS_AT_ONCE = 256
 _NEVER = 1 << 60
 
 

@@ -1,6 +1,6 @@
 """Vectorised text primitives over Arrow string columns.
 
-Texts are handled in blocks of about a megabyte, so memory is bounded by the
+Texts are handled in blocks of about half a megabyte, so memory is bounded by the
 block size or by the longest single text.  A word is a maximal run of bytes
 other than 0x20 and 0x09-0x0D; in UTF-8 this is the pattern
 ``[^\\x20\\x09-\\x0D]+`` over code points, since no multi-byte character holds
@@ -17,7 +17,7 @@ import pyarrow as pa
 
 from .workspace import small_batches
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 SHINGLE = 5
 
 _BASE = 0x9E3779B97F4A7C13 | 3  # odd, and 3 modulo 4
