@@ -9,6 +9,7 @@ pre-tokeniser.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -38,8 +39,12 @@ class PreTokenizer:
     """Pre-tokens and added tokens of a text, in order."""
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.added = {str(t.content): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added: dict[str, int] = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # the library's normaliser and pre-tokeniser, without the memory of its vocabulary
+        empty = {"type": "BPE", "vocab": {}, "merges": []}
+        self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"model": empty, "added_tokens": []}))
         self.marker = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     def split(self, text: str) -> list[str]:
