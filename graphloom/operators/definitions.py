@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from ..model import InvalidSchema
 from ..sources import codec, corpus
 from .merge import SHINGLE_WORDS, SIMILARITY
-from .schema import Predicate, Schema, Type, effective
+from .schema import Predicate, Schema, effective
 
 
 @dataclass
@@ -87,7 +87,7 @@ def _merge_predicate(old: Predicate, new: Predicate, done: Changes) -> Predicate
 def usage(schema: Schema) -> dict[str, list[str]]:
     """Types by the predicates that their effective contracts name."""
     out: dict[str, list[str]] = {}
-    for t in effective({n: x for n, x in schema.types.items() if isinstance(x, Type)}).values():
+    for t in effective(schema.types).values():
         for p in t.required + t.optional:
             out.setdefault(p, []).append(t.name)
     return out

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import filters, graph, lint, merge, timeline
+from ..operators import filters, graph, history, lint, merge, reads, timeline
 from ..operators import schema as schemas
 from ..operators.grep import grep
 from ..sources import relational as rel
@@ -288,7 +288,7 @@ def merge_first_write_conflict(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_scalars(_contributions(spark, d, 3), "firstWriteWin").select("id", "value")
 
 
-@query(_FOLD_SQL.replace("SELECT user_id, event_type AS v", "SELECT user_id, event_type AS v"))
+@query(_FOLD_SQL)
 def merge_fill_if_empty(spark: SparkSession, d: str) -> DataFrame:
     """Filling what is empty flags like the first write."""
     return merge.merge_scalars(_contributions(spark, d, 3), "fillIfEmpty").select("id", "value")
@@ -318,7 +318,7 @@ def link_union_first_alias(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _line_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """First and second half of the lines of documents of a bounded number of characters."""
+    """First and second half of the lines of each document, as paragraphs."""
     lines = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
     half = F.floor(F.size("l") / 2).cast("int")
     docs = rel.table(spark, d, "documents").select("doc_id", lines.alias("l")).where(F.size("l") > 1)
@@ -637,8 +637,6 @@ def _touched(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOUCH_SQL}, c AS (SELECT path, count(*) AS n FROM touched GROUP BY path) SELECT seq, path, n = 1 AS exclusive FROM touched JOIN c USING (path) WHERE seq % 100 = 7")
 def revert_exclusive(spark: SparkSession, d: str) -> DataFrame:
     """Which paths a commit alone has touched."""
-    from ..operators import history
-
     t = _touched(spark, d)
     return history.split_paths(t, t.where("seq % 100 = 7")).select("seq", "path", "exclusive")
 
@@ -646,16 +644,12 @@ def revert_exclusive(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_TOUCH_SQL}, m AS (SELECT path, max(seq) AS last FROM touched GROUP BY path) SELECT seq, bool_and(seq = last) AS eligible FROM touched JOIN m USING (path) GROUP BY seq")
 def revert_eligibility(spark: SparkSession, d: str) -> DataFrame:
     """Whether a commit is the newest on every path it touched."""
-    from ..operators import history
-
     return history.eligible(_touched(spark, d))
 
 
 @query(f"WITH {EDGES_SQL} SELECT predicate, count(*) AS n FROM edges WHERE dst NOT IN (SELECT 'C' || c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY predicate")
 def revert_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Links to removed nodes go."""
-    from ..operators import history
-
     removed = rel.table(spark, d, "customer").where("c_acctbal < 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
     return history.sweep(rel.edges(spark, d), removed).groupBy("predicate").agg(F.count("*").alias("n"))
 
@@ -663,8 +657,6 @@ def revert_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT 'C' || o_custkey AS path, 'O' || min(o_orderkey) AS first_writer, 'O' || max(o_orderkey) AS newest FROM orders GROUP BY o_custkey")
 def history_writers(spark: SparkSession, d: str) -> DataFrame:
     """First writer and newest commit of each path."""
-    from ..operators import history
-
     t = rel.table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("path"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("document"))
     return history.writers(t)
 
@@ -673,8 +665,6 @@ def history_writers(spark: SparkSession, d: str) -> DataFrame:
 CASE WHEN c_acctbal < 0 THEN NULL ELSE coalesce(strftime(TIMESTAMP '2031-05-09', '%Y-%m-%d'), '') END AS published FROM customer""")
 def stamping(spark: SparkSession, d: str) -> DataFrame:
     """New nodes get dates, stubs don't."""
-    from ..operators import history
-
     c = rel.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), (F.col("c_acctbal") < 0).alias("stub"), F.lit(None).cast("timestamp").alias("published"))
     made = history.stamp(c, F.lit("2031-05-09").cast("timestamp"), "2031-01-02T03:04:05Z")
     return made.select("id", "indexed", F.date_format("published", "yyyy-MM-dd").alias("published"))
@@ -686,32 +676,24 @@ def stamping(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EDGES_SQL} SELECT dst AS id, count(*) AS links, CAST(rank() OVER (ORDER BY count(*) DESC) AS INTEGER) AS place FROM edges GROUP BY dst QUALIFY place <= 20")
 def popular(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by links to them."""
-    from ..operators import reads
-
     return reads.popular(rel.edges(spark, d), 20)
 
 
 @query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT id, type FROM nodes WHERE id NOT IN (SELECT dst FROM edges)")
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that nothing links to."""
-    from ..operators import reads
-
     return reads.orphans(rel.nodes(spark, d), rel.edges(spark, d)).select("id", "type")
 
 
 @query(f"WITH {NODES_SQL}, {EDGES_SQL} SELECT 'node' AS part, type AS name, count(*) AS n FROM nodes GROUP BY type UNION ALL SELECT 'edge', predicate, count(*) FROM edges GROUP BY predicate")
 def graph_stats(spark: SparkSession, d: str) -> DataFrame:
     """Nodes by type and links by predicate."""
-    from ..operators import reads
-
     return reads.stats(rel.nodes(spark, d), rel.edges(spark, d))
 
 
 @query("SELECT 'O1>C' || o_custkey || '>N' || c_nationkey || '>R' || n_regionkey AS path FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey = 1")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     """A shortest path between two nodes."""
-    from ..operators import reads
-
     e = rel.edges(spark, d, ("placedBy", "locatedIn", "inRegion"))
     goal = rel.table(spark, d, "orders").where("o_orderkey = 1").join(rel.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(rel.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     goal = goal.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("id"))
