@@ -129,6 +129,26 @@ def test_passages_of_odd_texts(docs, none):
     assert passages.find(none).count() == 0 and passages.remove(none, passages.find(none)).count() == 0
 
 
+def test_passages_whose_pieces_occur_earlier(spark):
+    rng = random.Random(8)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    texts, whole = [], {}
+    for k, pieces in enumerate([((0, 30), (30, 60)), ((0, 40), (20, 60)), ((0, 44), (16, 60), (8, 52)), ((0, 23), (15, 45))]):
+        p = [f"p{k}x{i}" for i in range(60 if k < 3 else 45)]
+        for n, (i, j) in enumerate(pieces):
+            texts.append((100 * k + n, " ".join(fill(20) + p[i:j] + fill(20))))
+        for n in (10, 11):
+            texts.append((100 * k + n, " ".join(fill(25 + n) + p + fill(20))))
+        whole[100 * k + 11] = (36, 36 + len(p))
+    texts += [(900, "same " * 80), (901, "same " * 80)]  # seeds that are all equal
+    found = passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    for i, (start, end) in whole.items():
+        covered = {w for r in found if r["doc_id"] == i for w in range(r["start"], r["end"])}
+        assert covered >= set(range(start, end)), i
+    assert {r["doc_id"] for r in found} >= {11, 111, 211, 311, 901}
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in found} >= {(11, 10), (111, 110), (311, 310), (901, 900)}
+
+
 def brute_chain(d, r):
     order = sorted(range(len(d)), key=lambda i: (d[i], r[i]))
     best = {}
