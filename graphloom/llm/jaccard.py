@@ -97,8 +97,9 @@ def _prefixes(docs: DataFrame, classes, bits: int, percent: int) -> DataFrame:
                 order = np.lexsort((h, rank, text))
                 size = prefix_sizes(n, percent)
                 pairs = list(zip(a.tolist(), b.tolist(), n.tolist()))
+                single = batch.column(0).slice(i, j - i).is_null().to_pylist()
                 for k, pair in enumerate(pairs):
-                    if pair in seen:
+                    if single[k] or pair in seen:  # a row without doc_id is linked with nothing and stands for no copy
                         size[k] = 0
                     else:
                         seen.add(pair)

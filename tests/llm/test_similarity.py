@@ -74,6 +74,13 @@ def test_jaccard_join_of_odd_texts(docs, none):
     assert jaccard.join(none).count() == 0
 
 
+def test_jaccard_join_with_a_null_row_before_a_copy(spark):
+    t = " ".join(f"n{i}" for i in range(100))
+    rows = [(None, t), (5, t), (6, t + " tail"), (7, "other words than those of the rest")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {None: None, 5: 5, 6: 5, 7: 7}
+
+
 def test_prefixes_keep_every_link():
     for n in range(1, 400):
         for m in range(-(-4 * n // 5), n + 1):
