@@ -5,7 +5,7 @@ licence sentences; the sequence of identifiers is then matched against licence
 rules in their order, each match taking its identifiers from the sequence.
 
 One map over the texts, no shuffle; texts without any of a few marker words are
-passed by after one search.
+passed by after one search; every pattern needs one of them.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from .workspace import small_batches
 
 ROWS_AT_ONCE = 512
 
-_MARKER = re.compile(r"licen[cs]|copyright|spdx|permission is|redistribution|warrant|public domain|unlicen|all rights", re.I)
+_MARKER = re.compile(r"licen[cs]|copyright|spdx|permission\W+is|redistribution|warrant|public\W+domain|unlicen|all\W+rights|\bcc\W+by|\bcc0|\bbsd\b|endorse", re.I)
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _BREAK = re.compile(r"\n+|(?<=[.;!?])\s+(?=[A-Z\"'(]|$)")
 _NOISE = re.compile(r"[^\w.+/-]+")
 
@@ -93,7 +94,13 @@ RULES: list[tuple[str, list[str]]] = [
     ("all-rights-reserved", ["allRights"]),
 ]
 
-_KNOWN = [(name, re.compile(pattern)) for name, pattern in SENTENCES]
+#: Each pattern with whether it may start within a sentence; what stands before and after the known words is free.
+_KNOWN = []
+for _name, _pattern in SENTENCES:
+    _free = _pattern.startswith(".*")
+    _core = _pattern.removeprefix(".*")
+    _end = "" if _core.endswith(".*") else r"(?!\w|\.\d)"
+    _KNOWN.append((_name, re.compile(f"(?:{_core.removesuffix('.*')}){_end}"), _free))
 
 
 def normalise(sentence: str) -> str:
@@ -102,16 +109,36 @@ def normalise(sentence: str) -> str:
 
 
 def recognise(text: str | None) -> list[tuple[str, str]]:
-    """(identifier, what the sentence gives for "{id}") of the known sentences, in order."""
+    """(identifier, what the sentence gives for "{id}") of the known sentences, in order.
+
+    Lines of a paragraph are read on, as licence texts are wrapped; a sentence
+    starts at a line or after the end of one.
+    """
     found = []
-    if text and _MARKER.search(text):
-        for sentence in _BREAK.split(text):
-            if sentence and _MARKER.search(sentence) or found and sentence:
-                words = normalise(sentence)
-                for name, pattern in _KNOWN:
-                    if m := pattern.fullmatch(words):
-                        found.append((name, m.groupdict().get("id") or ""))
-                        break
+    if not text or not _MARKER.search(text):
+        return found
+    for paragraph in _PARAGRAPH.split(text):
+        if not _MARKER.search(paragraph):
+            continue
+        heads, parts, at = [], [], 0
+        for piece in map(normalise, _BREAK.split(paragraph)):
+            if piece:
+                heads.append(at)
+                parts.append(piece)
+                at += len(piece) + 1
+        words = " ".join(parts)
+        hits = []
+        for rank, (name, pattern, free) in enumerate(_KNOWN):
+            spots = pattern.finditer(words)
+            if not free:  # also the later-version clause goes on within the sentence of the grant
+                starts = set(heads)
+                spots = (m for m in spots if m.start() in starts or name == "gplLater")
+            hits.extend((m.start(), rank, m.end(), name, (m.groupdict().get("id") or "").rstrip(".")) for m in spots)
+        done = 0
+        for start, _, end, name, given in sorted(hits):
+            if start >= done:
+                found.append((name, given))
+                done = end
     return found
 
 

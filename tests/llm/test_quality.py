@@ -98,6 +98,33 @@ def test_toxicity(spark, docs, none):
     assert out.count() == 16 and toxicity.score(none, model).count() == 0 and out.where("toxic").select("doc_id").collect() == [(13,)]
 
 
+def test_licences_in_standard_texts():
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files, to deal in the Software without restriction."
+    notice = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    bsd = [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer.",
+        "3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from this software.",
+    ]
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    scan = lambda text: licenses.apply_rules(licenses.recognise(text))
+    assert scan("This text is available under CC BY-SA 4.0.") == ["CC-BY-SA-4.0"] and scan("Released under CC0 1.0.") == ["CC0-1.0"]
+    assert scan("Under BSD 3-Clause.") == ["BSD-3-Clause"]
+    assert scan("It is under the MIT License and may be copied.") == ["MIT"]
+    assert scan(gpl) == ["GPL-3.0-or-later"]
+    for width in (30, 60, 72, 80):
+        wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, width))
+        for mark in ("", "# ", " * ", "// "):
+            assert scan(f"{mark}Copyright 2020 X\n\n{wrap(mit, mark)}\n{mark}\n{wrap(notice, mark)}") == ["MIT"], (width, mark)
+            assert scan("\n".join(wrap(t, mark) for t in bsd)) == ["BSD-3-Clause"], (width, mark)
+            assert scan("\n".join(wrap(t, mark) for t in bsd[:3])) == ["BSD-2-Clause"], (width, mark)
+            assert scan(wrap(gpl, mark)) == ["GPL-3.0-or-later"], (width, mark)
+    assert scan("A license to thrill, in a bsd-like way.") == [] and scan("See Apache License 2.5 of old") == []
+
+
 def test_licences(docs, none, spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind."
     cases = {
