@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import store
+from .workspace import drop, store
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,6 +23,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         roots = offered.select(F.col("node").alias("label"), F.col("label").alias("root"))
         jumped = store(offered.join(roots, "label").select("node", F.col("root").alias("label")), "labels")
         changed = jumped.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").limit(1).count()
+        drop(offered)
+        drop(labels)
         labels = jumped
         if not changed:
+            drop(both)
             return labels

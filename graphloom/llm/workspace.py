@@ -9,21 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
     spark.conf.set("spark.checkpoint.dir", made)
     return made
 
 
+def _folder(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    target, files = _folder(spark, path)
+    files.deleteOnExit(target)
     return path
 
 
@@ -31,7 +37,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there, and it survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that ``store`` gave, once nothing reads it any more."""
+    path = getattr(df, "_stored_at", None)
+    if path:
+        target, files = _folder(df.sparkSession, path)
+        files.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
