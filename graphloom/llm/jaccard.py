@@ -360,26 +360,25 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = store(members, "members")
     groups = store(members.groupBy("home").agg(F.min("n").alias("least"), F.max("n_most").alias("most"), F.max("way").alias("radius")), "groups")
 
-    owners = homes.select("node", "home").join(labels.withColumnRenamed("node", "home"), "home", "left").select("node", "home", "label")
-    owners = owners.union(labels.join(homes, "node", "left_anti").select("node", F.col("node").alias("home"), "label"))
-    placed = lists.select("token", "node", "short").join(owners, "node", "left")
-    matrix = placed.groupBy("token", F.coalesce("home", "node").alias("home"), F.coalesce("label", "node").alias("label")).agg(F.max("short").alias("short"))
+    kept = groups.join(labels.withColumnRenamed("node", "home"), "home", "left").withColumn("label", F.coalesce("label", "home"))
+    owners = kept.withColumn("node", F.col("home")).unionByName(homes.select("node", "home").join(kept, "home"))
+    placed = lists.select("token", "node", "short").join(owners, "node")
+    matrix = placed.groupBy("token", "home").agg(F.max("short").alias("short"), *[F.min(c).alias(c) for c in ("label", "least", "most", "radius")])
     matrix = store(matrix, "matrix")
     mixed = matrix.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
     opened = store(matrix.join(mixed, "token"), "mixed")
-    side = lambda s: opened.select("token", F.col("home").alias(s), F.col("label").alias(f"label_{s}"), F.col("short").alias(f"short_{s}"))
-    met = side("a").join(side("b"), "token").where("a < b and label_a <> label_b").groupBy("a", "b").agg(F.count("token").alias("shared"), F.max(F.expr("short_a or short_b")).alias("short"))
-    size = lambda s: groups.select(F.col("home").alias(s), F.col("least").alias(f"least_{s}"), F.col("most").alias(f"most_{s}"), F.col("radius").alias(f"radius_{s}"))
-    met = met.where("short").join(size("a"), "a").join(size("b"), "b")
+    side = lambda s: opened.select("token", F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("short", "label", "least", "most", "radius")])
+    fits = f"a < b and label_a <> label_b and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a"
+    met = side("a").join(side("b"), "token").where(fits).groupBy("a", "b")
+    met = met.agg(F.count("token").alias("shared"), F.max(F.expr("short_a or short_b")).alias("short"), *[F.min(f"{c}_{s}").alias(f"{c}_{s}") for c in ("least", "most", "radius") for s in "ab"])
 
     def enough(larger: str, smaller: str):
         # of the largest set of one group and the smallest of the other that fits: what is not in a prefix, and what an overlap takes
-        n, fits = F.col(f"most_{larger}"), F.ceil(percent * F.col(f"most_{larger}") / 100)
-        m = F.greatest(F.least(F.col(f"least_{smaller}"), n), fits)
-        return F.col("shared") + fits >= F.ceil(percent * (n + m) / (100 + percent))
+        n, rest = F.col(f"most_{larger}"), F.ceil(percent * F.col(f"most_{larger}") / 100)
+        m = F.greatest(F.least(F.col(f"least_{smaller}"), n), rest)
+        return F.col("shared") + rest >= F.ceil(percent * (n + m) / (100 + percent))
 
-    met = met.where(f"100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a").where(enough("a", "b") | enough("b", "a"))
-    met = store(met.select("a", "b", "radius_a", "radius_b"), "met")
+    met = store(met.where("short").where(enough("a", "b") | enough("b", "a")).select("a", "b", "radius_a", "radius_b"), "met")
     met = _bounded(met, sets, met.select("a").union(met.select("b")).distinct())
     met = store(met.where(F.col("low") <= most + F.col("radius_a") + F.col("radius_b")), "open")
 
