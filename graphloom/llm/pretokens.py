@@ -47,12 +47,21 @@ class PreTokenizer:
         self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"model": empty, "added_tokens": []}))
         self.marker = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
+    def lowered(self, text: str) -> str | None:
+        """The text in lower case, if all of it lies below U+0250 and is in NFC before and after; else None."""
+        if text.isascii():
+            return text.lower()
+        if not _LOW.search(text) and unicodedata.is_normalized("NFC", text):
+            low = text.lower()
+            if not _LOW.search(low):
+                return low
+        return None
+
     def split(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens."""
-        if text.isascii() or not _LOW.search(text) and unicodedata.is_normalized("NFC", text):
-            low = text.lower()
-            if low.isascii() or not _LOW.search(low):
-                return _LOW_SPLIT.findall(low)
+        low = self.lowered(text)
+        if low is not None:
+            return _LOW_SPLIT.findall(low)
         normal = self.tokenizer.normalizer.normalize_str(text)
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)
         return [bytes(map(_BYTES.__getitem__, p)).decode() for p, _ in pieces]

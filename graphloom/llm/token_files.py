@@ -23,65 +23,35 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .pretokens import pretokenizer
+from .pretokens import byte_alphabet, pretokenizer
+from .wordtable import WordTable, lists_of, slices
 from .workspace import small_batches
 
 END_ID = 1
-CACHE_WORDS = 300_000
-ROWS_AT_ONCE = 1024
 
 
 class LibraryEncoder:
     """The tokenizers library over whole texts, each distinct pre-token encoded once.
 
-    The library encodes pre-tokens apart from each other, so a text's ids are
-    those of its pre-tokens in order.
+    The library's model encodes pre-tokens, in its byte-level letters, apart
+    from each other; so a text's ids are those of its pre-tokens in order.
     """
 
     def __init__(self, path: str):
-        self.pre = pretokenizer(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))  # pre-tokens are normal already
-        self.cache: dict[str | int, bytes] = {}
-        self.old: dict[str | int, bytes] = {}
-
-    def _learn(self, words: set) -> None:
-        new = []
-        for w in words:
-            if w in self.cache:
-                continue
-            if isinstance(w, int):
-                self.cache[w] = np.array([w], "<u4").tobytes()
-            elif w in self.old:
-                self.cache[w] = self.old[w]
-            else:
-                new.append(w)
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids, of = np.array(got.ids, "<u4"), np.array(got.word_ids, np.int64)
-            ends = np.searchsorted(of, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            for w, i, j in zip(part, ends[:-1].tolist(), ends[1:].tolist()):
-                self.cache[w] = raw[4 * i : 4 * j]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Packed ids of each text."""
-        if len(self.cache) > CACHE_WORDS:
-            self.old, self.cache = self.cache, {}
-        pieces = []
-        for text in texts:
-            if not text:
-                pieces.append([])
-            elif "<|" not in text:
-                pieces.append(self.pre.split(text))
-            else:
-                parts = [[self.pre.added[s]] if added else self.pre.split(s) for added, s in self.pre.parts(text)]
-                pieces.append([x for part in parts for x in part])
-        self._learn(set().union(*pieces))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        self.model = Tokenizer.from_str(json.dumps(spec)).model
+        self.letters = byte_alphabet()
+        self.table = WordTable(pretokenizer(path), self._encode_words)
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters, tokenize = self.letters, self.model.tokenize
+        ids, sizes = [], []
+        for word in words:
+            made = tokenize(word if word.isascii() and word.isprintable() else "".join([letters[b] for b in word.encode()]))
+            sizes.append(len(made))
+            ids.extend([t.id for t in made])
+        return np.array(ids, np.int64), np.array(sizes, np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -89,27 +59,26 @@ def encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def _ended(flat: np.ndarray, sizes: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids with the end id after each text."""
+    return np.insert(flat, np.cumsum(sizes), end_id)
+
+
 def write(docs: DataFrame, out: str, path: str, files: int | None = None, text: str = "text", end_id: int = END_ID) -> None:
     """Write the ids of every whole text, each with the end id after it, in ascending order of doc_id.
 
     Null and empty texts have the end id alone; a null doc_id comes first;
-    repeated doc_ids stand side by side in no fixed order; an empty table gives
-    files without rows.  Columns: doc_id, file int, file_start long, ids.
+    repeated doc_ids stand side by side in no fixed order; very long texts are
+    taken whole; an empty table gives files without rows.  Columns: doc_id, file int, file_start long, ids.
     """
-    tail = np.array([end_id], "<u4").tobytes()
-
     def run(batches):
-        words, part, start = encoder(path), TaskContext.get().partitionId(), 0
+        words, part, start = encoder(path).table, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(at, ROWS_AT_ONCE)
-                packed = words.encode(rows.column(1).to_pylist())
-                flat = np.frombuffer(tail.join(packed) + tail, "<i4")
-                sizes = np.array([len(x) // 4 + 1 for x in packed], np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                files_ = pa.array(np.full(len(packed), part, np.int32))
-                yield pa.RecordBatch.from_arrays([rows.column(0), files_, pa.array(start + ends[:-1], pa.int64()), ids], names=["doc_id", "file", "file_start", "ids"])
+            for at, texts in slices(batch.column(1)):
+                flat, sizes = words.ids_of(texts)
+                ends = np.concatenate([[0], np.cumsum(sizes + 1)])
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(np.full(len(texts), part, np.int32)), pa.array(start + ends[:-1], pa.int64()), lists_of(_ended(flat, sizes, end_id), sizes + 1)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file", "file_start", "ids"])
                 start += int(ends[-1])
 
     by = docs.select("doc_id", F.col(text).alias("text"))
@@ -130,8 +99,8 @@ def read(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> Dat
     bases = totals.select("file", (F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    # one row for each file, whose number is a parameter of the write
-    return rows.join(F.broadcast(bases), "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # one row for each file; Spark broadcasts it while that is small
+    return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:

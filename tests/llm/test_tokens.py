@@ -1,4 +1,6 @@
+import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
 
-from graphloom.llm import bpe, token_counts, token_files
+from graphloom.llm import bpe, token_counts, token_files, wordtable
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -31,13 +33,35 @@ def odd_texts(n):
 def test_codec_is_the_library(library):
     words = bpe.codec(PATH)
     texts = odd_texts(800)
-    ids, decoded = words.encode_batch(texts)
-    for text, packed, back in zip(texts, ids, decoded):
+    flat, sizes = words.encode_batch(texts)
+    decoded = words.decode(flat, sizes).to_pylist()
+    for text, ids, back in zip(texts, np.split(flat, np.cumsum(sizes)[:-1]), decoded):
         want = ids_of(library, text)
-        assert np.frombuffer(packed, "<u4").tolist() == want, text
+        assert ids.tolist() == want, text
         assert back == library.decode(want, skip_special_tokens=False)
 
 
+def test_merges_of_random_words_and_of_a_megabyte(library):
+    rng, words = random.Random(2), bpe.WordCodec(PATH)
+    texts = ["".join(rng.choice("abcdefghijklmnoprstuéß漢") for _ in range(rng.choice([1, 3, 9, 30, 63, 64, 65, 200, 3000]))) for _ in range(300)]
+    flat, sizes = words.encode_batch(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+        assert ids.tolist() == ids_of(library, text)
+    began = time.time()
+    flat, sizes = words.encode_batch(["abcde" * 200_000])
+    assert time.time() - began < 60 and flat[-1] < 49408 and sizes[0] > 100_000
+    assert flat[:1000].tolist() == ids_of(library, "abcde" * 10_000)[:1000]
+
+
+def test_a_full_table_of_words_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(wordtable, "MOST_BYTES", 4000)
+    words, texts = bpe.WordCodec(PATH), odd_texts(200)
+    for at in range(0, 200, 20):
+        flat, sizes = words.encode_batch(texts[at : at + 20])
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [ids_of(library, t) for t in texts[at : at + 20]]
+        assert words.table.bytes < 40_000
+
+
 def test_speculation_needs_merging_for_some_words_only():
     words = bpe.WordCodec(PATH)
     vocabulary = [w.removesuffix("</w>") for w in words.vocab if w.isascii() and w.endswith("</w>") and w[:-4].isalpha()][:3000]
@@ -69,6 +93,21 @@ def test_files(spark, docs, none, texts, library, tmp_path):
         start += n
     one = token_files.read(spark, out, [7]).collect()
     assert [(r["doc_id"], r["start"]) for r in one] == [(7, next(r[1] for r in got if r[0] == 7))]
+    # stripes, row index and Bloom filter are there, and a filter on doc_id reads them
+    many = spark.range(20_000).selectExpr("id * 2 as doc_id", "concat('word ', id) as text")
+    token_files.write(many, f"file://{tmp_path}/c", PATH, files=2)
+    names = [p for p in os.listdir(f"{tmp_path}/c") if p.endswith(".orc")]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = 0
+    for name in names:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"{tmp_path}/c/{name}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        rows += reader.getNumberOfRows()
+        assert reader.getRowIndexStride() == 5000 and reader.getStripes().size() >= 1 and str(reader.getCompressionKind()) == "ZSTD"
+        kinds = {str(x.getKind()) for x in reader.rows().readStripeFooter(reader.getStripes().get(0)).getStreamsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    assert rows == 20_000 and len(names) == 2
+    found = token_files.read(spark, f"file://{tmp_path}/c", [7000, 7001])
+    assert [r["doc_id"] for r in found.collect()] == [7000] and "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString()
     token_files.write(none, f"file://{tmp_path}/b", PATH, files=2)
     assert token_files.read(spark, f"file://{tmp_path}/b").count() == 0
 
