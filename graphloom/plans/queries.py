@@ -235,12 +235,9 @@ def boundary_stubs(spark: SparkSession, d: str) -> DataFrame:
 # Merging
 
 
-def _contributions(spark: SparkSession, d: str, most: int | None = None, value: Column | None = None) -> DataFrame:
+def _contributions(spark: SparkSession, d: str) -> DataFrame:
     """Events as contributions to one key of each user, in order of time."""
-    e = rel.table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("id"), F.lit("status").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source"), (F.col("event_type") if value is None else value).alias("value"))
-    if most:
-        e = e.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).where(F.col("n") <= most).drop("n")
-    return e
+    return rel.table(spark, d, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("id"), F.lit("status").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("seq"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("source"), F.col("event_type").alias("value"))
 
 
 @query("SELECT 'U' || user_id AS id, arg_min(event_type, ts) AS value FROM events GROUP BY user_id")
@@ -276,35 +273,43 @@ def merge_append(spark: SparkSession, d: str) -> DataFrame:
 
 
 _M = "'<<<<<<< existing' || chr(10) || {e} || chr(10) || '=======' || chr(10) || {i} || chr(10) || '>>>>>>> ' || {s}"
-_FOLD_SQL = f"""WITH r AS (SELECT user_id, event_type AS v, 'e' || event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
-w AS (SELECT user_id, max(v) FILTER (n = 1) AS a, max(v) FILTER (n = 2) AS b, max(v) FILTER (n = 3) AS c, max(s) FILTER (n = 2) AS sb, max(s) FILTER (n = 3) AS sc FROM r WHERE n <= 3 GROUP BY user_id),
-two AS (SELECT *, CASE WHEN b IS NULL OR b = a THEN a ELSE {_M.format(e="a", i="b", s="sb")} END AS ab FROM w)
-SELECT 'U' || user_id AS id, CASE WHEN c IS NULL OR c = ab OR (b <> a AND c = b) THEN ab ELSE {_M.format(e="ab", i="c", s="sc")} END AS value FROM two"""
+_FOLD_SQL = f"""WITH RECURSIVE r AS MATERIALIZED (SELECT user_id, event_type AS v, 'e' || event_id AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+fold(user_id, n, v, was, state, inc) AS (
+  SELECT user_id, n, v, CAST(NULL AS VARCHAR), v, CAST(NULL AS VARCHAR) FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.n, r.v, fold.v, CASE WHEN r.v = state OR r.v = inc THEN state ELSE {_M.format(e="state", i="r.v", s="r.s")} END,
+    CASE WHEN r.v = state OR r.v = inc THEN inc ELSE r.v END FROM fold JOIN r ON r.user_id = fold.user_id AND r.n = fold.n + 1)"""
+_FOLDED_SQL = f"{_FOLD_SQL} SELECT 'U' || user_id AS id, arg_max(state, n) AS value FROM fold GROUP BY user_id"
 
 
-@query(_FOLD_SQL)
+@query(_FOLDED_SQL)
 def merge_first_write_conflict(spark: SparkSession, d: str) -> DataFrame:
     """Later differing values become nested conflict markers."""
-    return merge.merge_scalars(_contributions(spark, d, 3), "firstWriteWin").select("id", "value")
+    return merge.merge_scalars(_contributions(spark, d), "firstWriteWin").select("id", "value")
 
 
-@query(_FOLD_SQL)
+@query(_FOLDED_SQL)
 def merge_fill_if_empty(spark: SparkSession, d: str) -> DataFrame:
     """Filling what is empty flags like the first write."""
-    return merge.merge_scalars(_contributions(spark, d, 3), "fillIfEmpty").select("id", "value")
+    return merge.merge_scalars(_contributions(spark, d), "fillIfEmpty").select("id", "value")
 
 
-@query("""WITH r AS (SELECT user_id, event_type AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
-p AS (SELECT user_id, max(v) FILTER (n = 1) AS a, max(v) FILTER (n = 2) AS b FROM r GROUP BY user_id)
-SELECT 'U' || user_id AS id, CASE WHEN b IS NULL OR a = b THEN 'unchanged' ELSE 'flagged' END AS flagging,
-  CASE WHEN b IS NULL OR a = b THEN 'unchanged' ELSE 'overwritten' END AS overwriting,
-  CASE WHEN b IS NULL OR a = b THEN 'unchanged' ELSE 'appended' END AS listing, 'unchanged' AS freezing FROM p""")
+@query(f"""{_FOLD_SQL}, seen AS (SELECT user_id, v, min(n) AS n FROM r GROUP BY ALL),
+last AS (SELECT user_id, arg_max(struct_pack(n := fold.n, v := v, was := was, inc := inc), fold.n) AS x FROM fold GROUP BY user_id)
+SELECT 'U' || user_id AS id, CASE WHEN x.n = 1 THEN 'created' WHEN x.inc IS NOT NULL THEN 'flagged' ELSE 'unchanged' END AS flagging,
+  CASE WHEN x.n = 1 THEN 'created' WHEN x.v = x.was THEN 'unchanged' ELSE 'overwritten' END AS overwriting,
+  CASE WHEN x.n = 1 THEN 'created' WHEN seen.n < x.n THEN 'unchanged' ELSE 'appended' END AS listing,
+  CASE WHEN x.n = 1 THEN 'created' ELSE 'unchanged' END AS freezing FROM last JOIN seen USING (user_id) WHERE seen.v = x.v""")
 def merge_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """What a merge did, by policy."""
-    c = _contributions(spark, d, 2).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("seq", "value", "source"))).alias("c"))
-    e, i, s = (F.array(F.col("c")[0]["value"]), F.when(F.size("c") > 1, F.array(F.get("c", F.lit(1))["value"])), F.get("c", F.lit(1))["source"])
-    made = lambda op: merge.outcome(op, e, i, merge.merge_values(op, e, i, s))
-    return c.select("id", made("firstWriteWin").alias("flagging"), made("lastWriteWin").alias("overwriting"), made("union").alias("listing"), made("immutable").alias("freezing"))
+    """What the last contribution to each key did to the fold of all before it, by policy."""
+    c = _contributions(spark, d)
+    last = c.groupBy("id").agg(F.max_by(F.struct("seq", "value", "source"), "seq").alias("c"))
+    before = c.join(last.select("id", F.col("c.seq").alias("seq")), ["id", "seq"], "left_anti")
+    states = last
+    for op in ("firstWriteWin", "lastWriteWin", "immutable"):
+        states = states.join(merge.merge_scalars(before, op).select("id", F.array("value").alias(op)), "id", "left")
+    states = states.join(merge.merge_lists(before).select("id", F.col("values").alias("union")), "id", "left")
+    made = lambda op: merge.outcome(op, F.col(op), F.array("c.value"), merge.merge_values(op, F.col(op), F.array("c.value"), F.col("c.source")))
+    return states.select("id", made("firstWriteWin").alias("flagging"), made("lastWriteWin").alias("overwriting"), made("union").alias("listing"), made("immutable").alias("freezing"))
 
 
 @query("""SELECT 'O' || l_orderkey AS src, 'suppliedBy' AS predicate, 'S' || l_suppkey AS dst, arg_min('L' || l_linenumber, l_linenumber) AS alias
@@ -338,16 +343,17 @@ def paragraph_neardup_merge(spark: SparkSession, d: str) -> DataFrame:
     return p.select("doc_id", merge.merge_paragraphs(F.col("existing"), F.col("incoming")).alias("text"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(string_split(text, chr(10))[1]), '\\s+'), lambda x: x <> '') AS a,
-  list_filter(regexp_split_to_array(trim(string_split(text, chr(10))[-1]), '\\s+'), lambda x: x <> '') AS b FROM documents),
-s AS (SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(a) - 2, 1) + 1), lambda i: array_to_string(a[i:i+2], ' '))) AS x,
-  list_distinct(list_transform(range(1, greatest(len(b) - 2, 1) + 1), lambda i: array_to_string(b[i:i+2], ' '))) AS y FROM w WHERE len(a) > 0 AND len(b) > 0)
-SELECT doc_id, len(list_intersect(x, y)) * 1.0::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))) AS similarity FROM s""")
-def jaccard_first_last_line(spark: SparkSession, d: str) -> DataFrame:
-    """Similarity of a document's first and last line over runs of three words."""
-    docs = rel.table(spark, d, "documents").select("doc_id", F.split("text", "\n").alias("l"))
-    a, b = F.element_at("l", 1), F.element_at("l", -1)
-    return docs.where((F.trim(a) != "") & (F.trim(b) != "")).select("doc_id", fx.jaccard(fx.word_shingles(a), fx.word_shingles(b)).alias("similarity"))
+@query("""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, list_filter(regexp_split_to_array(trim(unnest(l)), '\\s+'), lambda x: x <> '') AS w FROM l),
+s AS (SELECT doc_id, i, list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda k: array_to_string(w[k:k+2], ' '))) AS s FROM w)
+SELECT a.doc_id, CAST(a.i AS INTEGER) AS line, len(list_intersect(a.s, b.s)) * 1.0::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity
+FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i = a.i + 1""")
+def jaccard_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Similarity of every line of a document with the line after it, over runs of three words."""
+    lines = F.filter(F.split("text", "\n"), lambda p: F.trim(p) != "")
+    docs = rel.table(spark, d, "documents").select("doc_id", F.transform(lines, lambda p: fx.word_shingles(p)).alias("s"))
+    pairs = F.transform(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), lambda b, i: F.struct((i + 1).alias("line"), fx.jaccard(F.element_at("s", i + 1), b).alias("similarity")))
+    return docs.select("doc_id", F.inline(pairs))
 
 
 # Timeline
@@ -634,11 +640,11 @@ def _touched(spark: SparkSession, d: str) -> DataFrame:
     return rel.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("seq"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("path")).distinct()
 
 
-@query(f"WITH {_TOUCH_SQL}, c AS (SELECT path, count(*) AS n FROM touched GROUP BY path) SELECT seq, path, n = 1 AS exclusive FROM touched JOIN c USING (path) WHERE seq % 100 = 7")
+@query(f"WITH {_TOUCH_SQL}, c AS (SELECT path, count(*) AS n FROM touched GROUP BY path) SELECT seq, path, n = 1 AS exclusive FROM touched JOIN c USING (path)")
 def revert_exclusive(spark: SparkSession, d: str) -> DataFrame:
     """Which paths a commit alone has touched."""
     t = _touched(spark, d)
-    return history.split_paths(t, t.where("seq % 100 = 7")).select("seq", "path", "exclusive")
+    return history.split_paths(t, t).select("seq", "path", "exclusive")
 
 
 @query(f"WITH {_TOUCH_SQL}, m AS (SELECT path, max(seq) AS last FROM touched GROUP BY path) SELECT seq, bool_and(seq = last) AS eligible FROM touched JOIN m USING (path) GROUP BY seq")
