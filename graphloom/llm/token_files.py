@@ -28,6 +28,7 @@ from .wordtable import WordTable, lists_of, slices
 from .workspace import small_batches
 
 END_ID = 1
+MOST_BROADCAST = 500_000  # files whose totals are broadcast
 
 
 class LibraryEncoder:
@@ -99,8 +100,9 @@ def read(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> Dat
     bases = totals.select("file", (F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
     if doc_ids is not None:
         rows = rows.where(F.col("doc_id").isin(doc_ids))
-    # one row for each file; Spark broadcasts it while that is small
-    return rows.join(bases, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    # a row for each file; the ids themselves are not to be moved
+    few = len(rows.inputFiles()) <= MOST_BROADCAST
+    return rows.join(F.broadcast(bases) if few else bases, "file").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 def with_crc32(rows: DataFrame) -> DataFrame:
