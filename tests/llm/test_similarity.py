@@ -156,6 +156,41 @@ def test_passages_whose_pieces_occur_earlier(spark):
     assert {(r["doc_id"], r["ref_doc_id"]) for r in found} >= {(11, 10), (111, 110), (311, 310), (901, 900)}
 
 
+@pytest.mark.parametrize("parts", [1, 4, 10])
+def test_passages_however_rows_are_split(spark, parts):
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    p = [f"p{i}" for i in range(112)]
+    texts = [(k, " ".join(fill(20) + p[at : at + 28 + k] + fill(20))) for k, at in enumerate((0, 14, 28, 42, 56, 70, 84))]
+    texts += [(100, " ".join(fill(9) + p + fill(20))), (101, " ".join(fill(30) + p + fill(5)))]
+    rows = passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(parts)).collect()
+    covered = {w for r in rows if r["doc_id"] == 101 for w in range(r["start"], r["end"])}
+    assert covered >= set(range(30, 142))
+    assert not {r["doc_id"] for r in rows} & set(range(7))
+
+
+def test_recall_of_changed_passages(spark):
+    rng = random.Random(5)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    for share, size, least in ((0.15, 60, 0.9), (0.1, 60, 0.95), (0.2, 100, 0.9)):
+        texts = []
+        for k in range(60):
+            p = fill(size)
+            changed = list(p)
+            for i in rng.sample(range(size), round(share * size)):
+                changed[i] = f"z{rng.randrange(10**9)}"
+            texts += [(k, " ".join(fill(30) + p + fill(30))), (1000 + k, " ".join(fill(25) + changed + fill(40)))]
+        found = {(r["doc_id"], r["ref_doc_id"]) for r in passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+        assert found <= {(1000 + k, k) for k in range(60)} and len(found) >= least * 60, (share, size, len(found))
+
+
+def test_long_gaps_are_aligned_like_short_ones():
+    for gap in (62, 66, 400):
+        a = np.arange(gap)
+        b = np.concatenate([a[: gap // 2], [10**6], a[gap // 2 :]])
+        assert passages._same_between(a, b) == gap and passages._same_between(b[::-1], a) >= 1
+
+
 def brute_chain(d, r):
     order = sorted(range(len(d)), key=lambda i: (d[i], r[i]))
     best = {}
