@@ -19,14 +19,14 @@ from .workspace import small_batches
 
 ROWS_AT_ONCE = 512
 
-_MARKER = re.compile(r"licen[cs]|copyright|spdx|permission\W+is|redistribution|warrant|public\W+domain|unlicen|all\W+rights|\bcc\W+by|\bcc0|\bbsd\b|endorse", re.I)
+_MARKER = re.compile(r"licen[cs]|copyright|©|\(c\)|spdx|gpl|permission\W+is|redistribution|warrant|public\W+domain|unlicen|all\W+rights|\bcc\W+by|\bcc0|\bbsd\b|endorse", re.I)
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n")
 _BREAK = re.compile(r"\n+|(?<=[.;!?])\s+(?=[A-Z\"'(]|$)")
 _NOISE = re.compile(r"[^\w.+/-]+")
 
 #: Patterns of normalised sentences, with the identifier of each. The first that fits is taken.
 SENTENCES: list[tuple[str, str]] = [
-    ("spdx", r"spdx-license-identifier (?P<id>[\w.+-]+)"),
+    ("spdx", r".*\bspdx-license-identifier (?P<id>[\w.+-]+( (and|or|with) [\w.+-]+)*)"),
     ("gpl3", r".*\bgnu general public licen[cs]e,? (version|v) ?3(\.0)?( only| or later)?"),
     ("gpl2", r".*\bgnu general public licen[cs]e,? (version|v) ?2(\.0)?( only| or later)?"),
     ("lgpl3", r".*\bgnu lesser general public licen[cs]e,? (version|v) ?3(\.0)?( only| or later)?"),
@@ -57,8 +57,10 @@ SENTENCES: list[tuple[str, str]] = [
     ("isc", r".*\bisc licen[cs]e"),
     ("unlicense", r".*\bunlicense|this is free and unencumbered software released into the public domain"),
     ("publicDomain", r".*\b(dedicated to|released into|in) the public domain"),
+    ("gnuShort", r".*\b(?P<id>[al]?gpl[ -]?v?[123](\.\d)?)(\+| or later| only)?"),
     ("copyright", r"(copyright|\(c\)|©).*"),
     ("allRights", r".*\ball rights reserved"),
+    ("unknown", r".*\b(licen[cs]ed|released|distributed|published|available|provided|made available) under (the |an? )?[\w.+-]+( [\w.+-]+){0,6} licen[cs]e"),
 ]
 
 #: Licence rules in order; a rule's identifiers must follow each other, others left out. "{id}" is the number or name that a sentence gives.
@@ -91,9 +93,16 @@ RULES: list[tuple[str, list[str]]] = [
     ("Unlicense", ["unlicense"]),
     ("public-domain", ["publicDomain"]),
     ("all-rights-reserved", ["copyright", "allRights"]),
+    ("{id}", ["gnuShort"]),
     ("all-rights-reserved", ["allRights"]),
+    ("unknown", ["unknown"]),
 ]
 
+#: Names of further licences, as identifiers spell them.
+NAMES = "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Artistic-2.0 BSL-1.0 CDDL-1.0 CPL-1.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-1.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT-0 MPL-1.1 MS-PL NCSA OFL-1.1 PostgreSQL Python-2.0 Vim W3C WTFPL Zlib ZPL-2.1".split()
+_SPELLED = {name.lower(): name for name in (*(x for x, _ in RULES if "{" not in x), *NAMES)}
+_GNU = re.compile(r"([al]?gpl)[ -]?v?(\d)(\.\d)?")
+
 #: Each pattern with whether it may start within a sentence; what stands before and after the known words is free.
 _KNOWN = []
 for _name, _pattern in SENTENCES:
@@ -134,29 +143,43 @@ def recognise(text: str | None) -> list[tuple[str, str]]:
                 starts = set(heads)
                 spots = (m for m in spots if m.start() in starts or name == "gplLater")
             hits.extend((m.start(), rank, m.end(), name, (m.groupdict().get("id") or "").rstrip(".")) for m in spots)
-        done = 0
+        done, taken, rest = 0, [], []
         for start, _, end, name, given in sorted(hits):
-            if start >= done:
-                found.append((name, given))
+            if name == "unknown":  # only where no known sentence is
+                rest.append((start, end))
+            elif start >= done:
+                taken.append((start, end, name, given))
                 done = end
+        taken += [(i, j, "unknown", "") for i, j in rest if all(j <= start or end <= i for start, end, *_ in taken)]
+        found.extend((name, given) for _, _, name, given in sorted(taken))
     return found
 
 
+def _names(sentence: str, licence: str, given: str) -> list[str]:
+    """Licences that a rule gives: those of an expression one by one, with their exceptions."""
+    if sentence == "spdx":
+        return [" WITH ".join(_SPELLED.get(x, x) for x in part.split(" with ")) for part in re.split(" (?:and|or) ", given)]
+    if sentence == "gnuShort":
+        name, number, minor = _GNU.match(given).groups()
+        return [f"{name.upper()}-{number}{minor or '.0'}"]
+    return [licence.replace("{id}", given)]
+
+
 def apply_rules(found: list[tuple[str, str]]) -> list[str]:
     """Licences of a sequence of identifiers, in the order of their first sentence."""
     left = list(enumerate(found))
-    out = []
+    out: list[tuple[int, str]] = []
     for licence, names in RULES:
         i = 0
         while i + len(names) <= len(left):
             part = left[i : i + len(names)]
             if [x[1][0] for x in part] == names:
                 given = next((x[1][1] for x in part if x[1][1]), "")
-                out.append((part[0][0], licence.replace("{id}", given)))
+                out.extend((part[0][0], name) for name in _names(names[0], licence, given))
                 del left[i : i + len(names)]
             else:
                 i += 1
-    return list(dict.fromkeys(name for _, name in sorted(out)))
+    return list(dict.fromkeys(name for _, name in sorted(out, key=lambda x: x[0])))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:

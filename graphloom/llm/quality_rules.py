@@ -7,9 +7,11 @@ share is at most the rule's part of the allowed risk.  Cutoffs are tried from
 the laxest on and the first failure ends the search (fixed-sequence testing), so
 only strata and rules need a correction, by Bonferroni.  With probability
 1 - DELTA no stratum loses more than RISK of its good documents to the rules.
+Every language is a stratum; one with too few labelled good documents for any
+certificate rejects nothing.
 
 Counting is one pass over the texts; the only shuffles are of numbers (a join of
-labels by doc_id and a histogram of fixed size).
+labels by doc_id and histograms of strata that can be certified).
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .workspace import store
+from .workspace import drop, store
 
 RISK = 0.05  # of good documents rejected falsely by all rules together, in each stratum
 DELTA = 0.05
 BINS = 200
-MAX_STRATA = 16  # languages with most labels; all others share one stratum
+MOST_BROADCAST = 10_000  # strata with cutoffs
 WINDOW = 5
 
 _SYMBOLS = tk.byte_flags("#*$%&|<>")
@@ -118,9 +120,10 @@ def _tail(k: int, n: int, p: float) -> float:
         return 1.0
     if p >= 1:
         return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    i = np.arange(1, k + 1, dtype=float)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(n - i + 1) - np.log(i) + math.log(p) - math.log1p(-p))]) + n * math.log1p(-p)
+    top = logs.max()
+    return min(1.0, float(math.exp(top) * np.exp(logs - top).sum()))
 
 
 def upper_bound(k: int, n: int, delta: float) -> float:
@@ -134,32 +137,38 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def choose_cutoffs(rows: list[tuple[str, str, int, int]], risk: float = RISK, delta: float = DELTA, bins: int = BINS) -> dict[tuple[str, str], float]:
+def bounded(k: int, n: int, delta: float, share: float) -> bool:
+    """Whether the exact upper confidence bound on a share, of k in n, is at most ``share``: one tail at that share tells."""
+    return n > 0 and k <= share * n and _tail(k, n, share) <= delta
+
+
+def least_documents(tests: int, share: float, delta: float = DELTA) -> int:
+    """Fewest good documents with which any cutoff can be certified: none of them rejected."""
+    return math.ceil(math.log(delta / max(tests, 1)) / math.log1p(-share))
+
+
+def choose_cutoffs(rows: list[tuple[str, str, int, int]], strata: int | None = None, risk: float = RISK, delta: float = DELTA, bins: int = BINS) -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule) from (stratum, rule, bin, good documents in it).
 
     A document is rejected if its score reaches the cutoff.  Where no cutoff
     can be certified, the stratum has none for that rule and rejects nothing.
+    ``strata`` is how many there are, of which rows may have fewer.
     """
-    strata = {s for s, *_ in rows}
-    rules = {r for _, r, *_ in rows}
-    if not strata:
-        return {}
-    each, part = delta / (len(strata) * len(rules)), risk / len(rules)
+    held: dict[tuple[str, str], np.ndarray] = {}
+    for s, r, i, n in rows:
+        held.setdefault((s, r), np.zeros(bins + 1, np.int64))[i] += n
+    rules = {r for _, r in held}
+    each, part = delta / max((strata or len({s for s, _ in held})) * len(rules), 1), risk / max(len(rules), 1)
     out = {}
-    for s in strata:
-        for r in rules:
-            held = np.zeros(bins + 1, np.int64)
-            for a, b, i, n in rows:
-                if (a, b) == (s, r):
-                    held[i] += n
-            total, above, best = int(held.sum()), 0, None
-            for i in range(bins, 0, -1):
-                above += int(held[i])
-                if upper_bound(above, total, each) > part:
-                    break
-                best = i / bins
-            if best is not None:
-                out[s, r] = best
+    for key, counts in held.items():
+        total, above, best = int(counts.sum()), 0, None
+        for i in range(bins, 0, -1):
+            above += int(counts[i])
+            if not bounded(above, total, each, part):
+                break
+            best = i / bins
+        if best is not None:
+            out[key] = best
     return out
 
 
@@ -168,20 +177,30 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Cutoffs are learnt from all labelled good documents (quality 1; a document
     with several labels counts as good if all say so).  Null and empty texts
-    have counts of 0 and fail the base rule; rows with a null doc_id are judged
-    but never learnt from; with no labels at all only the base rule decides.
+    have counts of 0 and fail the base rule; very long texts are counted whole;
+    documents without a column lang, or with nulls in it, are one stratum; rows
+    with a null doc_id are judged but never learnt from; with no labels at all
+    only the base rule decides.
     """
-    made = store(counts(docs), "rules")
+    made = store(counts(docs, tuple(c for c in ("doc_id", "lang") if c in docs.columns)), "rules")
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     learnt = made.where(~base_failed()).join(good, "doc_id", "left_semi")
-    lang = F.coalesce("lang", F.lit(""))
-    top = [r[0] for r in learnt.groupBy(lang.alias("s")).count().orderBy(F.desc("count"), "s").limit(MAX_STRATA).collect()]
-    stratum = F.when(lang.isin(top), F.concat(F.lit("="), lang)).otherwise(F.lit("other")) if top else F.lit("other")
-    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.floor(v * BINS).cast("int").alias("bin")) for k, v in scores().items()]))
-    histogram = learnt.select(stratum.alias("s"), pairs.alias("p")).groupBy("s", "p.rule", "p.bin").count()
-    # at most MAX_STRATA + 1 times the rules times BINS + 1 rows
-    cutoffs = choose_cutoffs([tuple(r) for r in histogram.collect()])
+    rules = scores()
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    learnt = store(learnt.withColumn("_s", stratum), "learnt")
+    sizes = learnt.groupBy("_s").agg(F.count("*").alias("n"))
+    strata = sizes.count()
+    able = sizes.where(F.col("n") >= least_documents(strata * len(rules), RISK / len(rules))).select("_s")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.floor(v * BINS).cast("int").alias("bin")) for k, v in rules.items()]))
+    histogram = learnt.join(able, "_s", "left_semi").select("_s", pairs.alias("p")).groupBy("_s", "p.rule", "p.bin").count()
+    # a stratum that can be certified has hundreds of labelled documents, so these are few, whatever the number of strata
+    cutoffs = choose_cutoffs([tuple(r) for r in histogram.collect()], strata)
+    drop(learnt)
+    table = [(s, *[next((round(c * BINS) for (t, r), c in cutoffs.items() if (t, r) == (s, rule)), None) for rule in rules]) for s in sorted({s for s, _ in cutoffs})]
+    least = docs.sparkSession.createDataFrame(table, ", ".join(["_s string", *(f"_{rule} int" for rule in rules)]))
+    least = F.broadcast(least) if len(table) <= MOST_BROADCAST else least
+    judged = made.withColumn("_s", stratum).join(least, "_s", "left")
     rejects = F.lit(False)
-    for (s, rule), cutoff in sorted(cutoffs.items()):
-        rejects = rejects | ((stratum == s) & (F.floor(scores()[rule] * BINS) >= round(cutoff * BINS)))
-    return made.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejects)
+    for rule, score in rules.items():
+        rejects = rejects | F.coalesce(F.floor(score * BINS) >= F.col(f"_{rule}"), F.lit(False))
+    return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~rejects).select(*made.columns, "base_failed", "kept")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -51,6 +52,48 @@ def test_cutoffs_hold_the_risk():
     assert quality_rules.upper_bound(rejected, 3000, 0.025) <= 0.05 and cut["a", "r"] < 0.2
 
 
+def brute_scores(text):
+    w = WORD.findall(text)
+    n, chars, symbols, dup, repeats = brute_counts(text)
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    upper, letters = len(re.findall("[A-Z]", text)), len(re.findall("[A-Za-z]", text))
+    share = lambda a, b: min(1.0, a / b) if b else 0.0
+    return [share(symbols, chars), share(dup, lines), share(repeats, n), share(upper, letters), share(sum(a == b for a, b in zip(w, w[1:])), n)]
+
+
+def test_verdict_against_brute_force(spark):
+    rng = random.Random(9)
+    rows, good = [], []
+    for i in range(1100):
+        lang = "en" if i < 1000 else "de"
+        w = [f"t{rng.randrange(900)}" for _ in range(30)]
+        bad = i % 5 == 0
+        for _ in range(12 if bad else int(rng.expovariate(2))):
+            w[rng.randrange(30)] = rng.choice(["##", "A%B", "<<>>"]) if bad or rng.random() < 0.5 else "AB"
+        rows.append((i, " ".join(w[:15]) + "\n" + " ".join(w[15:]), lang))
+        if not bad:
+            good.append(i)
+    labels = spark.createDataFrame([(i, int(i in set(good)), 0) for i in range(1100)], "doc_id long, quality int, toxic int")
+    scores = {i: brute_scores(t) for i, t, _ in rows}
+    bins, tests, part = 200, 10, 0.05 / 5
+    cutoffs = {}
+    for lang in ("en", "de"):
+        held = [scores[i] for i in good if rows[i][2] == lang]
+        for k in range(5):
+            for b in range(bins, 0, -1):
+                n, above = len(held), sum(math.floor(x[k] * bins) >= b for x in held)
+                tail = sum(math.comb(n, j) * part**j * (1 - part) ** (n - j) for j in range(above + 1))
+                if tail > 0.05 / tests:
+                    break
+                cutoffs[lang, k] = b
+    want = {i: not any(math.floor(scores[i][k] * bins) >= cutoffs.get((lang, k), bins + 1) for k in range(5)) for i, _, lang in rows}
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert got == want and not any(lang == "de" for lang, _ in cutoffs)
+    assert 150 < sum(not k for k in want.values()) < 260 and sum(not want[i] for i in good if i < 1000) <= 0.05 * 800
+    no_lang = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang"), labels)
+    assert no_lang.count() == 1100 and "lang" not in no_lang.columns
+
+
 def test_quality_model_held_out(spark):
     rows = queries.op1_quality_model(spark, DATA).collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
@@ -125,6 +168,17 @@ def test_licences_in_standard_texts():
     assert scan("A license to thrill, in a bsd-like way.") == [] and scan("See Apache License 2.5 of old") == []
 
 
+def test_expressions_short_names_and_unknown_licences():
+    scan = lambda text: licenses.apply_rules(licenses.recognise(text))
+    assert scan("// SPDX-License-Identifier: MIT OR Apache-2.0") == ["MIT", "Apache-2.0"]
+    assert scan("SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) AND BSD-3-Clause") == ["GPL-2.0-only WITH linux-syscall-note", "BSD-3-Clause"]
+    assert scan("Licensed under GPLv3.") == ["GPL-3.0"] and scan("Some of it is LGPL-2.1 or later.") == ["LGPL-2.1"] and scan("AGPL v3") == ["AGPL-3.0"]
+    assert scan('Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file.') == ["Apache-2.0"]
+    assert scan("Licensed under the MIT license, see LICENSE.") == ["MIT"] and scan("This work is CC BY-SA 4.0.") == ["CC-BY-SA-4.0"]
+    assert scan("CC0 1.0 Universal") == ["CC0-1.0"] and scan("BSD 3-Clause") == ["BSD-3-Clause"]
+    assert scan("Distributed under the Foo Public Licence of 2031.") == ["unknown"] and scan("We went under the bridge; he had a licence.") == []
+
+
 def test_licences(docs, none, spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind."
     cases = {
