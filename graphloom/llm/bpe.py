@@ -307,4 +307,4 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, "n_tokens", "ids", "decoded"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema), "n_tokens long", "ids binary", "decoded string"])
-    return docs.select(*names, text).transform(small_batches).mapInArrow(run, schema)
+    return docs.select(*names, text).transform(small_batches).mapInArrow(tk.released(run), schema)

@@ -46,7 +46,7 @@ NEAR = 90  # smallest similarity to the centre of a group
 SKETCH_BITS = 20  # counters of shingles, and of words
 CHUNK = 1024  # counters in a row of a sketch
 HOT = 1.6  # times the mean counter
-HELD = 2_000_000  # shingles of group centres that a task remembers
+HELD = 1_000_000  # shingles of group centres that a task remembers
 BITMAP = 2  # bits of a bitmap for each shingle, rounded up to a power of two
 MOST_BITMAP = 1 << 16
 SLACK = 1e-9
@@ -90,7 +90,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
             total += np.frombuffer(raw, np.uint8)
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "total": pa.array([total.tobytes()], pa.binary())})
 
-    parts = docs.select("text").transform(small_batches).mapInArrow(count, "chunk long, counts binary")
+    parts = docs.select("text").transform(small_batches).mapInArrow(tk.released(count), "chunk long, counts binary")
     out = np.zeros(2 * size, np.uint32)
     for chunk, raw in parts.groupBy("chunk").applyInArrow(add, "chunk long, total binary").collect():  # 8 MB, a parameter
         out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(raw, np.uint32)
@@ -211,7 +211,7 @@ def _prefixes(docs: DataFrame, classes, percent: int) -> DataFrame:
                 columns = [ids, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _bitmaps(h, text, n), pa.array(centre, pa.int64()), pa.array(gap, pa.float64()), pa.array(n_centre, pa.int64()), pa.array(typical, pa.int32()), pa.array(n_short, pa.int32()), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp_a", "fp_b", "bitmap", "centre", "gap", "n_centre", "typical", "n_short", "rows"])
 
-    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, "doc_id long, n long, fp_a long, fp_b long, bitmap binary, centre long, gap double, n_centre long, typical int, n_short int, rows array<long>")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(tk.released(run), "doc_id long, n long, fp_a long, fp_b long, bitmap binary, centre long, gap double, n_centre long, typical int, n_short int, rows array<long>")
 
 
 def _lists(rows: DataFrame, percent: int) -> DataFrame:
@@ -246,7 +246,7 @@ def _lists(rows: DataFrame, percent: int) -> DataFrame:
             left = left[~fits]
         yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node), pa.array(short), pa.array(star)], names=["token", "node", "short", "star"])
 
-    return rows.repartition("token").transform(small_batches).mapInArrow(run, "token long, node long, short boolean, star long")
+    return rows.repartition("token").transform(small_batches).mapInArrow(tk.released(run), "token long, node long, short boolean, star long")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, ids: DataFrame | None = None) -> DataFrame:
@@ -298,7 +298,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     texts = thin(docs.select("doc_id", "text").where("doc_id is not null"), pairs.select("a").union(pairs.select("b")).distinct())
     left = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     whole = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return whole.select("a", "b", "text_a", "text_b").transform(small_batches).mapInArrow(run, "a long, b long, distance double")
+    return whole.select("a", "b", "text_a", "text_b").transform(small_batches).mapInArrow(tk.released(run), "a long, b long, distance double")
 
 
 def _similar(rows, a, b, percent: int):
