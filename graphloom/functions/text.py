@@ -102,3 +102,8 @@ def word_shingles(text: Column, n: int = 3) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets held as arrays."""
     return let(F.size(F.array_intersect(a, b)), lambda both: F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0)))
+
+
+def set_value(attrs: Column, key: str, value: Column) -> Column:
+    """A map of lists with one value under a key, whatever the key had."""
+    return F.map_concat(F.map_filter(attrs, lambda k, _: k != key), F.create_map(F.lit(key), F.array(value)))

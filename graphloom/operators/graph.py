@@ -20,10 +20,13 @@ def reverse_index(edges: DataFrame) -> DataFrame:
     return edges.groupBy("dst", "src").agg(F.count("*").alias("n"))
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(id, out_degree, in_degree, degree) by one partial aggregation."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
-    sums = ends.groupBy("e.id").agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree"))
+def degrees(edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, out_degree, in_degree, degree) by one partial aggregation; of the given ids (column id) only, if there are any given."""
+    side = lambda column, out: edges.select(F.col(column).alias("id"), F.lit(out).alias("o"))
+    ends = side("src", 1).union(side("dst", 0))
+    if ids is not None:
+        ends = ends.join(ids.select("id"), "id", "left_semi")
+    sums = ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum(1 - F.col("o")).alias("in_degree"))
     return sums.withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
@@ -31,27 +34,28 @@ def bfs(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, backwa
     """(id, hop) of the nodes within depth hops of the seeds (column id), seeds left out.
 
     Targets without a node are skipped; a depth of 0 or less gives none.  Every
-    hop is a join and an anti-join whose result is checkpointed.
+    hop reads the links once, and its frontier is written once.
     """
     a, b = ("dst", "src") if backward else ("src", "dst")
     steps = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     visited = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = visited
     for hop in range(1, depth + 1):
-        found = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()
-        frontier = cut(found.join(visited, "id", "left_anti").join(ids, "id", "left_semi").withColumn("hop", F.lit(hop)))
+        found = steps.join(frontier.select("id"), "id", "left_semi").select(F.col("next").alias("id")).distinct()
+        fresh = found.join(visited, "id", "left_anti")
+        frontier = cut(ids.join(fresh, "id", "left_semi").distinct().withColumn("hop", F.lit(hop)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
     return visited.where("hop > 0")
 
 
-def cap(pool: DataFrame, degree: DataFrame, most: int) -> DataFrame:
+def cap(pool: DataFrame, edges: DataFrame, most: int) -> DataFrame:
     """The most ids of a pool, by degree from the highest and then id; the pool itself where it isn't larger or most isn't positive."""
     if most <= 0:
         return pool
-    ranked = pool.join(degree.select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    ranked = pool.join(degrees(edges, pool).select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     return ranked.orderBy(F.desc("degree"), "id").limit(most).drop("degree")
 
 
@@ -79,13 +83,12 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seed: str, depth: int = 1, dire
     start = nodes.where(F.col("id") == seed).select("id").limit(1)
     if start.isEmpty():
         raise NodeNotFound(seed)
-    degree = degrees(edges)
     pools, counts = [], []
     for backward, most in ((False, direct_cap), (True, backlink_cap)):
         pool = cut(bfs(edges, nodes, start, depth, backward).select("id"))
         n = pool.count()
         counts.append(n)
-        pools.append(cap(pool, degree, most) if 0 < most < n else pool)
+        pools.append(cap(pool, edges, most) if 0 < most < n else pool)
     direct, back = pools
     found = direct.withColumn("part", F.lit("direct")).unionByName(back.join(direct, "id", "left_anti").withColumn("part", F.lit("backlink")))
     if keep is not None:

@@ -12,10 +12,11 @@ from .merge import is_marker
 def popular(edges: DataFrame, most: int) -> DataFrame:
     """(id, links, place) of the nodes with most links to them; ties share a place."""
     counts = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("links"))
-    # the least count that can be among the first places bounds what the ranking window gets
-    least = counts.orderBy(F.desc("links")).limit(most).agg(F.min("links").alias("least"))
-    top = counts.join(F.broadcast(least), F.col("links") >= F.col("least")).drop("least")
-    return top.withColumn("place", F.rank().over(Window.orderBy(F.desc("links")))).where(F.col("place") <= most)
+    # places are those of the distinct counts, of which there are few, whatever the number of ties
+    sizes = counts.groupBy("links").agg(F.count("*").alias("n")).orderBy(F.desc("links")).limit(most)
+    above = F.sum("n").over(Window.orderBy(F.desc("links")).rowsBetween(Window.unboundedPreceding, -1))
+    places = sizes.select("links", (F.coalesce(above, F.lit(0)) + 1).cast("int").alias("place")).where(F.col("place") <= most)
+    return counts.join(F.broadcast(places), "links").select("id", "links", "place")  # most rows at most
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

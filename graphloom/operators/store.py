@@ -1,9 +1,12 @@
 """Ingestion and retraction over an append-only log.
 
 Every value a document contributes is one row of ``contributions``; what the
-graph holds is a fold of that log, so nothing is rewritten in place and an
-aborted write leaves no trace.  Retracting a document adds a row to
-``retractions``.  Nodes that only retracted documents wrote are gone, and so are
+graph holds is a fold of that log, so nothing is rewritten in place.  The commit
+row is written last and alone decides: rows of a log without their commit count
+for nothing, so an aborted write leaves no trace.  One writer at a time is
+assumed.  Retracting a document adds a row to ``retractions``.  Types and
+predicates that documents bring are rows of ``definitions`` and are there again
+when the store is opened anew.  Nodes that only retracted documents wrote are gone, and so are
 links to them; of nodes shared with other documents only the prose is taken
 back, and conflicts that the document caused dissolve with it.
 """
@@ -11,17 +14,20 @@ back, and conflicts that the document caused dissolve with it.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+import json
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import node_path
 from ..model import Graph, GraphError, InvalidDocument
 from ..sources import codec
 from . import merge, timeline
-from .schema import Schema
+from .schema import Predicate, Schema, Type
 
 CONTRIBUTIONS = (
     "seq long, document string, node_seq int, id string, type string, kind string, key string, pos int, "
@@ -29,6 +35,7 @@ CONTRIBUTIONS = (
 )
 RETRACTIONS = "seq long, document string"
 COMMITS = "seq long, subject string, source_id string, message string"
+DEFINITIONS = "seq long, kind string, name string, body string"
 
 
 @dataclass
@@ -75,27 +82,38 @@ class GraphStore:
     """A graph kept as Parquet tables under a path that all executors reach."""
 
     def __init__(self, spark: SparkSession, root: str, schema: Schema):
+        """The store at a path; definitions that earlier commits brought are added to the schema."""
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
+        for r in self._committed("definitions", DEFINITIONS).orderBy("seq", "name").collect():  # a schema is small
+            known, made = (schema.predicates, Predicate) if r["kind"] == "predicate" else (schema.types, Type)
+            values = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(r["body"]).items()}
+            known.setdefault(r["name"], made(**values))
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
 
+    def _committed(self, name: str, schema: str) -> DataFrame:
+        """A log's rows that have their commit."""
+        return self._read(name, schema).join(self.commits.select("seq").distinct(), "seq", "left_semi")
+
     @property
     def contributions(self) -> DataFrame:
-        return self._read("contributions", CONTRIBUTIONS)
+        return self._committed("contributions", CONTRIBUTIONS)
 
     @property
     def retractions(self) -> DataFrame:
-        return self._read("retractions", RETRACTIONS)
+        return self._committed("retractions", RETRACTIONS)
 
     @property
     def commits(self) -> DataFrame:
         return self._read("commits", COMMITS)
 
     def _next(self) -> int:
-        return (self.commits.agg(F.max("seq")).first()[0] or 0) + 1
+        # beyond rows of aborted writes, too
+        used = [self._read(n, c).agg(F.max("seq")).first()[0] or 0 for n, c in (("commits", COMMITS), ("contributions", CONTRIBUTIONS), ("retractions", RETRACTIONS), ("definitions", DEFINITIONS))]
+        return max(used) + 1
 
     def _commit(self, seq: int, subject: str, source_id: str, message: str) -> None:
         self.spark.createDataFrame([(seq, subject, source_id, message)], COMMITS).write.mode("append").parquet(f"{self.root}/commits")
@@ -136,16 +154,21 @@ class GraphStore:
         real = [n for n in patch.nodes if n.type != "Timeline"]
         ids = self.spark.createDataFrame([(n.id,) for n in real] or [("",)], "id string").distinct()
         known = {r[0] for r in self.live().where("live and kind = 'node'").join(ids, "id", "left_semi").select("id").distinct().collect()}  # of the patch's ids
+        new: list[tuple[str, str]] = []
         for n in real:
-            if n.type not in self.schema.types:
+            if self.schema.register_type(n.type):
                 out.warnings.append(f"type {n.type} is new")
-                self.schema.register_type(n.type)
+                new.append(("type", n.type))
             for predicate, seen in observed(n).items():
-                self.schema.register_predicate(predicate, seen, n.labels.get(predicate, ""))
+                if self.schema.register_predicate(predicate, seen, n.labels.get(predicate, "")):
+                    new.append(("predicate", predicate))
             counts = out.merged if n.id in known else out.created
             counts[n.type] = counts.get(n.type, 0) + 1
             known.add(n.id)
         seq = self._next()
+        if new:
+            bodies = [(seq, k, name, json.dumps(asdict((self.schema.predicates if k == "predicate" else self.schema.types)[name]))) for k, name in new]
+            self.spark.createDataFrame(bodies, DEFINITIONS).write.mode("append").parquet(f"{self.root}/definitions")
         self.spark.createDataFrame(rows_of(patch, seq, now), CONTRIBUTIONS).write.mode("append").parquet(f"{self.root}/contributions")
         out.message = f"Ingest {patch.document}\n\nCreated: {count_text(out.created)}\nMerged: {count_text(out.merged)}\nSource-Id: {patch.document}"
         self._commit(seq, f"Ingest {patch.document}", patch.document, out.message)
@@ -176,6 +199,50 @@ class GraphStore:
         return out
 
 
+def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
+    """Contributions of a table of patches (seq long, at timestamp, raw string), and (seq, err) of those that are refused.
+
+    Patches are parsed where they lie; of patches of one document the first by
+    seq counts.  Nothing is collected, so the table may have any size.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split(" ")[0] for c in CONTRIBUTIONS.split(", ")] + ["err"]
+        for frame in frames:
+            rows: list[tuple] = []
+            for seq, at, raw in zip(frame["seq"], frame["at"], frame["raw"]):
+                try:
+                    patch = codec.parse_patch(raw, schema)
+                    bad = next((n.id for n in patch.nodes if not n.id or "/" in n.id or n.id in (".", "..")), None)
+                    if bad is not None:
+                        raise InvalidDocument(f"bad id {bad!r}")
+                    rows += [(*x, None) for x in rows_of(patch, seq, at)]
+                except (GraphError, ValueError) as e:
+                    rows.append((seq, *[None] * 10, at, str(e) or type(e).__name__))
+            made = pd.DataFrame(rows, columns=names)
+            for name in ("node_seq", "pos"):
+                made[name] = made[name].astype("Int32")
+            yield made
+
+    parsed = patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string")
+    good = parsed.where("err is null").drop("err")
+    first = good.groupBy("document").agg(F.min("seq").alias("seq"))
+    return good.join(first, ["document", "seq"], "left_semi"), parsed.where("err is not null").select("seq", "err")
+
+
+def counts(contributions: DataFrame) -> DataFrame:
+    """(document, type, created, merged): nodes of each ingestion by type; a node is created by the first that names it."""
+    heads = contributions.where("kind = 'node'").select("document", "type", "id", F.struct("seq", "node_seq").alias("o"))
+    first = heads.groupBy("id").agg(F.min("o").alias("first"))
+    return heads.join(first, "id").groupBy("document", "type").agg(F.count_if(F.col("o") == F.col("first")).alias("created"), F.count_if(F.col("o") != F.col("first")).alias("merged"))
+
+
+def retracted(contributions: DataFrame, documents: DataFrame) -> DataFrame:
+    """Contributions with ``live``: false for those of some documents (column document)."""
+    out = documents.select("document").distinct().withColumn("_out", F.lit(True))
+    return contributions.join(out, "document", "left").withColumn("live", F.col("_out").isNull()).drop("_out")
+
+
 def observed(node: codec.Node) -> dict[str, str]:
     """Predicates of a node's links and named prose, by how they were first seen."""
     seen: dict[str, str] = {}
@@ -189,6 +256,25 @@ def observed(node: codec.Node) -> dict[str, str]:
     return seen
 
 
+def _flag_step(state: Column, x: Column) -> Column:
+    """The next state of a flagging attribute with the seq of its last change."""
+    new = merge.merge_values("firstWriteWin", state["s"], x["list"], x["document"])
+    return F.struct(new.alias("s"), F.when(new == state["s"], state["at"]).otherwise(x["seq"]).alias("at"))
+
+
+def _text_changes(texts: DataFrame, with_op) -> DataFrame:
+    """(id, seq) of the last change of every text."""
+    ordered = with_op(texts).groupBy("id", "key", "op").agg(F.sort_array(F.collect_list(F.struct("seq", "value", "document"))).alias("c"))
+
+    def step(state: Column, x: Column, op: str) -> Column:
+        new = F.coalesce(merge.merge_text(op, state["s"], x["value"], x["document"]), F.lit(""))
+        return F.struct(new.alias("s"), F.when(new == state["s"], state["at"]).otherwise(x["seq"]).alias("at"))
+
+    last = lambda op: F.aggregate("c", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")), lambda s, x: step(s, x, op))["at"]
+    by_op = F.when(F.col("op").isin(*merge.FREEZE), last("immutable")).when(F.col("op").isin(*merge.FLAG), last("firstWriteWin")).when(F.col("op").isin(*merge.OVERWRITE), last("lastWriteWin")).otherwise(last("append"))
+    return ordered.select("id", by_op.alias("seq"))
+
+
 def fold(live: DataFrame, schema: Schema) -> Graph:
     """The graph that a log (with ``live``) amounts to."""
     spark = live.sparkSession
@@ -197,11 +283,12 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
     alive = heads.where("live").select("id").distinct()
     order = F.struct("seq", "node_seq")
     kept = live.join(alive, "id", "left_semi")
+    # a date is never flagged or united: only an overwriting policy changes it
+    which = "max_by" if schema.merge_of("published") in merge.OVERWRITE else "min_by"
     first = kept.where("kind = 'node'").groupBy("id").agg(
         F.min_by("type", order).alias("type"),
-        F.expr("min_by(value, struct(seq, node_seq)) filter (where value is not null)").alias("published"),
-        F.expr("min_by(at, struct(seq, node_seq)) filter (where key = 'full')").alias("_at"),
-        F.expr("max_by(at, struct(seq, node_seq)) filter (where key = 'full')").alias("_last"),
+        F.expr(f"{which}(value, struct(seq, node_seq)) filter (where value is not null)").alias("published"),
+        F.expr("min_by(struct(seq * 1048576L + node_seq as seq, at), struct(seq, node_seq)) filter (where key = 'full')").alias("_made"),
     )
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     nodes = first.select("id", "type", F.to_timestamp("published").alias("published"), node_path(F.col("type"), F.col("id")).alias("path"), F.lit(None).cast("string").alias("raw"))
@@ -212,13 +299,25 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
     attrs = with_op(kept.where("kind = 'attr'").withColumn("seq", seq))
     sets = attrs.groupBy("id", "key", "op", "seq", "document").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("value", F.lit("")).alias("v")))), lambda x: x["v"]).alias("list"))
     scalars = sets.where(F.col("op").isin(*merge.FREEZE, *merge.OVERWRITE) & (F.array_join("list", "") != ""))
-    pick = scalars.groupBy("id", "key", "op").agg(F.min_by("list", "seq").alias("a"), F.max_by("list", "seq").alias("b"))
+    runs = scalars.withColumn("_was", F.lag("list").over(Window.partitionBy("id", "key").orderBy("seq")))
+    pick = runs.groupBy("id", "key", "op").agg(F.min_by("list", "seq").alias("a"), F.max_by("list", "seq").alias("b"), F.min("seq").alias("from"), F.expr("max(seq) filter (where _was is null or _was <> list)").alias("since"))
     chosen = pick.select("id", "key", F.when(F.col("op").isin(*merge.OVERWRITE), F.col("b")).otherwise(F.col("a")).alias("list"))
     flagged = sets.where(F.col("op").isin(*merge.FLAG)).groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("seq", "list", "document"))).alias("c"))
     flags = F.aggregate("c", F.array().cast("array<string>"), lambda s, x: merge.merge_values("firstWriteWin", s, x["list"], x["document"]))
     lists = attrs.where(~F.col("op").isin(*merge.FREEZE, *merge.OVERWRITE, *merge.FLAG) & F.col("value").isNotNull())
     united = lists.groupBy("id", "key", "value").agg(F.min(F.struct("seq", "pos")).alias("o")).groupBy("id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]).alias("list"))
-    dates = [first.where("_at is not null").select("id", F.lit("indexed").alias("key"), F.array(stamp("_at")).alias("list")), first.where("_last > _at").select("id", F.lit("updated").alias("key"), F.array(stamp("_last")).alias("list"))]
+    # when a contribution has last changed anything, by what first brought each thing that is there
+    at_of = kept.where("kind = 'node'").select("id", seq.alias("seq"), "at")
+    changed = [
+        pick.select("id", F.when(F.col("op").isin(*merge.OVERWRITE), F.col("since")).otherwise(F.col("from")).alias("seq")),
+        flagged.select("id", F.aggregate("c", F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).cast("long").alias("at")), _flag_step)["at"].alias("seq")),
+        lists.groupBy("id", "key", "value").agg(F.min("seq").alias("seq")).select("id", "seq"),
+        kept.where("kind in ('edge', 'href')").groupBy("id", "kind", "key", "target").agg(F.min(seq).alias("seq")).select("id", "seq"),
+        _text_changes(kept.where("kind = 'text' and live").withColumn("seq", seq), with_op),
+    ]
+    last = reduce(DataFrame.union, changed).groupBy("id").agg(F.max("seq").alias("seq"))
+    updated = last.join(first.where("_made is not null").select("id", F.col("_made.seq").alias("_from")), "id").where(F.col("seq") > F.col("_from")).join(at_of, ["id", "seq"]).groupBy("id").agg(F.max("at").alias("at"))
+    dates = [first.where("_made is not null").select("id", F.lit("indexed").alias("key"), F.array(stamp("_made.at")).alias("list")), updated.select("id", F.lit("updated").alias("key"), F.array(stamp("at")).alias("list"))]
     made = reduce(DataFrame.unionByName, [chosen, flagged.select("id", "key", flags.alias("list")), united, *dates])
     none = F.lit(None).cast("string")
     out_attrs = made.select("id", "key", F.posexplode("list").alias("pos", "value_str")).select("id", "key", "pos", "value_str", F.lit("string").alias("vtype"), none.alias("target"), none.alias("alias"))
@@ -237,7 +336,7 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
         one = rows.groupBy("src", "predicate", "dst").agg(F.min_by("alias", F.struct("seq", "pos")).alias("alias"), F.min(F.struct("seq", "pos")).alias("o"))
         if kind == "edge":
             one = one.join(gone, "dst", "left_anti")
-        lists = one.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("o", "predicate", "dst", "alias"))).alias("l"))
-        return lists.select("src", F.posexplode("l").alias("pos", "e")).select("src", "pos", "e.predicate", "e.dst", "e.alias")
+        # a sorted window spills; no node's links are gathered into one row
+        return one.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("o", "predicate", "dst")) - 1).alias("pos"), "predicate", "dst", "alias")
 
     return Graph(nodes, out_attrs, out_texts, links("edge"), links("href"))

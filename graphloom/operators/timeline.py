@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: a period entry's line.
-ENTRY = r"^- cites:: \[\[([^\]|]+)(?:\|[^\]]+)?\]\](?: — .*)? — (\d{4}-\d{2}-\d{2})$"
+ENTRY = r"^- (?:cites:: )?\[\[([^\]|]+)(?:\|[^\]]+)?\]\](?: — .*)? — (\d{4}-\d{2}-\d{2})$"
 
 
 def periods(published: Column) -> Column:
@@ -44,9 +44,17 @@ def entries(documents: DataFrame, extra: str | None = None) -> DataFrame:
 
 
 def positions(rows: DataFrame) -> DataFrame:
-    """Entries with pos: by date, and those of one date in order of arrival."""
-    w = Window.partitionBy("period").orderBy(F.to_date("published"), "seq", "doc_id")
-    return rows.withColumn("pos", F.row_number().over(w))
+    """Entries with pos: by date, and those of one date in order of arrival.
+
+    Entries are numbered within their day, and the days of a period by what
+    came before, so no task holds more than a day of a period.
+    """
+    rows = rows.withColumn("_day", F.to_date("published"))
+    days = rows.groupBy("period", "_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("period").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("period", "_day").orderBy("seq", "doc_id"))
+    numbered = rows.withColumn("_at", inner).join(days.select("period", "_day", before.alias("_before")), ["period", "_day"])
+    return numbered.withColumn("pos", (F.col("_before") + F.col("_at")).cast("int")).select(*[c for c in rows.columns if c != "_day"], "pos")
 
 
 def entry_line(doc_id: Column, title: Column, authors: Column, published: Column) -> Column:

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import filters, graph, history, lint, merge, reads, timeline
 from ..operators import schema as schemas
 from ..operators.grep import grep
+from ..session import cut
 from ..sources import relational as rel
+from . import documents  # noqa: F401  its queries are registered, too
+from .registry import ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 EDGES_SQL = """edges AS (
   SELECT 'C' || c_custkey AS src, 'locatedIn' AS predicate, 'N' || c_nationkey AS dst FROM customer
@@ -34,18 +33,6 @@ NODES_SQL = """nodes AS (
 DEGREE_SQL = "degree AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a query under its function's name."""
-
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
 def _customers(spark: SparkSession, d: str) -> DataFrame:
     """Customers as nodes with attributes."""
     c = rel.table(spark, d, "customer")
@@ -111,6 +98,12 @@ def filter_json_attr(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.create_map(F.lit("k"), F.array(k)).alias("attrs")).where(filters.has_value(F.col("attrs"), "k", "7")).select("event_id")
 
 
+@query("SELECT 'P' || p_partkey AS id FROM part WHERE regexp_matches(p_brand, '^[[:alpha:]]+#[[:digit:]]{2}$') AND regexp_matches(p_type, '\\b[[:upper:]]+\\b')")
+def filter_attr_posix(spark: SparkSession, d: str) -> DataFrame:
+    """Named classes and word boundaries in patterns."""
+    return _parts(spark, d).where(filters.Filter(patterns={"brand": "^[[:alpha:]]+#[[:digit:]]{2}$", "kind": r"\b[[:upper:]]+\b"}).column()).select("id")
+
+
 # Line search
 
 _LINES_SQL = """all_lines AS (
@@ -158,6 +151,21 @@ def grep_unicode(spark: SparkSession, d: str) -> DataFrame:
     return grep(_docs(spark, d), r"(?i)é[a-z]+x\.$").select("doc_id", "line", "end")
 
 
+@query(f"""WITH {_LINES_SQL}, m AS (SELECT *, regexp_extract(text, '[[:digit:]]+[^[:alnum:]][[:^space:]]') AS hit FROM all_lines WHERE regexp_matches(text, '[[:digit:]]+[^[:alnum:]][[:^space:]]'))
+SELECT doc_id, CAST(line AS INTEGER) AS line, hit FROM m""")
+def grep_posix_class(spark: SparkSession, d: str) -> DataFrame:
+    """Classes by name, their complements too."""
+    hits = grep(_docs(spark, d), "[[:digit:]]+[^[:alnum:]][[:^space:]]")
+    cut = F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start") + 1, F.col("end") - F.col("start")), "UTF-8")
+    return hits.select("doc_id", "line", cut.alias("hit"))
+
+
+@query(f"WITH {_LINES_SQL} SELECT doc_id, CAST(line AS INTEGER) AS line FROM all_lines WHERE regexp_matches(text, '(?m)^.*\\Q.\\E\\s\\QThe\\E\\b|\\x{{7C}}\\101|[\\d\\-]{{4}}\\PN$')")
+def grep_quoted(spark: SparkSession, d: str) -> DataFrame:
+    """Quoted runs, code points, octal escapes and classes within brackets."""
+    return grep(_docs(spark, d), r"(?m)^.*\Q.\E\s\QThe\E\b|\x{7C}\101|[\d\-]{4}\PN$").select("doc_id", "line")
+
+
 # Graph
 
 
@@ -179,8 +187,7 @@ SELECT id, degree FROM degree JOIN customer ON id = 'C' || c_custkey WHERE c_mkt
 def degree_topk(spark: SparkSession, d: str) -> DataFrame:
     """Customers of a segment, the ten of highest degree."""
     pool = _customers(spark, d).where(filters.Filter(attrs={"segment": "building"}).column()).select("id")
-    degree = graph.degrees(rel.edges(spark, d)).select("id", "degree")
-    return pool.join(degree, "id").orderBy(F.desc("degree"), "id").limit(10)
+    return graph.degrees(rel.edges(spark, d), pool).select("id", "degree").orderBy(F.desc("degree"), "id").limit(10)
 
 
 @query(f"WITH {EDGES_SQL} SELECT dst, src, count(*) AS n FROM edges GROUP BY dst, src HAVING count(*) > 1")
@@ -189,6 +196,11 @@ def reverse_index_multigraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.reverse_index(rel.edges(spark, d)).where("n > 1")
 
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as one table each, written once for all hops of a search."""
+    return cut(rel.nodes(spark, d)), cut(rel.edges(spark, d))
+
+
 _BFS_SQL = """WITH RECURSIVE {edges}, walk(id, hop) AS (
   SELECT '{seed}', 0 UNION SELECT {to}, hop + 1 FROM walk JOIN edges ON {frm} = id WHERE hop < {depth})
 SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM walk WHERE id <> '{seed}' GROUP BY id"""
@@ -197,15 +209,15 @@ SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM walk WHERE id <> '{seed}' GROUP
 @query(_BFS_SQL.format(edges=EDGES_SQL, seed="O1", to="dst", frm="src", depth=3))
 def bfs_direct(spark: SparkSession, d: str) -> DataFrame:
     """Order, customer, nation, region."""
-    nodes = rel.nodes(spark, d)
-    return graph.bfs(rel.edges(spark, d), nodes, nodes.where("id = 'O1'"), 3)
+    nodes, edges = _graph(spark, d)
+    return graph.bfs(edges, nodes, nodes.where("id = 'O1'"), 3)
 
 
 @query(_BFS_SQL.format(edges=EDGES_SQL, seed="R1", to="src", frm="dst", depth=3))
 def bfs_backlink(spark: SparkSession, d: str) -> DataFrame:
     """What leads to a region in three hops."""
-    nodes = rel.nodes(spark, d)
-    return graph.bfs(rel.edges(spark, d), nodes, nodes.where("id = 'R1'"), 3, backward=True)
+    nodes, edges = _graph(spark, d)
+    return graph.bfs(edges, nodes, nodes.where("id = 'R1'"), 3, backward=True)
 
 
 @query(f"""WITH {EDGES_SQL}, {DEGREE_SQL}, pool AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 'N5'),
@@ -213,7 +225,7 @@ kept AS (SELECT id FROM pool JOIN degree USING (id) ORDER BY degree DESC, id LIM
 SELECT 'N5' AS id, 'seed' AS part UNION ALL SELECT DISTINCT dst, 'direct' FROM edges WHERE src = 'N5' UNION ALL SELECT id, 'backlink' FROM kept""")
 def subgraph_capped(spark: SparkSession, d: str) -> DataFrame:
     """A node's surroundings with a cap on backlinks."""
-    return graph.subgraph(rel.nodes(spark, d), rel.edges(spark, d), "N5", 1, backlink_cap=20).members
+    return graph.subgraph(*_graph(spark, d), "N5", 1, backlink_cap=20).members
 
 
 @query(f"""WITH {EDGES_SQL}, {DEGREE_SQL}, pool AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 'N5'),
@@ -222,14 +234,14 @@ SELECT 'N5' AS id, 'seed' AS part UNION ALL SELECT id, 'backlink' FROM kept WHER
 def subgraph_filter_after_cap(spark: SparkSession, d: str) -> DataFrame:
     """The filter comes after the cap and spares the seed."""
     keep = F.col("type") == "Supplier"
-    return graph.subgraph(rel.nodes(spark, d), rel.edges(spark, d), "N5", 1, backlink_cap=40, keep=keep).members
+    return graph.subgraph(*_graph(spark, d), "N5", 1, backlink_cap=40, keep=keep).members
 
 
 @query(f"""WITH {EDGES_SQL}, members AS (SELECT 'C1' AS id UNION SELECT dst FROM edges WHERE src = 'C1' UNION SELECT src FROM edges WHERE dst = 'C1')
 SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM members) AND dst NOT IN (SELECT id FROM members)""")
 def boundary_stubs(spark: SparkSession, d: str) -> DataFrame:
     """Existing targets just outside a subgraph."""
-    return graph.subgraph(rel.nodes(spark, d), rel.edges(spark, d), "C1", 1, stubs=True).members.where("part = 'stub'").select("id")
+    return graph.subgraph(*_graph(spark, d), "C1", 1, stubs=True).members.where("part = 'stub'").select("id")
 
 
 # Merging

@@ -3,13 +3,28 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only for a local master without that setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    made = f"file://{tempfile.mkdtemp(prefix='graphloom-')}"
+    spark.conf.set("spark.checkpoint.dir", made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End a lineage with a reliable checkpoint in the folder of spark.checkpoint.dir (a temporary one only where none is set)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
+    """End a lineage with a table in the shared folder, computed once and deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graphloom/cut-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

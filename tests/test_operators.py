@@ -174,3 +174,24 @@ def test_text_functions(spark):
     got = df.select(fx.camelize(F.col("l")), fx.title_case(F.lit("éa")), fx.slugify(F.lit("-A b!")), fx.list_link(F.col("i")), fx.strip_links(F.col("t")), fx.inline_links(F.col("t")), fx.parse_date(F.lit("2031-05-09T01:02:03Z")).cast("string"), fx.parse_date(F.lit("soon"))).first()
     assert got[:3] == ("relatedAporias", "Éa", "a-b") and tuple(got[3]) == ("p", "T", "A") and got[4] == "x A y U"
     assert [tuple(x) for x in got[5]] == [("p", "T", "A"), ("", "U", "")] and got[6] == "2031-05-09 01:02:03" and got[7] is None
+
+
+@pytest.mark.parametrize(
+    "pattern, text, found",
+    [
+        ("[[:digit:]]+", "QZK 42", True), ("^[[:alpha:]]+$", "QZK", True), ("[[:^alpha:]]", "QZK", False), (r"\Qa$b\E", "xa$b", True), (r"a\sb", "a\x0bb", False), (r"a\sb", "a\tb", True),
+        (r"\v", "\x0b", True), (r"\v", "\n", False), ("(?m:a$)", "a\nb", True), ("a$", "a\n", False), (r"x\b", "xé", True), ("a{,2}", "a{,2}", True), (r"\x{41}\102", "AB", True), (r"[\d-]{3}", "1-2", True),
+        ("(?P<n_a>k)", "k", True), (r"\p{Greek}", "λ", True), (r"[^\W_]", "_", False), ("[]a]", "]", True),
+    ],
+)
+def test_dialect(spark, pattern, text, found):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(F.col("t").rlike(to_jvm(pattern)).alias("x")).first()["x"] is found
+
+
+@pytest.mark.parametrize("pattern", ["a**", "a*+", "(?=x)", r"\1", r"\h", r"\R", r"\Z", "(?<=a)b", "a{2000}", "[a", "(a", "a)", "*a", r"\C", "(?U)a", "[[:nope:]]", "\\"])
+def test_dialect_refusals(spark, pattern):
+    with pytest.raises(InvalidPattern):
+        to_jvm(pattern)

@@ -161,3 +161,48 @@ def test_lint(spark, folder):
     for want in [("uniqueBasename", "Coral"), ("frontMatter", "wrong"), ("mergeConflict", "open"), ("identityQuoting", "bare"), ("frontMatter", "bare"), ("ingestCommit", "lone"), ("predicateRole", "lone"), ("typeRequires", "lone"), ("typeCase", "Coral"), ("unrecognizedKind", "Coral"), ("derivedProvenance", "Coral")]:
         assert want in rules, want
     assert not any(i == "open" and r != "mergeConflict" for r, i in rules)
+
+
+def test_a_write_without_its_commit_counts_for_nothing(spark, tmp_path):
+    from graphloom.operators import store as module
+
+    store = GraphStore(spark, f"file://{tmp_path}/g", seed())
+    store.apply(PATCH, NOW)
+    patch = codec.parse_patch(SECOND, seed())
+    rows = module.rows_of(patch, 2, LATER)
+    spark.createDataFrame(rows, module.CONTRIBUTIONS).write.mode("append").parquet(f"{store.root}/contributions")
+    assert ids(store.graph().nodes) == {"okafor-2031-reefs", "Staghorn Coral"}  # stopped before the commit
+    assert not store.apply(SECOND, LATER).skipped and store.commits.where("source_id = 'wen-2030'").first()["seq"] == 3
+    assert store.contributions.where("document = 'wen-2030'").count() == len(rows)
+
+
+def test_a_reopened_store_knows_its_definitions(spark, tmp_path):
+    root = f"file://{tmp_path}/g"
+    first = GraphStore(spark, root, seed())
+    text = SECOND.replace("# Entity", "# Creature").replace("It was seen", "**Seen near**\n- seenNear:: [[Reef]]\n\nIt was seen")
+    assert "type Creature is new" in first.apply(text, NOW).warnings
+    again = GraphStore(spark, root, seed())
+    assert again.schema.types["Creature"] == first.schema.types["Creature"] and again.schema.predicates["seenNear"] == first.schema.predicates["seenNear"]
+    assert "Creature" not in seed().types
+
+
+def test_updated_only_by_a_change(spark, store):
+    doc = lambda name, extra="": f"---\nkind: patch\ndocument: {name}\npublished: 2031-01-01\n---\n# Source\n\n## {name}\n```yaml\ntitle: {name}\n```\n\n# Entity\n\n## E\n```yaml\naliases: [a{extra}]\n```\n\nThe same words for all of them here.\n\n- broader:: [[B]]\n"
+    stamps = lambda: {r["key"]: r["value_str"] for r in store.graph().attrs.where("id = 'E'").collect() if r["key"] in ("indexed", "updated")}
+    store.apply(doc("d1"), NOW)
+    store.apply(doc("d2"), LATER)
+    assert stamps() == {"indexed": "2031-06-01T12:00:00Z"}
+    store.apply(doc("d3", ", b"), LATER)
+    assert stamps() == {"indexed": "2031-06-01T12:00:00Z", "updated": "2031-07-01T12:00:00Z"}
+
+
+def test_published_follows_its_policy(spark, store):
+    from dataclasses import replace
+
+    doc = lambda name, day: f'---\nkind: patch\ndocument: {name}\npublished: 2031-01-01\n---\n# Entity\n\n## E\n```yaml\npublished: {day}\nheading: x\n```\n'
+    store.apply(doc("d1", "2030-01-01"), NOW)
+    store.apply(doc("d2", "2030-05-05"), NOW)
+    value = lambda: f"{store.graph().nodes.where('id = ' + repr('E')).first()['published']:%Y-%m-%d}"
+    assert value() == "2030-01-01"
+    store.schema.predicates["published"] = replace(store.schema.predicates["published"], merge="lastWriteWin")
+    assert value() == "2030-05-05"
