@@ -71,6 +71,12 @@ def node_path(type_: Column, id_: Column) -> Column:
     return F.concat(node_folder(type_), F.lit("/"), id_, F.lit(".md"))
 
 
+def referrer_path(type_: Column, id_: Column) -> Column:
+    """Where a node's document is, periods of the timeline by their granularity."""
+    period = F.when(id_.rlike(r"^\d{4}$"), "yearly").otherwise("monthly")
+    return F.when(type_ == "Timeline", F.concat(F.lit("timeline/"), period, F.lit("/"), id_, F.lit(".md"))).otherwise(node_path(type_, id_))
+
+
 def parse_date(c: Column) -> Column:
     """A timestamp of one of the three accepted layouts; null otherwise."""
     layouts = ((r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$", None))

@@ -54,3 +54,9 @@ def fit_window(text: str, start: int, end: int, width: int = 512) -> str:
     high = min(len(raw), low + width)
     body = raw[low:high].decode("utf-8", "ignore")
     return ("…" if low else "") + body + ("…" if high < len(raw) else "")
+
+
+def highlight(text: str, start: int, end: int, before: str = "\x1b[1m", after: str = "\x1b[0m") -> str:
+    """A line with its match, given in bytes, between two marks."""
+    raw = text.encode()
+    return raw[:start].decode("utf-8", "ignore") + before + raw[start:end].decode("utf-8", "ignore") + after + raw[end:].decode("utf-8", "ignore")

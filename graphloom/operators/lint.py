@@ -172,6 +172,22 @@ def locate(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("id").join(hits, "id", "left").select("id", F.coalesce("line", F.lit(0)).alias("line"))
 
 
+def located(violations: DataFrame, docs: DataFrame) -> DataFrame:
+    """The violations with line: where in the document (id, raw) they show, 1 where nothing does.
+
+    Sought are, in this order, what the rule is about: a link's target, a
+    predicate before a link, a field, a group's title, and the detail itself.
+    """
+    d = F.coalesce(F.col("detail"), F.lit(""))
+    title = F.concat(F.lit("**"), F.upper(F.substring(d, 1, 1)), d.substr(F.lit(2), F.length(d)), F.lit("**"))
+    needles = [F.concat(F.lit("[["), d, F.lit("]]")), F.concat(F.lit("[["), d, F.lit("|")), F.concat(d, F.lit(":: ")), F.concat(d, F.lit(":")), title, d]
+    by_rule = F.when(F.col("rule") == "mergeConflict", F.lit("<<<<<<<")).when(F.col("rule") == "entityCategory", F.lit("category:")).when(F.col("rule").isin("typeCase", "unrecognizedKind"), F.lit("@type")).when(F.col("rule").isin("sourceCitekey", "identityQuoting"), F.lit("@id"))
+    at = lambda needle: F.nullif(F.array_position(F.transform("_lines", lambda x: x.contains(needle)), True), F.lit(0))
+    line = F.coalesce(F.when(by_rule.isNotNull(), at(by_rule)), F.when(d != "", F.coalesce(*map(at, needles))), F.lit(1))
+    text = docs.select("id", F.split("raw", "\n").alias("_lines"))
+    return violations.join(text, "id", "left").withColumn("line", line.cast("int")).drop("_lines")
+
+
 def lint(parsed: DataFrame, graph, predicates: DataFrame, types: DataFrame, contract: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     """All violations of a graph.  ``parsed`` is (path, id, type, raw, err) of every document, readable or not.
 

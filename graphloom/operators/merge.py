@@ -135,3 +135,21 @@ def outcome(op: Column | str, existing: Column, incoming: Column, merged: Column
         .when(op.isin(*OVERWRITE), "overwritten")
         .otherwise("appended")
     )
+
+
+def merge_labels(existing: Column, incoming: Column) -> Column:
+    """Maps of labels by predicate: what comes in overrides."""
+    none = F.create_map().cast("map<string,string>")
+    e, i = F.coalesce(existing, none), F.coalesce(incoming, none)
+    return F.map_concat(F.map_filter(e, lambda k, _: ~F.map_contains_key(i, k)), i)
+
+
+def merge_attrs(existing: DataFrame, incoming: DataFrame, ops: DataFrame, source: Column) -> DataFrame:
+    """(id, key, values, outcome) of two tables of attributes (id, key, values), each key under its policy (key, op; union without one).
+
+    A key that only comes in is created, one that doesn't come in is unchanged.
+    """
+    both = existing.withColumnRenamed("values", "_e").join(incoming.withColumnRenamed("values", "_i"), ["id", "key"], "full_outer").join(ops, "key", "left")
+    op = F.coalesce("op", F.lit("union"))
+    merged = F.when(F.col("_i").isNull(), F.col("_e")).when(F.col("_e").isNull(), F.col("_i")).otherwise(merge_values(op, F.col("_e"), F.col("_i"), source))
+    return both.select("id", "key", merged.alias("values"), outcome(op, F.col("_e"), F.col("_i"), merged).alias("outcome"))

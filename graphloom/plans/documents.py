@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import set_value
-from ..operators import store, timeline
+from ..functions.text import referrer_path, set_value
+from ..operators import lint, merge, store, timeline
 from ..operators.filters import Filter
-from ..operators.schema import Schema, seed
+from ..operators.schema import Schema, contract, seed
 from ..sources import codec, corpus
 from ..sources import relational as rel
 from . import service
@@ -135,6 +135,59 @@ def attribute_set(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", made["brand"][0].alias("brand"), made["state"][0].alias("state"), F.size(made).alias("n"))
 
 
+@query("""SELECT 'P' || p_partkey AS id, 'M' || p_size % 5 AS detail, 15 AS line FROM part UNION ALL SELECT 'P' || p_partkey, p_brand, 15 FROM part
+UNION ALL SELECT 'P' || p_partkey, 'K' || p_size, 19 FROM part""")
+def lint_located(spark: SparkSession, d: str) -> DataFrame:
+    """Links without a target, with the line that they stand in."""
+    g = corpus.graph(_parts(spark, d))
+    found = lint.link_resolves(g.edges.unionByName(g.hrefs), g.nodes.select("id"))
+    return lint.located(found, g.nodes.select("id", "raw")).select("id", "detail", "line").distinct()
+
+
+@query("""SELECT rule, count(*) AS n FROM (SELECT unnest(['linkResolves', 'linkResolves', 'linkResolves', 'typeRequires', 'typeRequires', 'typeRequires', 'derivedProvenance', 'entityCategory']) AS rule FROM part)
+GROUP BY rule""")
+def lint_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that documents break, from all rules over what was read."""
+    schema = seed()
+    parsed = _parts(spark, d)
+    predicates, types = schema.frames(spark)
+    found = lint.lint(parsed, corpus.graph(parsed), predicates, types, contract(spark, schema.types))
+    return found.where(F.col("rule").isin("linkResolves", "typeRequires", "derivedProvenance", "entityCategory", "frontMatter", "uniqueBasename", "mergeConflict", "typeCase", "unrecognizedKind")).select("id", "rule", "detail").distinct().groupBy("rule").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'C' || c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS mentions, c_mktsegment AS broader FROM customer")
+def label_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Labels that come in override those that are there."""
+    c = rel.table(spark, d, "customer")
+    old = F.create_map(F.lit("mentions"), "c_mktsegment", F.lit("broader"), "c_mktsegment")
+    new = F.when(F.col("c_nationkey") % 2 == 0, F.create_map(F.lit("mentions"), "c_name"))
+    made = merge.merge_labels(old, new)
+    return c.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), made["mentions"].alias("mentions"), made["broader"].alias("broader"))
+
+
+@query("""WITH c AS (SELECT 'C' || c_custkey AS id, c_custkey AS k, c_mktsegment AS seg, c_name AS name FROM customer)
+SELECT id, 'kept' AS key, seg AS value, 'unchanged' AS outcome FROM c UNION ALL SELECT id, 'new', name, 'created' FROM c
+UNION ALL SELECT id, 'tags', CASE WHEN k % 3 = 0 THEN seg ELSE seg || '|' || name END, CASE WHEN k % 3 = 0 THEN 'unchanged' ELSE 'appended' END FROM c
+UNION ALL SELECT id, 'first', seg, 'unchanged' FROM c UNION ALL SELECT id, 'last', CASE WHEN k % 3 = 0 THEN seg ELSE name END, CASE WHEN k % 3 = 0 THEN 'unchanged' ELSE 'overwritten' END FROM c""")
+def attribute_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Attributes of two contributions, key by key under their policies, and what became of each."""
+    c = rel.table(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("seg"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).otherwise(F.col("c_name")).alias("other"), "c_name")
+    rows = lambda keys: c.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.array(v).alias("values")) for k, v in keys])).alias("a")).select("id", "a.*")
+    existing = rows([("kept", F.col("seg")), ("tags", F.col("seg")), ("first", F.col("seg")), ("last", F.col("seg"))])
+    incoming = rows([("new", F.col("c_name")), ("tags", F.col("other")), ("first", F.col("other")), ("last", F.col("other"))])
+    ops = spark.createDataFrame([("first", "immutable"), ("last", "lastWriteWin")], "key string, op string")
+    return merge.merge_attrs(existing, incoming, ops, F.lit("x")).select("id", "key", F.array_join("values", "|").alias("value"), "outcome")
+
+
+@query("""SELECT 'timeline/yearly/' || strftime(o_orderdate, '%Y') || '.md' AS path, count(*) AS n FROM orders GROUP BY 1
+UNION ALL SELECT 'timeline/monthly/' || strftime(o_orderdate, '%Y-%m') || '.md', count(*) FROM orders GROUP BY 1 UNION ALL SELECT 'sources/O' || o_orderkey || '.md', 1 FROM orders""")
+def referrer_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a retraction touches, periods among them."""
+    o = rel.table(spark, d, "orders")
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), i.alias("i")) for t, i in (("Source", F.concat(F.lit("O"), F.col("o_orderkey").cast("string"))), ("Timeline", F.date_format("o_orderdate", "yyyy")), ("Timeline", F.date_format("o_orderdate", "yyyy-MM")))]))
+    return o.select(each.alias("x")).groupBy(referrer_path(F.col("x.t"), F.col("x.i")).alias("path")).agg(F.count("*").alias("n"))
+
+
 # Patches of customers, ingested and retracted
 
 _P_SQL = """p AS (SELECT c_custkey AS seq, 'cust-' || c_custkey AS doc, 'N' || c_nationkey AS nat, c_nationkey AS n, c_mktsegment AS seg, c_name AS name, c_custkey % 7 AS k,

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..model import Graph, NodeNotFound
 from ..operators import graph as traversal
+from ..operators.definitions import Changes
 from ..operators.filters import Filter, matching
 from ..operators.grep import fit_window, grep
 from ..operators.schema import Schema
+from ..operators.store import Outcome, count_text
 from ..sources import codec
 
-SHOWN = 10_000  # rows of a table made for reading; more are counted
+SHOWN = 10_000  # rows of a table made for reading; of more it says that there are more
 
 
 def to_json(df: DataFrame) -> DataFrame:
@@ -87,6 +89,49 @@ def subgraph_get(graph: Graph, seed: str, now: dt.datetime, depth: int = 1, spec
     return codec.render_patch(patch, schema)
 
 
-def result_json(rows: DataFrame) -> str:
-    """A bounded result as indented JSON."""
-    return json.dumps([r.asDict(True) for r in rows.limit(SHOWN).collect()], indent=2, default=str, ensure_ascii=False)
+def result_json(rows: DataFrame, most: int = SHOWN) -> str:
+    """A result as indented JSON; ValueError for one of more rows than may reach the driver, which to_json writes as a table."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} rows")
+    return json.dumps([r.asDict(True) for r in found], indent=2, default=str, ensure_ascii=False)
+
+
+def ingested_text(outcome: Outcome) -> str:
+    """What an ingestion did, for people."""
+    if outcome.skipped:
+        return f"{outcome.document} is in the graph already"
+    lines = [f"Ingested {outcome.document}", f"  created  {count_text(outcome.created)}", f"  merged   {count_text(outcome.merged)}"]
+    return "\n".join(lines + [f"  warning: {w}" for w in outcome.warnings])
+
+
+def retracted_text(outcome: Outcome) -> str:
+    """What a retraction did, for people."""
+    if outcome.skipped:
+        return f"{outcome.document} is out already"
+    return "\n".join([f"Retracted {outcome.document} ({outcome.approach})", f"  removed     {count_text(outcome.removed)}", f"  reconciled  {count_text(outcome.reconciled)}", f"  links removed: {outcome.links_removed}"])
+
+
+def violations_text(violations: DataFrame, checked: int, passing: int) -> str:
+    """Violations by document, the first of them, and the totals."""
+    rows = violations.limit(SHOWN + 1).collect()
+    lines, last = [], None
+    for r in rows[:SHOWN]:
+        if r["id"] != last:
+            lines.append(str(r["id"]))
+            last = r["id"]
+        line = r.asDict().get("line")
+        lines.append(f"  {f'{line}: ' if line else ''}{r['rule']} {r['detail'] or ''}".rstrip())
+    more = [f"more than {SHOWN} violations"] if len(rows) > SHOWN else []
+    return "\n".join([*lines, *more, f"{checked} checked, {passing} passing, {checked - passing} failing"])
+
+
+def definitions_text(changes: Changes) -> str:
+    """What a schema patch did, for people."""
+    parts = [f"{name} {', '.join(getattr(changes, name))}" for name in ("created", "updated", "conflicts") if getattr(changes, name)]
+    return "\n".join([*parts, f"{len(changes.unchanged)} unchanged"])
+
+
+def made_text(paths: list[str]) -> str:
+    """What a new graph holds, for people."""
+    return f"Made a graph with {len(paths)} definitions"

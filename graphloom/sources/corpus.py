@@ -119,6 +119,13 @@ def unreadable(parsed: DataFrame) -> DataFrame:
     return parsed.where("err is not null").select("path", "err").orderBy("path")
 
 
+def require_readable(parsed: DataFrame) -> None:
+    """GraphError naming the first document, by path, that can't be read: nothing may be written beside such."""
+    bad = unreadable(parsed).limit(1).collect()
+    if bad:
+        raise GraphError(f"{bad[0]['path']}: {bad[0]['err']}")
+
+
 def read_schema(root: str) -> Schema:
     """The schema kept as documents; InvalidSchema where its folders are missing or a document is bad."""
     out = Schema()
