@@ -185,7 +185,7 @@ def test_licences(docs, none, spark):
         "Some words.\nReleased under the MIT License.\nmore": ["MIT"],
         "x\nThis work is licensed under the GNU General Public License, version 3.": ["GPL-3.0"],
         "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.": ["Apache-2.0"],
-        "Licensed under CC BY-NC 4.0.\nSPDX-License-Identifier: ISC": ["CC-BY-NC-4.0", "isc"],
+        "Licensed under CC BY-NC 4.0.\nSPDX-License-Identifier: ISC": ["CC-BY-NC-4.0", "ISC"],
         mit: ["MIT"],
         "Copyright 2020 X.\nAll rights reserved.": ["all-rights-reserved"],
         "A license to thrill.": None,
