@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality, near duplicates, copied passages, benchmark leaks, token ids."""
+"""The corpus pipeline: quality, near duplicates, copied passages, benchmark leaks, token ids.
+
+All stages take rows with a null doc_id, null, empty and very long texts, ties,
+repeated rows and empty tables, and return the columns that documents has (the
+last one ids instead), whatever further columns there are.
+"""
 
 from __future__ import annotations
 
@@ -12,13 +17,21 @@ from graphloom.llm.workspace import store, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    The model is learnt from the whole table of documents; each row is scored by
+    itself, null texts as the empty text, and stays as it is or goes.
+    """
     model = quality_model.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_model.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of similar ones."""
+    """One document, that with the smallest doc_id, of each group of similar ones.
+
+    Texts without words and rows with a null doc_id are in no group and stay;
+    rows that share a doc_id are one document, and stay or go together.
+    """
     found = jaccard.join(docs)
     others = store(found.where("doc_id <> component_id").select("doc_id").distinct(), "others")
     marked = mark(docs, others, "_may")
@@ -26,18 +39,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def copied_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has."""
+    """Documents without the passages that an earlier one has.
+
+    n_chars is counted anew for a text that was cut; a document of which no word
+    is left goes; null and empty texts and rows with a null doc_id stay as they are.
+    """
     return passages.remove(docs, passages.find(docs))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; items without words are held by none;
+    without items all rows stay.
+    """
     flagged = decontaminate.flag(docs, table(spark, sf_dir, "benchmark"))
     return flagged.where(F.size("leaks") == 0).drop("leaks")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left."""
+    """doc_id, n_tokens, ids and decoded text of every row that is left; null and empty texts have no ids."""
     return bpe.encode(docs, WORD_BPE)
 
 
@@ -58,7 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: None: the quality model is learnt, and neither alignment nor merges are SQL; tests hold the stages against brute force.
+#: None: the quality model is learnt, and neither alignment nor merges are SQL; tests/llm/test_pipeline.py holds each stage against a plain version.
 ORACLE_SQL = None
 
 QUERIES = {"pipeline": run}
