@@ -14,7 +14,9 @@ smaller; so only prefixes are joined.
    fitting size (a star, not all pairs); verified links join groups, and those
    within NEAR of a centre make its wider group.
 3. The token-group matrix holds, for each shingle, the wider groups with it in
-   their union.  What two groups share bounds the overlap of any two members;
+   their union.  In ROUNDS further stars, with centres in several orders, one
+   group of each component in a list is compared with the list's centre; this
+   leaves few components for the exact step.  What two groups share bounds the overlap of any two members;
    the distance of their centres less both radii bounds the distance of any two
    members (Jaccard distance is a metric).  Only groups that pass both bounds,
    and aren't linked yet, are opened, and their members compared by the same
@@ -49,6 +51,9 @@ HOT = 1.6  # times the mean counter
 HELD = 1_000_000  # shingles of group centres that a task remembers
 BITMAP = 2  # bits of a bitmap for each shingle, rounded up to a power of two
 MOST_BITMAP = 1 << 16
+MINI = 512  # bits of the bitmap that stands in the matrix
+ROUNDS = 3  # of stars between components
+ORDERS = 8  # of centres in a round, by shingle
 SLACK = 1e-9
 
 
@@ -129,6 +134,13 @@ def _bitmaps(h: np.ndarray, text: np.ndarray, n: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32).tobytes()), pa.py_buffer(packed.tobytes())])
 
 
+def _minis(h: np.ndarray, text: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity of the shingles in each of 512 slots, for every text, as eight whole numbers."""
+    slot = text.astype(np.int64) * MINI + ((h >> np.uint64(8)) & np.uint64(MINI - 1)).astype(np.int64)
+    packed = np.packbits((np.bincount(slot, minlength=MINI * len(n)) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (MINI // 64), pa.int32()), pa.array(packed))
+
+
 class _Groups:
     """Groups of near copies that a task has met."""
 
@@ -208,10 +220,10 @@ def _prefixes(docs: DataFrame, classes, percent: int) -> DataFrame:
                     n_short.append(len(few))
                     rows.append(np.concatenate([few, many]))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in rows])]), pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
-                columns = [ids, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _bitmaps(h, text, n), pa.array(centre, pa.int64()), pa.array(gap, pa.float64()), pa.array(n_centre, pa.int64()), pa.array(typical, pa.int32()), pa.array(n_short, pa.int32()), lists]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp_a", "fp_b", "bitmap", "centre", "gap", "n_centre", "typical", "n_short", "rows"])
+                columns = [ids, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _bitmaps(h, text, n), _minis(h, text, n), pa.array(centre, pa.int64()), pa.array(gap, pa.float64()), pa.array(n_centre, pa.int64()), pa.array(typical, pa.int32()), pa.array(n_short, pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "fp_a", "fp_b", "bitmap", "mini", "centre", "gap", "n_centre", "typical", "n_short", "rows"])
 
-    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(tk.released(run), "doc_id long, n long, fp_a long, fp_b long, bitmap binary, centre long, gap double, n_centre long, typical int, n_short int, rows array<long>")
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(tk.released(run), "doc_id long, n long, fp_a long, fp_b long, bitmap binary, mini array<long>, centre long, gap double, n_centre long, typical int, n_short int, rows array<long>")
 
 
 def _lists(rows: DataFrame, percent: int) -> DataFrame:
@@ -365,11 +377,47 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = lists.select("token", "node", "short").join(owners, "node")
     matrix = placed.groupBy("token", "home").agg(F.max("short").alias("short"), *[F.min(c).alias(c) for c in ("label", "least", "most", "radius")])
     matrix = store(matrix, "matrix")
-    mixed = matrix.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
-    opened = store(matrix.join(mixed, "token"), "mixed")
-    side = lambda s: opened.select("token", F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("short", "label", "least", "most", "radius")])
+    label = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+
+    def merged(pairs: DataFrame) -> DataFrame:
+        """Links of components by links of documents."""
+        return pairs.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """Rows of the shingles that several components have."""
+        token = rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("token")
+        return store(rows.join(token, "token"), name)
+
+    opened = mixed(matrix, "mixed")
+    known, wider = None, None  # links of components, and the components that these make
+    for turn in range(ROUNDS):
+        order = F.xxhash64(F.lit(turn), F.pmod("token", F.lit(ORDERS)), "home")
+        reps = opened.groupBy("token", "label").agg(F.min_by(F.struct("home", "least", "most"), order).alias("r"), F.min(order).alias("o"))
+        centre = reps.groupBy("token").agg(F.min_by(F.struct("label", "r"), "o").alias("c"))
+        fits = f"label <> c.label and 100 * r.most >= {percent} * c.r.least and 100 * c.r.most >= {percent} * r.least"
+        pairs = store(reps.join(centre, "token").where(fits).select(F.least("r.home", "c.r.home").alias("a"), F.greatest("r.home", "c.r.home").alias("b")).distinct(), "turn")
+        close = store(_bounded(pairs, sets, pairs.select("a").union(pairs.select("b")).distinct()).where(F.col("low") <= most).select("a", "b").distinct(), "close")
+        links = store(merged(verify(close, docs, percent).select("a", "b")), "merged")
+        drop(pairs)
+        drop(close)
+        if links.isEmpty():
+            drop(links)
+            break
+        known = links if known is None else known.union(links)
+        wider = components(known)
+        again = matrix.join(wider.withColumnRenamed("label", "_wider").withColumnRenamed("node", "label"), "label", "left")
+        before, opened = opened, mixed(again.withColumn("label", F.coalesce("_wider", "label")).drop("_wider"), "mixed")
+        drop(before)
+    # of a doc_id with several sets, which only repeated doc_ids have, no bitmap is taken
+    own = grouped.where("centre = doc_id").groupBy(F.col("doc_id").alias("home")).agg(F.min("n").alias("n"), F.max("n").alias("n_most"), F.min("fp_a").alias("p"), F.max("fp_a").alias("q"), F.first("mini").alias("mini"))
+    own = own.select("home", "n", F.when((F.col("n") == F.col("n_most")) & (F.col("p") == F.col("q")), F.col("mini")).alias("mini"))
+    placed = opened.join(own, "home")
+    side = lambda s: placed.select("token", F.col("home").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("short", "label", "least", "most", "radius", "n", "mini")])
     fits = f"a < b and label_a <> label_b and 100 * most_a >= {percent} * least_b and 100 * most_b >= {percent} * least_a"
-    met = side("a").join(side("b"), "token").where(fits).groupBy("a", "b")
+    # the bits in which two bitmaps differ bound the distance of two centres, and with the radii that of any two members
+    apart = " + ".join(f"bit_count(mini_a[{i}] ^ mini_b[{i}])" for i in range(MINI // 64))
+    near_enough = f"coalesce(({apart}) * (2 - ({most!r} + radius_a + radius_b)) <= ({most!r} + radius_a + radius_b) * (n_a + n_b), true)"
+    met = side("a").join(side("b"), "token").where(fits).where(near_enough).groupBy("a", "b")
     met = met.agg(F.count("token").alias("shared"), F.max(F.expr("short_a or short_b")).alias("short"), *[F.min(f"{c}_{s}").alias(f"{c}_{s}") for c in ("least", "most", "radius") for s in "ab"])
 
     def enough(larger: str, smaller: str):
@@ -394,9 +442,8 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     more = verify(pairs, docs, percent).select("a", "b")
 
     # links between components join whole components
-    label = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
-    more = more.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-    wider = components(store(more, "more"))
+    more = merged(more)
+    wider = components(store(more if known is None else more.union(known), "more"))
     for table in (lists, star, stars, homes, members, groups, matrix, opened, met, first, pairs):
         drop(table)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("node"))
