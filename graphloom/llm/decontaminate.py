@@ -6,8 +6,9 @@ and a half times its greatest size, every half size, so that a passage of an
 item lies within a window whatever the length of the document, and containment
 of 0.8 means a similarity of a quarter with the window at least.  MINHASHES
 bands of one row then miss such a passage with a probability below 0.75 to that
-power (1e-5).  Every hit is verified by exact containment of the item's shingles
-in the whole document.
+power (1e-5).  Items of at most FEW shingles are
+looked up by their shingles instead, without any miss.  Every hit is verified by
+exact containment of the item's shingles in the whole document.
 
 One map over the documents, without a shuffle.  The items are broadcast in
 blocks of ITEMS_AT_ONCE and ITEM_BYTES_AT_ONCE at most, with a pass over the
@@ -28,6 +29,7 @@ from . import textkernel as tk
 PERCENT = 80
 MINHASHES = 40
 SMALLEST = 8
+FEW = 3
 ITEMS_AT_ONCE = 50_000
 ITEM_BYTES_AT_ONCE = 32 << 20
 
@@ -50,8 +52,15 @@ class Items:
         size = np.diff(self.first)
         top = np.maximum(SMALLEST, 2 ** np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
         self.parts = []
-        for most in np.unique(top[size > 0]):
-            members = np.flatnonzero((top == most) & (size > 0))
+        few = np.flatnonzero((size > 0) & (size <= FEW))
+        keys = np.concatenate([np.empty(0, np.uint64), *(self.h[self.first[m] : self.first[m + 1]] for m in few)])
+        owner = np.repeat(few, size[few])
+        order = np.argsort(keys, kind="stable")
+        self.few, self.few_keys = owner[order], keys[order]
+        self.few_flags = np.zeros(1 << 16, bool)
+        self.few_flags[keys >> np.uint64(48)] = True
+        for most in np.unique(top[size > FEW]):
+            members = np.flatnonzero((top == most) & (size > FEW))
             bands = []
             for factor in _FACTORS:
                 least = np.array([(self.h[self.first[m] : self.first[m + 1]] * factor).min() for m in members])
@@ -64,11 +73,16 @@ class Items:
     def hits(self, block: tk.TextBlock, percent: int) -> list[tuple[int, int, int, int]]:
         """(text, item, shingles of the item, of them in the text), by text and item."""
         h, text = block.all_shingles()
-        if not len(h) or not self.parts:
+        if not len(h) or not (self.parts or len(self.few)):
             return []
         first = np.searchsorted(text, np.arange(block.n + 1))
         place = np.arange(len(h)) - first[text]
         found = set()
+        if len(self.few):
+            maybe = np.flatnonzero(self.few_flags[h >> np.uint64(48)])
+            i, j = np.searchsorted(self.few_keys, h[maybe], "left"), np.searchsorted(self.few_keys, h[maybe], "right")
+            for w, a, b in zip(maybe[j > i], i[j > i], j[j > i]):
+                found.update((int(text[w]), int(m)) for m in self.few[a:b])
         grids = []
         for most, bands in self.parts:
             starts = np.flatnonzero(place % (most // 2) == 0)
@@ -77,7 +91,7 @@ class Items:
             one[:-1] = owner[1:] == owner[:-1]
             two[:-2] = owner[2:] == owner[:-2]
             grids.append((starts, owner, one, two, bands))
-        for k, factor in enumerate(_FACTORS):
+        for k, factor in enumerate(_FACTORS if grids else ()):
             g = h * factor
             for starts, owner, one, two, bands in grids:
                 low = np.minimum.reduceat(g, starts)
@@ -107,7 +121,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, text: st
 
     Null and empty texts, and items without words, have no leaks; an item of
     fewer than five words is found where it is a document's whole word sequence;
-    repeated items count as often as they come; all other columns and repeated
+    very long texts are searched whole; a column leaks is replaced; repeated items count as often as they come; all other columns and repeated
     rows stay as they are.  Without items nothing is found.
     """
     spark = docs.sparkSession
