@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import quality_rules
 from . import textkernel as tk
+from .workspace import free_name
 
 TRAIN_ROWS = 20_000
 TREES, DEPTH, LEAVES_LEAST, CUTS = 24, 3, 20, 24
@@ -61,18 +62,17 @@ def _features(block: tk.TextBlock) -> dict[str, np.ndarray]:
     }
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with a struct ``_stats`` of the statistics of every whole text; null texts count as empty."""
-    docs = docs.drop("_stats")
+def statistics(docs: DataFrame, text: str = "text", name: str = "_stats") -> DataFrame:
+    """The documents with a struct of the statistics of every whole text; null texts count as empty."""
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(rows, block):
         made = _features(block)
         stats = pa.StructArray.from_arrays([pa.array(made[k]) for k in FEATURES], names=list(FEATURES))
-        return pa.RecordBatch.from_arrays([*rows.columns, stats], names=[*names, "_stats"])
+        return pa.RecordBatch.from_arrays([*rows.columns, stats], names=[*names, name])
 
-    return tk.map_blocks(docs, run, f"{kinds}, _stats struct<{', '.join(f'{k}: double' for k in FEATURES)}>", text, fold=False)
+    return tk.map_blocks(docs, run, f"{kinds}, {name} struct<{', '.join(f'{k}: double' for k in FEATURES)}>", text, fold=False)
 
 
 @dataclass(frozen=True)
@@ -87,10 +87,10 @@ class Rule:
             out &= (x[:, feature] > cut) if above else (x[:, feature] <= cut)
         return out
 
-    def column(self) -> Column:
+    def column(self, name: str = "_stats") -> Column:
         out = None
         for feature, above, cut in self.parts:
-            c = F.col("_stats")[FEATURES[feature]]
+            c = F.col(name)[FEATURES[feature]]
             part = c > F.lit(cut) if above else c <= F.lit(cut)
             out = part if out is None else out & part
         return out
@@ -150,11 +150,11 @@ class Model:
             total += weight * rule.holds(x)
         return 1 / (1 + np.exp(-total))
 
-    def column(self) -> Column:
-        """The score as an expression over ``_stats``."""
+    def column(self, name: str = "_stats") -> Column:
+        """The score as an expression over a struct of statistics."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
-            total = total + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))
+            total = total + F.when(rule.column(name), F.lit(weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-total))
 
 
@@ -206,7 +206,12 @@ def not_held_out() -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Model of quality, from labels whose doc_id isn't held out."""
+    """Model of quality, from labels whose doc_id isn't held out.
+
+    Null labels and doc_ids are left out, of several labels of a document the
+    least counts, null texts count as empty; without labels, or with one kind
+    only, the score is a constant.
+    """
     chosen = training_rows(docs, labels, not_held_out())
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS at most
     rows = statistics(texts).select("y", "_stats.*").collect()
@@ -222,5 +227,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     columns named score and predicted are replaced, others stay; an empty table
     gives no rows.
     """
-    scored = statistics(docs).withColumn("score", model.column()).drop("_stats")
+    name = free_name(docs, "_stats")
+    scored = statistics(docs, name=name).withColumn("score", model.column(name)).drop(name)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -93,7 +93,8 @@ def read(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> Dat
     """Rows of the files: doc_id, start (ids of all documents before it), n_tokens, ids.
 
     With doc_ids, only stripes and row groups whose statistics and Bloom
-    filters allow them are read; starts stay global.
+    filters allow them are read; starts stay global.  Files without rows give
+    none; repeated doc_ids and a null one are returned as they were written.
     """
     rows = spark.read.orc(out)
     totals = rows.groupBy("file").agg(F.max(F.col("file_start") + F.size("ids")).alias("total"))

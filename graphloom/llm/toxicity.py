@@ -109,7 +109,11 @@ def fit(slots: list[np.ndarray], y: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
-    """Model of severity from labels.toxic."""
+    """Model of severity from labels.toxic.
+
+    Null labels and doc_ids are left out, of several labels of a document the
+    least counts, null texts have no words; without toxic rows nothing is toxic.
+    """
     chosen = quality_model.training_rows(docs, labels, quality_model.not_held_out() if allowed is None else allowed, "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # TRAIN_ROWS at most
 
