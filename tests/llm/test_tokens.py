@@ -142,3 +142,15 @@ def test_trie_shares_prefixes_and_agrees_with_a_library():
     library = Unigram(pieces, 0, False)
     for w in [*words, "▁thandendonwh", "▁erschheiten"]:
         assert model.count(w) == len(library.tokenize(w))
+
+
+def test_counts_are_near_those_of_the_library():
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    model, library = token_counts.UnigramTrie.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()[:150]
+    got = np.array([sum(model.count("▁" + w) for w in token_counts.split(t)) for t in texts])
+    want = np.array([len(library.encode(t or "")) for t in texts])
+    long = want > 20
+    assert abs(got.sum() / want.sum() - 1) < 0.01 and np.abs(got[long] / want[long] - 1).mean() < 0.03
