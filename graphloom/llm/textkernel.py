@@ -84,11 +84,12 @@ class TextBlock:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
         self.data, self.offsets, self.fold = data, offsets.astype(np.int64), fold
+        self.between = _SPACE  # bytes that no word holds
         self.n = len(offsets) - 1
 
     @cached_property
     def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
-        word = ~_SPACE[self.data]
+        word = ~self.between[self.data]
         before = np.empty_like(word)
         before[:1] = False
         before[1:] = word[:-1]
@@ -184,6 +185,15 @@ class TextBlock:
         new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
         return h[new], text[new]
 
+    def spell(self, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The text of byte spans, with A-Z lower-cased where words are folded."""
+        size = ends - starts
+        last = np.cumsum(size)
+        body = self.data[np.repeat(starts - last + size, size) + np.arange(int(size.sum()))]
+        body = _FOLD[body] if self.fold else body
+        offsets = np.concatenate([np.zeros(1, np.int64), last])
+        return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))).cast(pa.string())
+
     def count(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each text have the flag of the 256 given."""
         total = np.zeros(len(self.data) + 1, np.int64)
