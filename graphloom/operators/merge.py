@@ -23,27 +23,27 @@ SIMILARITY = 0.8  # a paragraph more similar than this is there already
 SHINGLE_WORDS = 3
 
 #: The conflict marker's lines.
-_OPEN, _MIDDLE, _CLOSE = "<<<<<<< existing\n", "\n=======\n", "\n>>>>>>> "
+OPEN, MIDDLE, CLOSE = "<<<<<<< existing\n", "\n=======\n", "\n>>>>>>> "
 
 
 def marker(existing: Column, incoming: Column, source: Column) -> Column:
     """Both values of a conflict, in one."""
-    return F.concat(F.lit(_OPEN), existing, F.lit(_MIDDLE), incoming, F.lit(_CLOSE), source)
+    return F.concat(F.lit(OPEN), existing, F.lit(MIDDLE), incoming, F.lit(CLOSE), source)
 
 
 def is_marker(value: Column) -> Column:
-    return value.startswith(_OPEN) & value.contains(_MIDDLE) & value.contains(_CLOSE)
+    return value.startswith(OPEN) & value.contains(MIDDLE) & value.contains(CLOSE)
 
 
 def marker_incoming(value: Column) -> Column:
     """The incoming side of a marker: what stands after its last divider."""
     tail = F.element_at(F.split(value, "\n=======\n", -1), -1)
-    return F.substring_index(tail, _CLOSE, 1)
+    return F.substring_index(tail, CLOSE, 1)
 
 
 def marker_existing(value: Column) -> Column:
     """The existing side of a marker."""
-    inner = value.substr(F.lit(len(_OPEN) + 1), F.length(value))
+    inner = value.substr(F.lit(len(OPEN) + 1), F.length(value))
     return F.regexp_extract(inner, r"(?s)\A(.*)\n=======\n", 1)
 
 
@@ -125,7 +125,7 @@ def outcome(op: Column | str, existing: Column, incoming: Column, merged: Column
     """created, unchanged, filled, overwritten, appended or flagged; existing is null where the key was absent."""
     op = F.lit(op) if isinstance(op, str) else op
     text = lambda c: c.cast("string")
-    flagged = op.isin(*FLAG) & text(merged).contains(_OPEN)
+    flagged = op.isin(*FLAG) & text(merged).contains(OPEN)
     return (
         F.when(existing.isNull(), "created")
         .when(incoming.isNull(), "unchanged")

@@ -11,7 +11,7 @@ from ..operators import schema as schemas
 from ..operators.grep import grep
 from ..session import cut
 from ..sources import relational as rel
-from . import documents  # noqa: F401  its queries are registered, too
+from . import documents, streams  # noqa: F401  their queries are registered, too
 from .registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
