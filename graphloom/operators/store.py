@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import node_path
 from ..model import Graph, GraphError, InvalidDocument
+from ..session import cut
 from ..sources import codec
 from . import merge, timeline
 from .schema import Predicate, Schema, Type
@@ -35,6 +36,7 @@ CONTRIBUTIONS = (
 )
 RETRACTIONS = "seq long, document string"
 COMMITS = "seq long, subject string, source_id string, message string"
+HUB = 200  # contributions to one text beyond which it is merged in joins
 DEFINITIONS = "seq long, kind string, name string, body string"
 
 
@@ -202,8 +204,9 @@ class GraphStore:
 def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
     """Contributions of a table of patches (seq long, at timestamp, raw string), and (seq, err) of those that are refused.
 
-    Patches are parsed where they lie; of patches of one document the first by
-    seq counts.  Nothing is collected, so the table may have any size.
+    Patches are parsed where they lie, once, and written by kind of contribution; of
+    patches of one document the first by seq counts.  Nothing is collected, so the
+    table may have any size.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -224,7 +227,7 @@ def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
                 made[name] = made[name].astype("Int32")
             yield made
 
-    parsed = patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string")
+    parsed = cut(patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string"), "kind")
     good = parsed.where("err is null").drop("err")
     first = good.groupBy("document").agg(F.min("seq").alias("seq"))
     return good.join(first, ["document", "seq"], "left_semi"), parsed.where("err is not null").select("seq", "err")
@@ -256,23 +259,32 @@ def observed(node: codec.Node) -> dict[str, str]:
     return seen
 
 
-def _flag_step(state: Column, x: Column) -> Column:
-    """The next state of a flagging attribute with the seq of its last change."""
-    new = merge.merge_values("firstWriteWin", state["s"], x["list"], x["document"])
-    return F.struct(new.alias("s"), F.when(new == state["s"], state["at"]).otherwise(x["seq"]).alias("at"))
+def _merged_texts(texts: DataFrame) -> DataFrame:
+    """(id, key, value, seq): prose under its policies, and the seq of the last contribution that changed it.
 
-
-def _text_changes(texts: DataFrame, with_op) -> DataFrame:
-    """(id, seq) of the last change of every text."""
-    ordered = with_op(texts).groupBy("id", "key", "op").agg(F.sort_array(F.collect_list(F.struct("seq", "value", "document"))).alias("c"))
-
-    def step(state: Column, x: Column, op: str) -> Column:
-        new = F.coalesce(merge.merge_text(op, state["s"], x["value"], x["document"]), F.lit(""))
+    ``texts`` has id, key, op, seq, value and source.  Texts that more than HUB
+    documents add to are merged in joins, all others within a row.
+    """
+    some = F.coalesce("value", F.lit("")) != ""
+    first = texts.where(F.col("op").isin(*merge.FREEZE)).groupBy("id", "key").agg(F.coalesce(F.min_by("value", F.when(some, F.col("seq"))), F.lit("")).alias("value"), F.min(F.when(some, F.col("seq"))).alias("seq"))
+    over = texts.where(F.col("op").isin(*merge.OVERWRITE) & some).withColumn("_was", F.lag("value").over(Window.partitionBy("id", "key").orderBy("seq")))
+    last = over.groupBy("id", "key").agg(F.max_by("value", "seq").alias("value"), F.expr("max(seq) filter (where _was is null or _was <> value)").alias("seq"))
+    flags = merge.changes(texts.where(F.col("op").isin(*merge.FLAG) & some), F.col("value")).select("id", "key", merge.flagged(F.col("c")).alias("value"), F.element_at("c", -1)["seq"].alias("seq"))
+    added = texts.where(~F.col("op").isin(*merge.FREEZE, *merge.OVERWRITE, *merge.FLAG))
+    hubs = cut(added.groupBy("id", "key").agg(F.count("*").alias("n")).where(F.col("n") > HUB).select("id", "key"))
+    parts = [first, last, flags]
+    if not hubs.isEmpty():
+        parts.append(merge.merge_paragraph_rows(cut(added.join(hubs, ["id", "key"], "left_semi").select("id", "key", "seq", "value"))))
+        added = added.join(hubs, ["id", "key"], "left_anti")
+
+    def step(state: Column, x: Column) -> Column:
+        new = F.coalesce(merge.merge_paragraphs(state["s"], x["value"]), F.lit(""))
         return F.struct(new.alias("s"), F.when(new == state["s"], state["at"]).otherwise(x["seq"]).alias("at"))
 
-    last = lambda op: F.aggregate("c", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")), lambda s, x: step(s, x, op))["at"]
-    by_op = F.when(F.col("op").isin(*merge.FREEZE), last("immutable")).when(F.col("op").isin(*merge.FLAG), last("firstWriteWin")).when(F.col("op").isin(*merge.OVERWRITE), last("lastWriteWin")).otherwise(last("append"))
-    return ordered.select("id", by_op.alias("seq"))
+    gathered = added.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("seq", "value"))).alias("c"))
+    folded = gathered.select("id", "key", F.aggregate("c", F.struct(F.lit("").alias("s"), F.lit(0).cast("long").alias("at")), step).alias("x"))
+    parts.append(folded.select("id", "key", F.col("x.s").alias("value"), F.nullif(F.col("x.at"), F.lit(0)).alias("seq")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold(live: DataFrame, schema: Schema) -> Graph:
@@ -302,32 +314,28 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
     runs = scalars.withColumn("_was", F.lag("list").over(Window.partitionBy("id", "key").orderBy("seq")))
     pick = runs.groupBy("id", "key", "op").agg(F.min_by("list", "seq").alias("a"), F.max_by("list", "seq").alias("b"), F.min("seq").alias("from"), F.expr("max(seq) filter (where _was is null or _was <> list)").alias("since"))
     chosen = pick.select("id", "key", F.when(F.col("op").isin(*merge.OVERWRITE), F.col("b")).otherwise(F.col("a")).alias("list"))
-    flagged = sets.where(F.col("op").isin(*merge.FLAG)).groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("seq", "list", "document"))).alias("c"))
-    flags = F.aggregate("c", F.array().cast("array<string>"), lambda s, x: merge.merge_values("firstWriteWin", s, x["list"], x["document"]))
+    changes = merge.changes(sets.where(F.col("op").isin(*merge.FLAG) & (F.array_join("list", "") != "")).withColumnRenamed("document", "source"), F.array_join("list", ", "))
+    flagged = changes.select("id", "key", F.when(F.size("c") == 1, F.col("c")[0]["list"]).otherwise(F.array(merge.flagged(F.col("c")))).alias("list"))
     lists = attrs.where(~F.col("op").isin(*merge.FREEZE, *merge.OVERWRITE, *merge.FLAG) & F.col("value").isNotNull())
     united = lists.groupBy("id", "key", "value").agg(F.min(F.struct("seq", "pos")).alias("o")).groupBy("id", "key").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "value"))), lambda x: x["value"]).alias("list"))
+    # prose: only what is not taken back
+    texts = _merged_texts(with_op(kept.where("kind = 'text' and live").withColumn("seq", seq)).select("id", "key", "op", "seq", "value", F.col("document").alias("source")))
     # when a contribution has last changed anything, by what first brought each thing that is there
     at_of = kept.where("kind = 'node'").select("id", seq.alias("seq"), "at")
     changed = [
         pick.select("id", F.when(F.col("op").isin(*merge.OVERWRITE), F.col("since")).otherwise(F.col("from")).alias("seq")),
-        flagged.select("id", F.aggregate("c", F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).cast("long").alias("at")), _flag_step)["at"].alias("seq")),
+        changes.select("id", F.element_at("c", -1)["seq"].alias("seq")),
         lists.groupBy("id", "key", "value").agg(F.min("seq").alias("seq")).select("id", "seq"),
         kept.where("kind in ('edge', 'href')").groupBy("id", "kind", "key", "target").agg(F.min(seq).alias("seq")).select("id", "seq"),
-        _text_changes(kept.where("kind = 'text' and live").withColumn("seq", seq), with_op),
+        texts.where("seq is not null").select("id", "seq"),
     ]
     last = reduce(DataFrame.union, changed).groupBy("id").agg(F.max("seq").alias("seq"))
     updated = last.join(first.where("_made is not null").select("id", F.col("_made.seq").alias("_from")), "id").where(F.col("seq") > F.col("_from")).join(at_of, ["id", "seq"]).groupBy("id").agg(F.max("at").alias("at"))
     dates = [first.where("_made is not null").select("id", F.lit("indexed").alias("key"), F.array(stamp("_made.at")).alias("list")), updated.select("id", F.lit("updated").alias("key"), F.array(stamp("at")).alias("list"))]
-    made = reduce(DataFrame.unionByName, [chosen, flagged.select("id", "key", flags.alias("list")), united, *dates])
+    made = reduce(DataFrame.unionByName, [chosen, flagged, united, *dates])
     none = F.lit(None).cast("string")
     out_attrs = made.select("id", "key", F.posexplode("list").alias("pos", "value_str")).select("id", "key", "pos", "value_str", F.lit("string").alias("vtype"), none.alias("target"), none.alias("alias"))
 
-    # prose: only what is not taken back
-    texts = with_op(kept.where("kind = 'text' and live").withColumn("seq", seq))
-    ordered = texts.groupBy("id", "key", "op").agg(F.sort_array(F.collect_list(F.struct("seq", "value", "document"))).alias("c"))
-    step = lambda op: F.aggregate("c", F.lit(""), lambda s, x: F.coalesce(merge.merge_text(op, s, x["value"], x["document"]), F.lit("")))
-    out_texts = ordered.select("id", "key", F.when(F.col("op").isin(*merge.FREEZE), step("immutable")).when(F.col("op").isin(*merge.FLAG), step("firstWriteWin")).when(F.col("op").isin(*merge.OVERWRITE), step("lastWriteWin")).otherwise(step("append")).alias("value"))
-
     # links: none to nodes that are gone
     gone = heads.select("id").distinct().join(alive, "id", "left_anti").select(F.col("id").alias("dst"))
 
@@ -339,4 +347,4 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
         # a sorted window spills; no node's links are gathered into one row
         return one.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("o", "predicate", "dst")) - 1).alias("pos"), "predicate", "dst", "alias")
 
-    return Graph(nodes, out_attrs, out_texts, links("edge"), links("href"))
+    return Graph(nodes, out_attrs, texts.select("id", "key", "value"), links("edge"), links("href"))

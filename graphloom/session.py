@@ -20,11 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """End a lineage with a table in the shared folder, computed once and deleted when the application ends."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """End a lineage with a table in the shared folder, computed once and deleted when the application ends.
+
+    With a column given, its values become folders, so a filter on it reads those only.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom/cut-{uuid.uuid4().hex}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
