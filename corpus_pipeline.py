@@ -13,7 +13,17 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, decontaminate, jaccard, passages, quality_model
 from graphloom.llm.bitset import mark
 from graphloom.llm.queries import WORD_BPE
-from graphloom.llm.workspace import store, table
+from graphloom.llm.workspace import free_name, store, table
+
+
+def _beside(docs: DataFrame, made: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """The table with other names for the columns that an operator would replace, and the columns that give it back."""
+    names, given = [], docs
+    for name in docs.columns:
+        names.append(free_name(given, f"_{name}") if name.lower() in made else name)
+        if names[-1] != name:
+            given = given.withColumnRenamed(name, names[-1])
+    return given, [F.col(f"`{new}`").alias(old) for new, old in zip(names, docs.columns)]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     itself, null texts as the empty text, and stays as it is or goes.
     """
     model = quality_model.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_model.score(docs, model).where("predicted = 1").select(*docs.columns)
+    given, back = _beside(docs, ("score", "predicted"))
+    return quality_model.score(given, model).where("predicted = 1").select(*back)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = jaccard.join(docs)
     others = store(found.where("doc_id <> component_id").select("doc_id").distinct(), "others")
-    marked = mark(docs, others, "_may")
-    return marked.where("not _may").drop("_may").unionByName(marked.where("_may").drop("_may").join(others, "doc_id", "left_anti"))
+    may = free_name(docs, "_may")
+    marked = mark(docs, others, may)
+    return marked.where(~F.col(may)).drop(may).unionByName(marked.where(may).drop(may).join(others, "doc_id", "left_anti").select(*docs.columns))
 
 
 def copied_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +65,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts hold none; items without words are held by none;
     without items all rows stay.
     """
-    flagged = decontaminate.flag(docs, table(spark, sf_dir, "benchmark"))
-    return flagged.where(F.size("leaks") == 0).drop("leaks")
+    given, back = _beside(docs, ("leaks",))
+    return decontaminate.flag(given, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(*back)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,3 +108,19 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_return_columns_whatever_their_names(spark, folder):
+    from pyspark.sql import functions as F
+
+    odd = ("_may", "score", "Predicted", "leaks", "_stats", "_word", "_bits", "_p", "seq", "part")
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for i, name in enumerate(odd):
+        docs = docs.withColumn(name, F.concat(F.lit(f"{i} "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs.drop(*odd), folder[0])
+        kept = stage(spark, docs, folder[0])
+        assert sorted(kept.columns) == sorted(docs.columns), name
+        assert rows_of(kept) == rows_of(plain), name
+        assert all(r[c] == f"{i} {'' if r['doc_id'] is None else r['doc_id']}" for r in kept.collect() for i, c in enumerate(odd)), name
+    assert rows_of(kept)
