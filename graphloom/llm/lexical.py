@@ -62,8 +62,7 @@ def count_terms(texts: DataFrame, wanted: np.ndarray | None = None, text: str =
         first = order[heads]
         terms = pa.concat_arrays([pa.array([""] * block.n, pa.string()), block.spell(block.starts[first], block.ends[first])])
         owner = np.concatenate([np.arange(block.n), of[first]])
-        kept = rows.take(pa.array(owner))
-        columns = [kept.column(kept.schema.get_field_index(c)) for c in names]
+        columns = [rows.column(rows.schema.get_field_index(c)).take(pa.array(owner)) for c in names]
         tfs = np.concatenate([np.ones(block.n, np.int64), tf])
         return pa.RecordBatch.from_arrays([*columns, terms, pa.array(tfs), pa.array(n[owner].astype(np.int64))], names=[*names, "term", "tf", "n"])
 
