@@ -184,6 +184,26 @@ def test_recall_of_changed_passages(spark):
         assert found <= {(1000 + k, k) for k in range(60)} and len(found) >= least * 60, (share, size, len(found))
 
 
+@pytest.mark.parametrize(("size", "share", "pieces"), [(45, 0.15, 0), (45, 0.2, 0), (50, 0.2, 0), (60, 0.2, 0), (100, 0.1, 3), (100, 0.15, 3)])
+def test_recall_at_the_edge_and_with_earlier_pieces(spark, size, share, pieces):
+    rng = random.Random(11)
+    fill = lambda n: [f"f{rng.randrange(50_000)}" for _ in range(n)]
+    texts = []
+    for k in range(100):
+        p = fill(size)
+        changed = list(p)
+        for i in rng.sample(range(size), round(share * size)):
+            changed[i] = f"z{rng.randrange(10**9)}"
+        for i in range(pieces):  # of 32 to 36 words, in documents before the source
+            at = i * (size - 36) // (pieces - 1)
+            texts.append((20 * k + i, " ".join(fill(50) + p[at : at + rng.randrange(32, 37)] + fill(50))))
+        texts += [(20 * k + 10, " ".join(fill(60) + p + fill(60))), (20 * k + 12, " ".join(fill(80) + changed + fill(70)))]
+    rng.shuffle(texts)
+    found = {(r["doc_id"], r["ref_doc_id"]) for r in passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()}
+    assert sum((20 * k + 12, 20 * k + 10) in found for k in range(100)) >= 90
+    assert all(a // 20 == b // 20 for a, b in found)
+
+
 def test_long_gaps_are_aligned_like_short_ones():
     for gap in (62, 66, 400):
         a = np.arange(gap)
