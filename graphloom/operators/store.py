@@ -9,6 +9,12 @@ predicates that documents bring are rows of ``definitions`` and are there again
 when the store is opened anew.  Nodes that only retracted documents wrote are gone, and so are
 links to them; of nodes shared with other documents only the prose is taken
 back, and conflicts that the document caused dissolve with it.
+
+A table of patches of any size is ingested by ``apply_all``: its commits count
+once the row of their batch is there.  ``compact`` writes a snapshot of what the
+log amounts to, with the log itself, by buckets of node ids; only buckets that
+were touched since the last one are written anew.  A read then folds the nodes
+that were touched since, and takes all others from the snapshot.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import model
 from ..functions.text import node_path
 from ..model import Graph, GraphError, InvalidDocument
 from ..session import cut
@@ -35,7 +42,10 @@ CONTRIBUTIONS = (
     "value string, target string, alias string, at timestamp"
 )
 RETRACTIONS = "seq long, document string"
-COMMITS = "seq long, subject string, source_id string, message string"
+COMMITS = "seq long, subject string, source_id string, message string, batch long"
+BATCHES = "batch long"
+SNAPSHOTS = "at long, bucket int, version long, through long, policies string"
+BUCKETS = 32  # of node ids, in a snapshot
 HUB = 200  # contributions to one text beyond which it is merged in joins
 DEFINITIONS = "seq long, kind string, name string, body string"
 
@@ -56,6 +66,17 @@ class Outcome:
     message: str = ""
 
 
+@dataclass
+class Ingested:
+    """What the ingestion of a table of patches did; seq is that of the table."""
+
+    batch: int
+    counts: DataFrame  # document, type, created, merged
+    skipped: DataFrame  # seq, document
+    refused: DataFrame  # seq, err
+    definitions: list[tuple[str, str]]  # kind and name
+
+
 def count_text(counts: dict[str, int]) -> str:
     """``3 (A: 1, B: 2)``."""
     inner = ", ".join(f"{k}: {n}" for k, n in sorted(counts.items()))
@@ -110,7 +131,10 @@ class GraphStore:
 
     @property
     def commits(self) -> DataFrame:
-        return self._read("commits", COMMITS)
+        """Commits; those of a batch only if the batch was finished."""
+        rows = self._read("commits", COMMITS)
+        done = self._read("batches", BATCHES).distinct()
+        return rows.where("batch is null").unionByName(rows.where("batch is not null").join(done, "batch", "left_semi"))
 
     def _next(self) -> int:
         # beyond rows of aborted writes, too
@@ -118,12 +142,12 @@ class GraphStore:
         return max(used) + 1
 
     def _commit(self, seq: int, subject: str, source_id: str, message: str) -> None:
-        self.spark.createDataFrame([(seq, subject, source_id, message)], COMMITS).write.mode("append").parquet(f"{self.root}/commits")
+        self.spark.createDataFrame([(seq, subject, source_id, message, None)], COMMITS).write.mode("append").parquet(f"{self.root}/commits")
 
-    def live(self) -> DataFrame:
+    def live(self, contributions: DataFrame | None = None) -> DataFrame:
         """Contributions with ``live``: false for those that a later retraction took back."""
         last = self.retractions.groupBy("document").agg(F.max("seq").alias("_r"))
-        return self.contributions.join(F.broadcast(last) if self._small(last) else last, "document", "left").withColumn("live", F.coalesce(F.col("seq") > F.col("_r"), F.lit(True))).drop("_r")
+        return (self.contributions if contributions is None else contributions).join(F.broadcast(last) if self._small(last) else last, "document", "left").withColumn("live", F.coalesce(F.col("seq") > F.col("_r"), F.lit(True))).drop("_r")
 
     def _small(self, df: DataFrame) -> bool:
         return df.limit(10_001).count() <= 10_000
@@ -133,7 +157,116 @@ class GraphStore:
         return self.live().where("live").select("document").distinct()
 
     def graph(self) -> Graph:
-        return fold(self.live(), self.schema)
+        """What the log amounts to: the snapshot's nodes, and those touched since folded anew."""
+        held = self._snapshot()
+        if not held:
+            return fold(self.live(), self.schema)
+        made, gone = self._merged(held, list(range(BUCKETS)))
+        edges = made["edges"]
+        if not gone.isEmpty():  # links to nodes that are gone, and places of the links after them
+            hit = edges.join(gone.select(F.col("id").alias("dst")), "dst", "left_semi").select("src").distinct()
+            left = edges.join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select(edges.columns)
+            again = left.join(hit, "src", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("src").orderBy("pos")) - 1)
+            edges = left.join(hit, "src", "left_anti").unionByName(again)
+        return Graph(made["nodes"], made["attrs"], made["texts"], edges, made["hrefs"])
+
+    def _policies(self) -> str:
+        return json.dumps({p.name: p.merge for p in self.schema.predicates.values()}, sort_keys=True)
+
+    def _snapshot(self) -> dict[int, tuple[int, int]]:
+        """(version, through) of each bucket; none if a policy has changed since."""
+        rows = self._read("snapshots", SNAPSHOTS).groupBy("bucket").agg(F.max_by(F.struct("version", "through", "policies"), "at").alias("x")).collect()  # a row for each bucket
+        now = {p.name: p.merge for p in self.schema.predicates.values()}
+        if any(now.get(name) != op for policies in {r["x"]["policies"] for r in rows} for name, op in json.loads(policies).items()):
+            return {}
+        return {r["bucket"]: (r["x"]["version"], r["x"]["through"]) for r in rows}
+
+    def _part(self, held: dict[int, tuple[int, int]], buckets: list[int], table: str) -> DataFrame:
+        """A snapshot's table, of some buckets."""
+        schema = f"{_TABLES[table]}, version long, bucket int"
+        by: dict[int, list[int]] = {}
+        for bucket in buckets:
+            if bucket in held:
+                by.setdefault(held[bucket][0], []).append(bucket)
+        if not by:
+            return self.spark.createDataFrame([], _TABLES[table])
+        own = reduce(Column.__or__, [(F.col("version") == v) & F.col("bucket").isin(b) for v, b in by.items()])
+        return self.spark.read.schema(schema).parquet(f"{self.root}/snapshot/{table}").where(own).drop("version", "bucket")
+
+    def _merged(self, held: dict[int, tuple[int, int]], buckets: list[int]) -> tuple[dict[str, DataFrame], DataFrame]:
+        """Tables of the graph in some buckets, links to nodes that are gone among them, and those nodes."""
+        since, touched = self._since(held, buckets)
+        log = self._part(held, buckets, "log")
+        live = cut(self.live(log.join(touched, "id", "left_semi").unionByName(since)), "kind")
+        fresh = fold(live, self.schema, sweep=False)
+        lost = live.where("kind = 'node'").groupBy("id").agg(F.bool_or("live").alias("live")).where("not live").select("id")
+        out = {}
+        for name, made in (("nodes", fresh.nodes), ("attrs", fresh.attrs), ("texts", fresh.texts), ("edges", fresh.edges), ("hrefs", fresh.hrefs), ("gone", lost)):
+            key = "src" if name in ("edges", "hrefs") else "id"
+            kept = self._part(held, buckets, name).join(touched.withColumnRenamed("id", key), key, "left_anti")
+            out[name] = kept.select(made.columns).unionByName(made)
+        return out, out.pop("gone")
+
+    def _since(self, held: dict[int, tuple[int, int]], buckets: list[int]) -> tuple[DataFrame, DataFrame]:
+        """Contributions later than the snapshot of their node's bucket, and the ids touched since, by retractions too."""
+        through = {b: held[b][1] if b in held else -1 for b in buckets}
+        place = F.create_map(*(F.lit(x) for b, n in through.items() for x in (b, n)))
+        own = _bucket("id").isin(buckets)
+        since = self.contributions.where((F.col("seq") > min(through.values())) & own).where(F.col("seq") > place[_bucket("id")])
+        back = self.retractions.where(F.col("seq") > min(through.values())).groupBy("document").agg(F.max("seq").alias("_r"))
+        taken = self._part(held, buckets, "log").select("id", "document").join(back, "document").where(F.col("_r") > place[_bucket("id")])
+        return since, cut(since.select("id").union(taken.select("id")).distinct())
+
+    def compact(self) -> list[int]:
+        """Write a snapshot of the buckets that were touched since the last one; their numbers."""
+        held, everything = self._snapshot(), list(range(BUCKETS))
+        at, through = self._next(), self.commits.agg(F.max("seq")).first()[0]
+        if through is None:
+            return []
+        since, touched = self._since(held, everything)
+        dirty = sorted(r[0] for r in touched.select(_bucket("id").alias("b")).distinct().collect())
+        if dirty:
+            made, gone = self._merged(held, dirty)
+            log = self._part(held, dirty, "log").unionByName(since)
+            for name, df in (*made.items(), ("gone", gone), ("log", log)):
+                placed = df.withColumn("bucket", _bucket("src" if name in ("edges", "hrefs") else "id"))
+                placed.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/snapshot/{name}/version={at}")
+        rows = [(at, b, at if b in dirty else held[b][0], through, self._policies()) for b in everything if b in dirty or b in held]
+        self.spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("append").parquet(f"{self.root}/snapshots")
+        return dirty
+
+    def apply_all(self, patches: DataFrame) -> Ingested:
+        """Ingest a table of patches (seq long from 0 on, at timestamp, raw string) as ``apply`` would one by one in order of seq.
+
+        Each patch is read with the schema as it is before the first.  Refused
+        ones are left out, of patches of one document the first counts, and
+        documents that are in the graph already are skipped.  All of it counts
+        at once, when the row of the batch is written; if it never is, nothing does.
+        """
+        base = self._next()
+        parsed = parse(patches.withColumn("seq", F.col("seq") + base), self.schema)
+        given = parsed.where("kind = 'document'").select("document", "seq")
+        chosen = cut(given.groupBy("document").agg(F.min("seq").alias("seq")).join(self.active(), "document", "left_anti"))
+        rows = parsed.where("kind not in ('document', 'used')").join(chosen, ["document", "seq"], "left_semi").select([c.split(" ")[0] for c in CONTRIBUTIONS.split(", ")])
+        ids = rows.where("kind = 'node'").select("id").distinct()
+        known = self.live().where("live and kind = 'node'").join(ids, "id", "left_semi").select("id").distinct()
+        done = cut(counts(rows, known))
+        used = parsed.where("kind = 'used'").join(chosen, ["document", "seq"], "left_semi").groupBy("key").agg(F.min_by(F.struct("value", "alias"), F.struct("seq", "node_seq", "pos")).alias("x"), F.min(F.struct("seq", "node_seq", "pos")).alias("o"))
+        types = rows.where("kind = 'node'").groupBy("type").agg(F.min(F.struct("seq", "node_seq")).alias("o"))
+        new = [("type", r["type"]) for r in types.where(~F.col("type").isin(list(self.schema.types))).orderBy("o").collect() if self.schema.register_type(r["type"])]  # a vocabulary, as the schema
+        new += [("predicate", r["key"]) for r in used.where(~F.col("key").isin(list(self.schema.predicates))).orderBy("o").collect() if self.schema.register_predicate(r["key"], r["x"]["value"], r["x"]["alias"] or "")]
+        by = done.groupBy("document").agg(*(F.sort_array(F.filter(F.collect_list(F.struct("type", F.col(c).alias("n"))), lambda x: x["n"] > 0)).alias(c) for c in ("created", "merged")))
+        message = F.concat(F.lit("Ingest "), "document", F.lit("\n\nCreated: "), _count_text("created"), F.lit("\nMerged: "), _count_text("merged"), F.lit("\nSource-Id: "), "document")
+        commits = chosen.join(by, "document", "left").select("seq", F.concat(F.lit("Ingest "), "document").alias("subject"), F.col("document").alias("source_id"), message.alias("message"), F.lit(base).cast("long").alias("batch"))
+        if new:
+            bodies = [(base, k, name, json.dumps(asdict((self.schema.predicates if k == "predicate" else self.schema.types)[name]))) for k, name in new]
+            first = chosen.agg(F.min("seq")).first()[0]
+            self.spark.createDataFrame([(first, *x[1:]) for x in bodies], DEFINITIONS).write.mode("append").parquet(f"{self.root}/definitions")
+        rows.write.mode("append").parquet(f"{self.root}/contributions")
+        commits.write.mode("append").parquet(f"{self.root}/commits")
+        self.spark.createDataFrame([(base,)], BATCHES).coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+        of_table = lambda df: df.withColumn("seq", F.col("seq") - base)
+        return Ingested(base, done, of_table(given.join(chosen, ["document", "seq"], "left_anti").select("seq", "document")), of_table(parsed.where("err is not null").select("seq", "err")), new)
 
     def timeline(self) -> DataFrame:
         """Entries of all periods, with places."""
@@ -201,12 +334,26 @@ class GraphStore:
         return out
 
 
-def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
-    """Contributions of a table of patches (seq long, at timestamp, raw string), and (seq, err) of those that are refused.
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+_TABLES = {"nodes": model.NODES, "attrs": model.ATTRS, "texts": model.TEXTS, "edges": model.EDGES, "hrefs": model.EDGES, "gone": "id string", "log": CONTRIBUTIONS}
 
-    Patches are parsed where they lie, once, and written by kind of contribution; of
-    patches of one document the first by seq counts.  Nothing is collected, so the
-    table may have any size.
+
+def _count_text(column: str) -> Column:
+    """``count_text`` of an array of struct(type, n)."""
+    inner = F.array_join(F.transform(column, lambda x: F.concat(x["type"], F.lit(": "), x["n"].cast("string"))), ", ")
+    total = F.aggregate(column, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    return F.when(F.coalesce(F.size(column), F.lit(0)) > 0, F.concat(total.cast("string"), F.lit(" ("), inner, F.lit(")"))).otherwise("0")
+
+
+def parse(patches: DataFrame, schema: Schema) -> DataFrame:
+    """Contributions of a table of patches (seq long, at timestamp, raw string), with ``err`` for those that are refused.
+
+    Further rows name the document of each patch (kind ``document``) and its
+    predicates as they were met (kind ``used``).  Patches are parsed where they
+    lie, once, and written by kind.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,6 +367,10 @@ def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
                     if bad is not None:
                         raise InvalidDocument(f"bad id {bad!r}")
                     rows += [(*x, None) for x in rows_of(patch, seq, at)]
+                    rows.append((seq, patch.document, None, None, None, "document", None, None, None, None, None, at, None))
+                    for i, n in enumerate(patch.nodes):
+                        if n.type != "Timeline":
+                            rows += [(seq, patch.document, i, n.id, n.type, "used", k, p, seen, None, n.labels.get(k, ""), at, None) for p, (k, seen) in enumerate(observed(n).items())]
                 except (GraphError, ValueError) as e:
                     rows.append((seq, *[None] * 10, at, str(e) or type(e).__name__))
             made = pd.DataFrame(rows, columns=names)
@@ -227,17 +378,31 @@ def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
                 made[name] = made[name].astype("Int32")
             yield made
 
-    parsed = cut(patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string"), "kind")
-    good = parsed.where("err is null").drop("err")
+    return cut(patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string"), "kind")
+
+
+def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
+    """Contributions of a table of patches (seq long, at timestamp, raw string), and (seq, err) of those that are refused.
+
+    Of patches of one document the first by seq counts.  Nothing is collected,
+    so the table may have any size.
+    """
+    parsed = parse(patches, schema)
+    good = parsed.where("err is null and kind not in ('document', 'used')").drop("err")
     first = good.groupBy("document").agg(F.min("seq").alias("seq"))
     return good.join(first, ["document", "seq"], "left_semi"), parsed.where("err is not null").select("seq", "err")
 
 
-def counts(contributions: DataFrame) -> DataFrame:
-    """(document, type, created, merged): nodes of each ingestion by type; a node is created by the first that names it."""
+def counts(contributions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(document, type, created, merged): nodes of each ingestion by type; a node is created by the first that names it, unless it is known (column id)."""
     heads = contributions.where("kind = 'node'").select("document", "type", "id", F.struct("seq", "node_seq").alias("o"))
     first = heads.groupBy("id").agg(F.min("o").alias("first"))
-    return heads.join(first, "id").groupBy("document", "type").agg(F.count_if(F.col("o") == F.col("first")).alias("created"), F.count_if(F.col("o") != F.col("first")).alias("merged"))
+    there = F.lit(False)
+    if known is not None:
+        first = first.join(known.select("id", F.lit(True).alias("_known")), "id", "left")
+        there = F.coalesce("_known", F.lit(False))
+    made = (F.col("o") == F.col("first")) & ~there
+    return heads.join(first, "id").groupBy("document", "type").agg(F.count_if(made).alias("created"), F.count_if(~made).alias("merged"))
 
 
 def retracted(contributions: DataFrame, documents: DataFrame) -> DataFrame:
@@ -287,8 +452,8 @@ def _merged_texts(texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def fold(live: DataFrame, schema: Schema) -> Graph:
-    """The graph that a log (with ``live``) amounts to."""
+def fold(live: DataFrame, schema: Schema, sweep: bool = True) -> Graph:
+    """The graph that a log (with ``live``) amounts to; without sweep, links to nodes that are gone stay."""
     spark = live.sparkSession
     ops = spark.createDataFrame([(p.name, p.merge) for p in schema.predicates.values()] or [("published", "immutable")], "key string, op string")
     heads = live.where("kind = 'node'")
@@ -342,7 +507,7 @@ def fold(live: DataFrame, schema: Schema) -> Graph:
     def links(kind: str) -> DataFrame:
         rows = kept.where(F.col("kind") == kind).select(F.col("id").alias("src"), F.col("key").alias("predicate"), F.col("target").alias("dst"), "alias", seq.alias("seq"), "pos")
         one = rows.groupBy("src", "predicate", "dst").agg(F.min_by("alias", F.struct("seq", "pos")).alias("alias"), F.min(F.struct("seq", "pos")).alias("o"))
-        if kind == "edge":
+        if kind == "edge" and sweep:
             one = one.join(gone, "dst", "left_anti")
         # a sorted window spills; no node's links are gathered into one row
         return one.select("src", (F.row_number().over(Window.partitionBy("src").orderBy("o", "predicate", "dst")) - 1).alias("pos"), "predicate", "dst", "alias")

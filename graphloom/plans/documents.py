@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from ..functions.text import referrer_path, set_value
 from ..operators import lint, merge, store, timeline
 from ..operators.filters import Filter
 from ..operators.schema import Schema, contract, seed
+from ..session import shared_dir
 from ..sources import codec, corpus
 from ..sources import relational as rel
 from . import service
@@ -312,3 +314,41 @@ def retract_links(spark: SparkSession, d: str) -> DataFrame:
     return _links(store.fold(_live(spark, d, True), seed()))
 
 
+# The same patches in a store, in two halves
+
+
+_TWICE_SQL = f"""{_P_SQL}, half AS (SELECT *, seq > (SELECT max(seq) // 2 FROM p) AS later FROM p)"""
+
+
+def _halves(spark: SparkSession, d: str) -> tuple[store.GraphStore, store.Ingested]:
+    """A store that took the first half of the patches, a snapshot, and then all of them, of which the first half is skipped."""
+    patches = _patches(spark, d)
+    at = store.GraphStore(spark, f"{shared_dir(spark)}/graphloom/store-{uuid.uuid4().hex}", seed())
+    half = patches.agg(F.max("seq")).first()[0] // 2
+    at.apply_all(patches.where(F.col("seq") <= half))
+    at.compact()
+    return at, at.apply_all(patches)
+
+
+@query(f"""WITH {_TWICE_SQL}, seen AS (SELECT nat, min(seq) AS first FROM p GROUP BY nat)
+SELECT doc AS document, 'Source' AS type, CAST(1 AS BIGINT) AS created, CAST(0 AS BIGINT) AS merged, 'Ingest ' || doc || chr(10) || chr(10) || 'Created: ' ||
+  CASE WHEN seq = first THEN '2 (Entity: 1, Source: 1)' ELSE '1 (Source: 1)' END || chr(10) || 'Merged: ' || CASE WHEN seq = first THEN '0' ELSE '1 (Entity: 1)' END || chr(10) || 'Source-Id: ' || doc AS message FROM half JOIN seen USING (nat) WHERE later
+UNION ALL SELECT doc, 'Entity', CAST(seq = first AS BIGINT), CAST(seq <> first AS BIGINT), NULL FROM half JOIN seen USING (nat) WHERE later
+UNION ALL SELECT doc, 'skipped', NULL, NULL, NULL FROM half WHERE NOT later""")
+def store_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the second ingestion creates, merges into and skips, and its commits."""
+    at, done = _halves(spark, d)
+    messages = at.commits.where(F.col("batch") == done.batch).select(F.col("source_id").alias("document"), F.lit("Source").alias("type"), "message")
+    skipped = done.skipped.select("document", F.lit("skipped").alias("type"))
+    return done.counts.join(messages, ["document", "type"], "left").unionByName(skipped, allowMissingColumns=True)
+
+
+@query(f"""WITH {_P_SQL}, n AS ({_NODES.format(one='', many='')}), t AS ({_PROSE.format(where='')}), l AS ({_LINKS.format(where='')})
+SELECT 'node' AS part, id, type AS key, 0 AS pos, published AS value FROM n UNION ALL SELECT 'text', id, key, 0, value FROM t UNION ALL SELECT kind, src, predicate, pos, dst || '|' || alias FROM l""")
+def store_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of both halves: nodes touched since the snapshot folded anew, all others from it."""
+    g = _halves(spark, d)[0].graph()
+    nodes = _dated(g.nodes).select(F.lit("node").alias("part"), "id", F.col("type").alias("key"), F.lit(0).alias("pos"), F.col("published").alias("value"))
+    texts = g.texts.select(F.lit("text").alias("part"), "id", "key", F.lit(0).alias("pos"), "value")
+    links = _links(g).select(F.col("kind").alias("part"), F.col("src").alias("id"), F.col("predicate").alias("key"), "pos", F.concat_ws("|", "dst", "alias").alias("value"))
+    return nodes.unionByName(texts).unionByName(links)
