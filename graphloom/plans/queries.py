@@ -9,7 +9,7 @@ from ..functions import text as fx
 from ..operators import filters, graph, history, lint, merge, reads, timeline
 from ..operators import schema as schemas
 from ..operators.grep import grep
-from ..session import cut
+from ..session import shared_dir
 from ..sources import relational as rel
 from . import documents, streams  # noqa: F401  their queries are registered, too
 from .registry import ORACLE_SQL, QUERIES, query
@@ -179,7 +179,7 @@ def backlinks(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id""")
 def degree(spark: SparkSession, d: str) -> DataFrame:
     """Degrees of all nodes; parallel edges count."""
-    return graph.degrees(rel.edges(spark, d))
+    return graph.degrees_of(rel.ends(spark, d))
 
 
 @query(f"""WITH {EDGES_SQL}, {DEGREE_SQL}
@@ -187,7 +187,7 @@ SELECT id, degree FROM degree JOIN customer ON id = 'C' || c_custkey WHERE c_mkt
 def degree_topk(spark: SparkSession, d: str) -> DataFrame:
     """Customers of a segment, the ten of highest degree."""
     pool = _customers(spark, d).where(filters.Filter(attrs={"segment": "building"}).column()).select("id")
-    return graph.degrees(rel.edges(spark, d), pool).select("id", "degree").orderBy(F.desc("degree"), "id").limit(10)
+    return graph.degrees_of(rel.ends(spark, d), pool).select("id", "degree").orderBy(F.desc("degree"), "id").limit(10)
 
 
 @query(f"WITH {EDGES_SQL} SELECT dst, src, count(*) AS n FROM edges GROUP BY dst, src HAVING count(*) > 1")
@@ -196,9 +196,14 @@ def reverse_index_multigraph(spark: SparkSession, d: str) -> DataFrame:
     return graph.reverse_index(rel.edges(spark, d)).where("n > 1")
 
 
-def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as one table each, written once for all hops of a search."""
-    return cut(rel.nodes(spark, d)), cut(rel.edges(spark, d))
+def _graph(spark: SparkSession, d: str) -> graph.Adjacency:
+    """The tables' graph laid out for traversal, once for an application and the state of the tables."""
+    root = f"{shared_dir(spark)}/graphloom/adjacency-{spark.sparkContext.applicationId}-{rel.stamp(spark, d)}"
+    return graph.Adjacency(spark, root, lambda: rel.edges(spark, d), lambda: rel.nodes(spark, d))
+
+
+def _one(spark: SparkSession, id_: str) -> DataFrame:
+    return spark.createDataFrame([(id_,)], "id string")
 
 
 _BFS_SQL = """WITH RECURSIVE {edges}, walk(id, hop) AS (
@@ -209,15 +214,13 @@ SELECT id, CAST(min(hop) AS INTEGER) AS hop FROM walk WHERE id <> '{seed}' GROUP
 @query(_BFS_SQL.format(edges=EDGES_SQL, seed="O1", to="dst", frm="src", depth=3))
 def bfs_direct(spark: SparkSession, d: str) -> DataFrame:
     """Order, customer, nation, region."""
-    nodes, edges = _graph(spark, d)
-    return graph.bfs(edges, nodes, nodes.where("id = 'O1'"), 3)
+    return graph.bfs(_graph(spark, d), None, _one(spark, "O1"), 3)
 
 
 @query(_BFS_SQL.format(edges=EDGES_SQL, seed="R1", to="src", frm="dst", depth=3))
 def bfs_backlink(spark: SparkSession, d: str) -> DataFrame:
     """What leads to a region in three hops."""
-    nodes, edges = _graph(spark, d)
-    return graph.bfs(edges, nodes, nodes.where("id = 'R1'"), 3, backward=True)
+    return graph.bfs(_graph(spark, d), None, _one(spark, "R1"), 3, backward=True)
 
 
 @query(f"""WITH {EDGES_SQL}, {DEGREE_SQL}, pool AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 'N5'),
@@ -225,7 +228,7 @@ kept AS (SELECT id FROM pool JOIN degree USING (id) ORDER BY degree DESC, id LIM
 SELECT 'N5' AS id, 'seed' AS part UNION ALL SELECT DISTINCT dst, 'direct' FROM edges WHERE src = 'N5' UNION ALL SELECT id, 'backlink' FROM kept""")
 def subgraph_capped(spark: SparkSession, d: str) -> DataFrame:
     """A node's surroundings with a cap on backlinks."""
-    return graph.subgraph(*_graph(spark, d), "N5", 1, backlink_cap=20).members
+    return graph.subgraph(None, _graph(spark, d), "N5", 1, backlink_cap=20).members
 
 
 @query(f"""WITH {EDGES_SQL}, {DEGREE_SQL}, pool AS (SELECT DISTINCT src AS id FROM edges WHERE dst = 'N5'),
@@ -234,14 +237,14 @@ SELECT 'N5' AS id, 'seed' AS part UNION ALL SELECT id, 'backlink' FROM kept WHER
 def subgraph_filter_after_cap(spark: SparkSession, d: str) -> DataFrame:
     """The filter comes after the cap and spares the seed."""
     keep = F.col("type") == "Supplier"
-    return graph.subgraph(*_graph(spark, d), "N5", 1, backlink_cap=40, keep=keep).members
+    return graph.subgraph(None, _graph(spark, d), "N5", 1, backlink_cap=40, keep=keep).members
 
 
 @query(f"""WITH {EDGES_SQL}, members AS (SELECT 'C1' AS id UNION SELECT dst FROM edges WHERE src = 'C1' UNION SELECT src FROM edges WHERE dst = 'C1')
 SELECT DISTINCT dst AS id FROM edges WHERE src IN (SELECT id FROM members) AND dst NOT IN (SELECT id FROM members)""")
 def boundary_stubs(spark: SparkSession, d: str) -> DataFrame:
     """Existing targets just outside a subgraph."""
-    return graph.subgraph(*_graph(spark, d), "C1", 1, stubs=True).members.where("part = 'stub'").select("id")
+    return graph.subgraph(None, _graph(spark, d), "C1", 1, stubs=True).members.where("part = 'stub'").select("id")
 
 
 # Merging

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,3 +43,33 @@ def edges(spark: SparkSession, folder: str, predicates: tuple[str, ...] = ()) ->
         if not predicates or p in predicates:
             parts.append(table(spark, folder, "lineitem").select(_id("O", "l_orderkey").alias("src"), F.lit(p).alias("predicate"), _id(to, k).alias("dst")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def stamp(spark: SparkSession, folder: str) -> str:
+    """A name for the state of the tables: their paths, sizes and times of change."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted({t for t, *_ in _TABLES} | {"lineitem"}):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(conf)
+        at, sizes = files.getFileStatus(path), files.getContentSummary(path)
+        found.append(f"{at.getPath()} {at.getModificationTime()} {sizes.getLength()} {sizes.getFileCount()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:24]
+
+
+def ends(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, outgoing, incoming): counts of the ends of all edges, by key before any id is made."""
+    parts = []
+
+    def count(t: str, letter: str, key: str, outgoing: int, incoming: int) -> None:
+        rows = table(spark, folder, t).groupBy(key).agg(F.count("*").alias("n")).where(F.col(key).isNotNull())
+        parts.append(rows.select(_id(letter, key).alias("id"), (F.col("n") * outgoing).alias("outgoing"), (F.col("n") * incoming).alias("incoming")))
+
+    for t, letter, key, _, _, links in _TABLES:
+        if links:
+            count(t, letter, key, len(links), 0)
+        for _, to, k in links:
+            count(t, to, k, 0, 1)
+    count("lineitem", "O", "l_orderkey", 2, 0)
+    count("lineitem", "P", "l_partkey", 0, 1)
+    count("lineitem", "S", "l_suppkey", 0, 1)
+    return reduce(DataFrame.unionByName, parts)

@@ -195,3 +195,30 @@ def test_dialect(spark, pattern, text, found):
 def test_dialect_refusals(spark, pattern):
     with pytest.raises(InvalidPattern):
         to_jvm(pattern)
+
+
+def test_adjacency_is_the_graph_of_its_edges(spark, tmp_path, monkeypatch):
+    import random
+
+    from graphloom.operators import graph
+
+    r = random.Random(6)
+    rows = [(f"n{r.randrange(30)}", "p", f"n{r.randrange(34)}") for _ in range(70)] + [("n1", "q", f"n{i}") for i in range(30)] * 2  # a hub, parallel edges, targets without a node
+    edges = spark.createDataFrame(rows, "src string, predicate string, dst string")
+    nodes = spark.createDataFrame([(f"n{i}", "T" if i % 2 else "U") for i in range(30)], "id string, type string")
+    calls = []
+    laid = graph.Adjacency(spark, f"file://{tmp_path}/a", lambda: calls.append(1) or edges, lambda: nodes)
+    ids = lambda df: sorted(tuple(x) for x in df.collect())
+    for most in (500, 2):
+        monkeypatch.setattr(graph, "SOUGHT", most)
+        for backward in (False, True):
+            for seed in ("n1", "n7"):
+                start = spark.createDataFrame([(seed,)], "id string")
+                assert ids(graph.bfs(laid, None, start, 3, backward)) == ids(graph.bfs(edges, nodes, start, 3, backward))
+        keep = graph.F.col("type") == "T"
+        one, two = (graph.subgraph(n, e, "n1", 1, 7, 3, keep, True) for n, e in ((None, laid), (nodes, edges)))
+        assert ids(one.members) == ids(two.members) and (one.direct, one.backlinks, one.direct_truncated) == (two.direct, two.backlinks, two.direct_truncated)
+        assert ids(laid.table("degrees").drop("bucket").select("id", "out_degree", "in_degree", "degree")) == ids(graph.degrees(edges))
+    assert len(calls) == 2  # each side was made once
+    plan = laid.of("out", spark.createDataFrame([("n1",)], "id string"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(id)" in plan
