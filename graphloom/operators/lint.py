@@ -189,7 +189,7 @@ def located(violations: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def lint(parsed: DataFrame, graph, predicates: DataFrame, types: DataFrame, contract: DataFrame, commits: DataFrame | None = None) -> DataFrame:
-    """All violations of a graph.  ``parsed`` is (path, id, type, raw, err) of every document, readable or not.
+    """All violations of a graph, each with the line that it shows in.  ``parsed`` is (path, id, type, raw, err) of every document, readable or not.
 
     A document with an open conflict is checked for nothing else of its own; one
     that can't be read is only reported as such.
@@ -211,7 +211,8 @@ def lint(parsed: DataFrame, graph, predicates: DataFrame, types: DataFrame, cont
     ]
     if commits is not None:
         found.append(ingest_commit(nodes, commits))
-    return reduce(DataFrame.unionByName, found).orderBy(F.col("rule") != "uniqueBasename", "id", "rule", "detail")
+    docs = parsed.groupBy(basename(F.col("path")).alias("id")).agg(F.max_by("raw", "path").alias("raw"))
+    return located(reduce(DataFrame.unionByName, found), docs).orderBy(F.col("rule") != "uniqueBasename", "id", "rule", "detail")
 
 
 def summary(parsed: DataFrame, violations: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ from ..functions.text import node_path
 from ..model import Graph, GraphError, InvalidDocument
 from ..session import cut
 from ..sources import codec
-from . import merge, timeline
+from . import definitions, merge, timeline
 from .schema import Predicate, Schema, Type
 
 CONTRIBUTIONS = (
@@ -110,7 +110,7 @@ class GraphStore:
         for r in self._committed("definitions", DEFINITIONS).orderBy("seq", "name").collect():  # a schema is small
             known, made = (schema.predicates, Predicate) if r["kind"] == "predicate" else (schema.types, Type)
             values = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(r["body"]).items()}
-            known.setdefault(r["name"], made(**values))
+            known[r["name"]] = made(**values)  # later definitions have grown from earlier ones
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
@@ -309,6 +309,19 @@ class GraphStore:
         self._commit(seq, f"Ingest {patch.document}", patch.document, out.message)
         return out
 
+    def apply_schema(self, text: str) -> definitions.Changes:
+        """Merge a patch of definitions into the schema, store what it changed and commit it; InvalidSchema for any bad one, and then nothing is."""
+        merged, done = definitions.apply(self.schema, text)
+        seq = self._next()
+        changed = [("predicate", n, merged.predicates[n]) if n in merged.predicates and self.schema.predicates.get(n) != merged.predicates[n] else ("type", n, merged.types[n]) for n in (*done.created, *done.updated)]
+        if changed:
+            rows = [(seq, kind, name, json.dumps(asdict(body))) for kind, name, body in changed]
+            self.spark.createDataFrame(rows, DEFINITIONS).write.mode("append").parquet(f"{self.root}/definitions")
+            self._commit(seq, done.message.splitlines()[0], "", done.message)
+        self.schema.predicates.update(merged.predicates)
+        self.schema.types.update(merged.types)
+        return done
+
     def revert(self, document: str, now: dt.datetime) -> Outcome:
         """Take a document's contribution back; GraphError for one never ingested, skipped if it is out already."""
         out = Outcome(document)

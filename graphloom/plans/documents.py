@@ -110,6 +110,21 @@ def codec_rendered(spark: SparkSession, d: str) -> DataFrame:
     return made.select("id", F.array_join(F.slice(F.split("raw", "\n"), 2, 4), "\n").alias("head"), F.array_join(links, "\n").alias("links"))
 
 
+@query("SELECT 'entities/P' || p_partkey || '.md' AS path, 'P' || p_partkey AS id, 'Part ' || p_name || ' of ' || p_brand AS text FROM part UNION ALL SELECT 'orders/O' || o_orderkey || '.md', 'O' || o_orderkey, 'Order of C' || o_custkey FROM orders")
+def document_files(spark: SparkSession, d: str) -> DataFrame:
+    """Parts and orders written as files by the executors, and read back through Spark's file systems."""
+    s = lambda c: F.col(c).cast("string")
+    doc = lambda id_, type_, text: F.concat(F.lit('---\n"@id": '), id_, F.lit(f'\n"@type": {type_}\n---\n\n# '), id_, F.lit("\n\n"), text, F.lit("\n"))
+    p, o = rel.table(spark, d, "part"), rel.table(spark, d, "orders")
+    pid, oid = F.concat(F.lit("P"), s("p_partkey")), F.concat(F.lit("O"), s("o_orderkey"))
+    docs = p.select(F.concat(F.lit("entities/"), pid, F.lit(".md")).alias("path"), doc(pid, "Entity", F.concat(F.lit("Part "), "p_name", F.lit(" of "), "p_brand")).alias("raw"))
+    docs = docs.unionByName(o.select(F.concat(F.lit("orders/"), oid, F.lit(".md")).alias("path"), doc(oid, "Order", F.concat(F.lit("Order of C"), s("o_custkey"))).alias("raw")))
+    root = f"{shared_dir(spark)}/graphloom/kb-{uuid.uuid4().hex}"
+    corpus.init(root.removeprefix("file://"), Schema())
+    corpus.write(docs.repartition(16), root)
+    return corpus.read(spark, root).select("path", "id", F.col("texts")[0]["value"].alias("text"))
+
+
 _BAD = (("no end", "\n---\n\n"), ("no id", '"@id": '), ("older form", "\nname: "))
 
 
@@ -146,15 +161,21 @@ def lint_located(spark: SparkSession, d: str) -> DataFrame:
     return lint.located(found, g.nodes.select("id", "raw")).select("id", "detail", "line").distinct()
 
 
-@query("""SELECT rule, count(*) AS n FROM (SELECT unnest(['linkResolves', 'linkResolves', 'linkResolves', 'typeRequires', 'typeRequires', 'typeRequires', 'derivedProvenance', 'entityCategory']) AS rule FROM part)
-GROUP BY rule""")
+@query("""WITH f AS (SELECT p_partkey AS k, unnest([
+  ('linkResolves', 15), ('linkResolves', 15), ('linkResolves', 19), ('typeRequires', 1), ('typeRequires', 1), ('typeRequires', 1), ('derivedProvenance', 1), ('entityCategory', 1), ('citationPredicate', 15),
+  ('typeOptional', 4), ('typeOptional', 5), ('typeOptional', 6), ('typeOptional', 7), ('typeOptional', 9), ('typeOptional', 15), ('typeOptional', 1),
+  ('predicateRegistered', 4), ('predicateRegistered', 5), ('predicateRegistered', 6), ('predicateRegistered', 7), ('predicateRegistered', 9), ('predicateRegistered', 15), ('predicateRegistered', 1)]) AS x FROM part WHERE p_partkey % 5 > 1)
+SELECT x[1] AS rule, CAST(x[2] AS INTEGER) AS line, count(*) AS n FROM f GROUP BY ALL UNION ALL SELECT 'mergeConflict', 2, count(*) FROM part WHERE p_partkey % 5 = 0
+UNION ALL SELECT unnest(['identityQuoting', 'frontMatter']), unnest([2, 1]), count(*) FROM part WHERE p_partkey % 5 = 1""")
 def lint_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that documents break, from all rules over what was read."""
+    """Violations of all rules by rule and line, over documents as they are, with open conflicts and with bare identity keys."""
     schema = seed()
-    parsed = _parts(spark, d)
+    docs, key = _part_documents(spark, d), F.regexp_extract("path", r"P(\d+)", 1).cast("long") % 5
+    open_, bare = F.replace("raw", F.lit("---\n\"@id\""), F.lit("---\n<<<<<<< existing\n\"@id\"")), F.replace("raw", F.lit('"@id"'), F.lit("@id"))
+    parsed = corpus.parse(docs.select("path", F.when(key == 0, open_).when(key == 1, bare).otherwise(F.col("raw")).alias("raw")), schema)
     predicates, types = schema.frames(spark)
     found = lint.lint(parsed, corpus.graph(parsed), predicates, types, contract(spark, schema.types))
-    return found.where(F.col("rule").isin("linkResolves", "typeRequires", "derivedProvenance", "entityCategory", "frontMatter", "uniqueBasename", "mergeConflict", "typeCase", "unrecognizedKind")).select("id", "rule", "detail").distinct().groupBy("rule").agg(F.count("*").alias("n"))
+    return found.select("id", "rule", "detail", "line").distinct().groupBy("rule", "line").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'C' || c_custkey AS id, CASE WHEN c_nationkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS mentions, c_mktsegment AS broader FROM customer")

@@ -12,7 +12,7 @@ from ..model import Graph, NodeNotFound
 from ..operators import graph as traversal
 from ..operators.definitions import Changes
 from ..operators.filters import Filter, matching
-from ..operators.grep import fit_window, grep
+from ..operators.grep import fit_window, grep, highlight
 from ..operators.schema import Schema
 from ..operators.store import Outcome, count_text
 from ..sources import codec
@@ -70,6 +70,16 @@ def node_grep(graph: Graph, pattern: str, spec: dict | None = None, width: int =
     return "\n".join(lines + (["", f"more than {SHOWN} matches"] if len(rows) > SHOWN else []))
 
 
+def grep_text(graph: Graph, pattern: str, spec: dict | None = None, width: int = 512, color: bool = False) -> str:
+    """Matches as lines of a terminal (path, line, text), the match between marks if color is wanted."""
+    rows = search(graph, pattern, Filter.from_json(spec)).limit(SHOWN + 1).collect()
+    lines = []
+    for r in rows[:SHOWN]:
+        text = highlight(r["text"], r["start"], r["end"]) if color and len(r["text"].encode()) <= width else fit_window(r["text"], r["start"], r["end"], width)
+        lines.append(f"{r['path']}:{r['line']}: {text}")
+    return "\n".join(lines + ([f"more than {SHOWN} matches"] if len(rows) > SHOWN else []))
+
+
 def slug(text: str) -> str:
     made = "".join(c if c.isascii() and c.isalnum() else "-" for c in text.lower())
     return "-".join(x for x in made.split("-") if x)

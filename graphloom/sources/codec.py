@@ -18,19 +18,19 @@ try:
 except ImportError:  # documents can't be read without it; tables can
     yaml = None
 
+from ..functions.text import INLINE_LINK, LIST_LINK
 from ..model import InvalidDocument
 from ..operators.schema import Schema
 
-#: The link forms, and the names of the leading prose by type.
-_ITEM_LINK = re.compile(r"^(?:((?:\w+:)?\w+)::\s*)?\[\[([^\]|]+)(?:\|([^\]]+))?\]\](?:\s.*)?$", re.S)
-_INLINE = re.compile(r"\[(\w+)::\s*\[\[([^\]|]+)(?:\|([^\]]+))?\]\]\]|\[\[([^\]|]+)(?:\|([^\]]+))?\]\]")
+_ITEM_LINK, _INLINE = re.compile(LIST_LINK, re.S | re.A), re.compile(INLINE_LINK, re.A)
+#: The names of the leading prose by type.
 LEADING = {"Source": "abstract", "Entity": "definition", "Resource": "relevance"}
 TRAILING = "notes"
 
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:\s+(.*?))?\s*#*\s*$")
 _BULLET = re.compile(r"^( {0,3})([-*+]|\d{1,9}[.)])(?:\s+(.*))?$")
 _FENCE = re.compile(r"^ {0,3}(```+|~~~+)\s*(.*?)\s*$")
-_BOLD = re.compile(r"^\*\*([^*]+)\*\*:?$")
+_BOLD = re.compile(r"^\*\*([^*]+)\*\*$")
 
 
 @dataclass

@@ -1,17 +1,22 @@
 """Reading folders of documents into the tables of a graph.
 
-Paths are listed by the driver, since file sources hide names that begin with a
-dot or an underscore; contents are read and parsed by the executors.
+Paths of a local folder are listed by the driver, since file sources hide names
+that begin with a dot or an underscore; those of a path with a scheme by Spark.
+Contents are read and parsed by the executors, and documents written by them.
 """
 
 from __future__ import annotations
 
 import os
+import shutil
 import urllib.request
+import uuid
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.text import parse_date
 from ..model import Graph, GraphError, InvalidSchema
@@ -82,8 +87,31 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return frame
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """(path, raw, err) of all documents under a path of any file system that Spark reads.
+
+    Folders are listed by Spark, in jobs where there are many, and contents read by
+    the executors.  Left out are the marker and schema folders, and names that
+    Spark's sources hide (those that begin with a dot or an underscore).
+    """
+    conf, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files = at.getFileSystem(conf)
+    if not files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, MARKER)):
+        raise GraphError(f"{root} holds no graph")
+    top = files.makeQualified(at).toUri().getPath().rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    local = F.regexp_replace("path", r"^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    relative = F.substring(local, len(top) + 2, 1 << 20)
+    good = F.expr("is_valid_utf8(content)")
+    return rows.select(relative.alias("path"), F.when(good, F.decode("content", "UTF-8")).alias("raw"), F.when(~good, "not UTF-8").alias("err"))
+
+
 def read(spark: SparkSession, root: str, schema: Schema | None = None) -> DataFrame:
-    """Parsed documents of a folder."""
+    """Parsed documents of a folder, or of a path with a scheme on any file system."""
+    if "://" in root or root.startswith("file:"):
+        found = listed(spark, root)
+        bad = found.where("err is not null").select("path", "err").mapInPandas(lambda frames: (_frame([_row(p, None, e, None) for p, e in zip(f["path"], f["err"])]) for f in frames), PARSED)
+        return parse(found.where("err is null"), schema).unionByName(bad)
     guard(root)
     paths = walk(root)
 
@@ -194,6 +222,65 @@ def init(root: str, schema: Schema) -> list[str]:
     return made
 
 
+class Documents(DataSource):
+    """A sink of documents (path, raw) as files of a folder that the driver and all executors share.
+
+    Tasks write into a folder of their own under the marker; when all are done, the
+    driver moves the files to their places.  If one fails, nothing is there.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "graphloom-documents"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], uuid.uuid4().hex)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    folder: str
+    paths: list[str]
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, root: str, job: str):
+        self.root, self.pending = root.removeprefix("file://"), os.path.join(root.removeprefix("file://"), MARKER, f"pending-{job}")
+
+    def write(self, rows) -> WriterCommitMessage:
+        folder, paths = os.path.join(self.pending, uuid.uuid4().hex), []
+        for row in rows:
+            path = os.path.normpath(row["path"])
+            if os.path.isabs(path) or path.startswith("..") or path.split(os.sep)[0] == MARKER:
+                raise GraphError(f"{row['path']} is outside the graph")
+            write_node(folder, path, row["raw"])
+            paths.append(path)
+        return _Written(folder, paths)
+
+    def commit(self, messages) -> None:
+        for done in messages:
+            for path in done.paths if done else ():
+                full = os.path.join(self.root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                os.replace(os.path.join(done.folder, path), full)
+        shutil.rmtree(self.pending, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        shutil.rmtree(self.pending, ignore_errors=True)
+
+
+def write(documents: DataFrame, root: str) -> None:
+    """Write documents (path, raw) into a graph's folder, from the executors, all or none.
+
+    GraphError, and nothing written, where a document of the graph can't be read
+    or is of an older form; null texts are empty documents.
+    """
+    spark = documents.sparkSession
+    require_readable(read(spark, root))
+    spark.dataSource.register(Documents)
+    documents.select("path", F.coalesce("raw", F.lit("")).alias("raw")).write.format(Documents.name()).mode("append").save(root)
+
+
 def write_node(root: str, path: str, text: str) -> None:
     full = os.path.join(root, path)
     os.makedirs(os.path.dirname(full), exist_ok=True)

@@ -206,3 +206,39 @@ def test_published_follows_its_policy(spark, store):
     assert value() == "2030-01-01"
     store.schema.predicates["published"] = replace(store.schema.predicates["published"], merge="lastWriteWin")
     assert value() == "2030-05-05"
+
+
+def test_schema_patches_last(spark, store):
+    from graphloom.model import InvalidSchema
+
+    text = "---\nkind: patch\ndocument: more\npublished: 2031-01-01\n---\n# Property\n\n## habitat\n```yaml\nrole: edge\nmerge: union\nlabel: Lives in\n```\n\nWhere it lives.\n"
+    done = store.apply_schema(text)
+    assert done.created == ["habitat"] and store.commits.count() == 1
+    assert store.apply_schema(text).unchanged == ["habitat"] and store.commits.count() == 1
+    grown = text.replace("Where it lives.", "Where it lives.\n\nThe waters in which the animal can be met.")
+    assert store.apply_schema(grown).updated == ["habitat"]
+    with pytest.raises(InvalidSchema):
+        store.apply_schema(text.replace("role: edge", "role: odd").replace("habitat", "other"))
+    again = GraphStore(spark, store.root, seed())
+    assert again.schema.predicates["habitat"] == store.schema.predicates["habitat"] and "animal" in again.schema.predicates["habitat"].description and "other" not in again.schema.predicates
+
+
+def test_documents_written_by_executors(spark, folder):
+    docs = [(f"entities/N{i} ü+%20.md", f'---\n"@id": "N{i} ü+%20"\n"@type": Entity\n---\n\n# N\n\nText {i}.\n') for i in range(40)] + [("deep/er/X.md", '---\n"@id": X\n"@type": Entity\n---\n')]
+    corpus.write(spark.createDataFrame(docs, "path string, raw string").repartition(4), f"file://{folder}")
+    for root in (folder, f"file://{folder}"):
+        got = {r["path"]: r["raw"] for r in corpus.read(spark, root).collect()}
+        assert got.items() >= dict(docs).items() and len(got) == 43
+    with pytest.raises(Exception, match="outside"):  # one task fails, so nothing of the others is there
+        corpus.write(spark.createDataFrame([(f"new/A{i}.md", "x") for i in range(20)] + [("../out.md", "x")], "path string, raw string").repartition(5), folder)
+    assert not (set(corpus.walk(folder)) ^ set(got)) and not [f for f in __import__("os").listdir(f"{folder}/{corpus.MARKER}") if f.startswith("pending")]
+    corpus.write_node(folder, "broken.md", "nothing")
+    with pytest.raises(GraphError, match="broken.md"):
+        corpus.write(spark.createDataFrame(docs[:1], "path string, raw string"), folder)
+    with pytest.raises(GraphError):
+        corpus.read(spark, f"file://{folder}/entities")
+
+
+def test_grep_text(spark, folder):
+    g = corpus.graph(corpus.read(spark, folder, corpus.read_schema(folder)))
+    assert "branching \x1b[1mcoral\x1b[0m" in service.grep_text(g, "coral", color=True) and "\x1b" not in service.grep_text(g, "coral")
