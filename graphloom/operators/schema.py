@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PREDICATES, TYPES, InvalidSchema
+from ..session import cut
 from .merge import OPS
 
 ROLES = ("meta", "text", "href", "edge", "link")
@@ -205,19 +206,43 @@ def contract(spark: SparkSession, types: dict[str, Type]) -> DataFrame:
     return spark.createDataFrame(rows, "type string, predicate string, required boolean")
 
 
+def _bases(types: DataFrame) -> DataFrame:
+    """(name, base): what each type extends, the root included."""
+    own = F.coalesce("bases", F.array().cast("array<string>"))
+    root = F.when(F.col("name").isin(*EXEMPT), F.array().cast("array<string>")).otherwise(F.array(F.lit(ROOT)))
+    return types.select("name", F.explode(F.array_distinct(F.concat(own, root))).alias("base"))
+
+
+def closure(types: DataFrame) -> DataFrame:
+    """(name, base): all that a type extends over any number of steps; a type in a cycle extends itself.
+
+    Paths double in each round, so the rounds grow with the logarithm of the
+    longest line of descent; each is a join, and its result is written once.
+    """
+    known = cut(_bases(types).distinct())
+    n = known.count()
+    while True:
+        two = known.select("name", F.col("base").alias("mid")).join(known.select(F.col("name").alias("mid"), "base"), "mid").select("name", "base")
+        known = cut(known.union(two).distinct())
+        if (more := known.count()) == n:
+            return known
+        n = more
+
+
+def problems(types: DataFrame, closed: DataFrame | None = None) -> DataFrame:
+    """(name, problem, detail) of a table of types: bases that aren't there, and types that extend themselves."""
+    missing = _bases(types).join(types.select(F.col("name").alias("base")), "base", "left_anti")
+    closed = closure(types) if closed is None else closed
+    return missing.select("name", F.lit("no base").alias("problem"), F.col("base").alias("detail")).union(closed.where("name = base").select("name", F.lit("cycle"), "base"))
+
+
 def contract_frame(types: DataFrame) -> DataFrame:
-    """The same from a table of types without cycles, as one recursive query: for schemas kept as tables."""
-    spark = types.sparkSession
-    types.createOrReplaceTempView("_graphloom_types")
-    exempt = ", ".join(f"'{x}'" for x in EXEMPT)
-    closed = spark.sql(f"""
-        WITH RECURSIVE up(name, base) AS (
-          SELECT name, name FROM _graphloom_types
-          UNION ALL
-          SELECT up.name, b.base FROM up JOIN (
-            SELECT name, explode(array_distinct(concat(bases, IF(name IN ({exempt}), array(), array('{ROOT}'))))) AS base FROM _graphloom_types
-          ) b ON up.base = b.name
-        ) SELECT DISTINCT name, base FROM up""")
-    held = closed.join(types.select(F.col("name").alias("base"), "required", "optional"), "base")
+    """``contract`` of a table of types of any size; InvalidSchema that names the first types with a problem."""
+    closed = closure(types)
+    bad = problems(types, closed).orderBy("problem", "name").limit(5).collect()
+    if bad:
+        raise InvalidSchema("; ".join(f"type {r['name']}: {r['problem']} {r['detail']}" for r in bad))
+    line = closed.union(types.select("name", "name"))
+    held = line.join(types.select(F.col("name").alias("base"), "required", "optional"), "base")
     part = lambda c, r: held.select(F.col("name").alias("type"), F.explode(c).alias("predicate"), F.lit(r).alias("required"))
     return part("required", True).unionByName(part("optional", False)).groupBy("type", "predicate").agg(F.max("required").alias("required"))

@@ -558,34 +558,59 @@ def lint_summary(spark: SparkSession, d: str) -> DataFrame:
 
 # Schema
 
-_TYPES = {
-    t.name: t
-    for t in (
-        schemas.Type("Node", "", ("published", "created"), ("tags",), (), "-"),
-        schemas.Type("A", "", ("a",), ("x", "tags"), (), "-"),
-        schemas.Type("B", "", ("b",), ("a", "y"), ("A",), "-"),
-        schemas.Type("C", "", ("y",), ("c",), ("A", "Node"), "-"),
-        schemas.Type("D", "", (), ("d",), ("B", "C"), "-"),
-        schemas.Type("Class", "", (), ("description",), (), "-"),
-    )
-}
-
-
-@query("""SELECT * FROM (VALUES ('Node', 'published', true), ('Node', 'created', true), ('Node', 'tags', false),
-('A', 'a', true), ('A', 'published', true), ('A', 'created', true), ('A', 'x', false), ('A', 'tags', false),
-('B', 'b', true), ('B', 'a', true), ('B', 'published', true), ('B', 'created', true), ('B', 'y', false), ('B', 'x', false), ('B', 'tags', false),
-('C', 'y', true), ('C', 'a', true), ('C', 'published', true), ('C', 'created', true), ('C', 'c', false), ('C', 'x', false), ('C', 'tags', false),
-('D', 'b', true), ('D', 'a', true), ('D', 'y', true), ('D', 'published', true), ('D', 'created', true), ('D', 'd', false), ('D', 'c', false), ('D', 'x', false), ('D', 'tags', false),
-('Class', 'description', false)) t(type, predicate, required)""")
-def schema_effective_contract(spark: SparkSession, d: str) -> DataFrame:
-    """What types inherit, over several bases and a diamond."""
-    return schemas.contract(spark, _TYPES)
+def _types(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Types (name, required, optional, bases) with the root."""
+    root = spark.createDataFrame([("Node", ["published"], ["tags"], [])], "name string, required array<string>, optional array<string>, bases array<string>")
+    return rows.select("name", "required", "optional", "bases").unionByName(root)
+
+
+def _brands(spark: SparkSession, d: str) -> DataFrame:
+    """A type for each brand of the parts and each half of its number, which it extends."""
+    brand, b, s = F.split("p_brand", "#")[1].cast("int"), F.col("b"), lambda c: c.cast("string")
+    number = rel.table(spark, d, "part").select(F.explode(F.array(*(F.floor(brand / k).cast("int") for k in (1, 2, 4, 8, 16)))).alias("b")).where("b > 0").distinct()
+    return number.select(F.concat(F.lit("Brand"), s(b)).alias("name"), F.array(F.concat(F.lit("r"), s(b))).alias("required"), F.array(F.concat(F.lit("o"), s(b % 3)), F.lit("published")).alias("optional"), F.when(b > 1, F.array(F.concat(F.lit("Brand"), s(F.floor(b / 2))))).alias("bases"))
 
 
-@query(ORACLE_SQL["schema_effective_contract"])
+_CONTRACT_SQL = """WITH RECURSIVE b AS (SELECT DISTINCT CAST(string_split(p_brand, '#')[2] AS INTEGER) AS b FROM part), n AS (SELECT DISTINCT unnest([b, b // 2, b // 4, b // 8, b // 16]) AS b FROM b),
+t AS (SELECT 'Brand' || b AS name, ['r' || b] AS req, ['o' || b % 3, 'published'] AS opt, CASE WHEN b > 1 THEN ['Brand' || b // 2, 'Node'] ELSE ['Node'] END AS bases FROM n WHERE b > 0
+  UNION ALL SELECT 'Node', ['published'], ['tags'], []),
+up(name, base) AS (SELECT name, name FROM t UNION SELECT up.name, u.base FROM up JOIN (SELECT name, unnest(bases) AS base FROM t) u ON up.base = u.name),
+c AS (SELECT up.name, unnest(req) AS predicate, true AS required FROM up JOIN t ON t.name = base UNION ALL SELECT up.name, unnest(opt), false FROM up JOIN t ON t.name = base)
+SELECT name AS type, predicate, bool_or(required) AS required FROM c GROUP BY ALL"""
+
+
+@query(_CONTRACT_SQL)
+def schema_effective_contract(spark: SparkSession, d: str) -> DataFrame:
+    """What the types of brands inherit, as a schema that the driver holds."""
+    rows = _types(spark, _brands(spark, d)).collect()  # as many as brands
+    return schemas.contract(spark, {r["name"]: schemas.Type(r["name"], "", tuple(r["required"]), tuple(r["optional"]), tuple(r["bases"] or ()), "-") for r in rows})
+
+
+@query("""WITH RECURSIVE b AS (SELECT DISTINCT CAST(string_split(p_brand, '#')[2] AS INTEGER) AS b FROM part), n AS (SELECT DISTINCT unnest([b, b // 2, b // 4, b // 8, b // 16]) AS b FROM b),
+t AS (SELECT 'Brand' || b AS name, ['r' || b] AS req, ['o' || b % 3, 'published'] AS opt, CASE WHEN b > 1 THEN ['Brand' || b // 2, 'Node'] ELSE ['Node'] END AS bases FROM n WHERE b > 0
+  UNION ALL SELECT 'Part' || p_partkey, [lower(string_split(p_type, ' ')[1])], ['size', 'r1'], ['Brand' || string_split(p_brand, '#')[2], 'Node'] FROM part
+  UNION ALL SELECT 'Node', ['published'], ['tags'], []),
+up(name, base) AS (SELECT name, name FROM t UNION SELECT up.name, u.base FROM up JOIN (SELECT name, unnest(bases) AS base FROM t) u ON up.base = u.name),
+c AS (SELECT up.name, unnest(req) AS predicate, true AS required FROM up JOIN t ON t.name = base UNION ALL SELECT up.name, unnest(opt), false FROM up JOIN t ON t.name = base)
+SELECT name AS type, predicate, bool_or(required) AS required FROM c GROUP BY ALL""")
 def schema_recursive_contract(spark: SparkSession, d: str) -> DataFrame:
-    """The same by a recursive query over a table of types."""
-    return schemas.contract_frame(schemas.Schema({}, _TYPES).frames(spark)[1])
+    """Contracts of a type for each part, over its brand and what that extends."""
+    p, s = rel.table(spark, d, "part"), lambda c: c.cast("string")
+    parts = p.select(F.concat(F.lit("Part"), s(F.col("p_partkey"))).alias("name"), F.array(F.lower(F.split("p_type", " ")[0])).alias("required"), F.array(F.lit("size"), F.lit("r1")).alias("optional"), F.array(F.concat(F.lit("Brand"), s(F.split("p_brand", "#")[1].cast("int")))).alias("bases"))
+    return schemas.contract_frame(_types(spark, _brands(spark, d).unionByName(parts)))
+
+
+@query("""WITH RECURSIVE t AS (SELECT c_custkey AS k, c_custkey - c_custkey % 40 + (c_custkey * c_custkey + 3) % 40 AS n FROM customer WHERE c_custkey % 50 <> 0),
+step AS (SELECT t.k, t.n FROM t JOIN t u ON u.k = t.n), walk(k, n) AS (SELECT k, n FROM step UNION SELECT walk.k, step.n FROM walk JOIN step ON step.k = walk.n)
+SELECT 'C' || k AS name, 'cycle' AS problem, 'C' || k AS detail FROM walk WHERE k = n UNION ALL SELECT 'C' || k, 'no base', 'C' || n FROM t WHERE n NOT IN (SELECT k FROM t)""")
+def schema_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Types that extend themselves or what isn't there, among a type for each customer."""
+    k = F.col("c_custkey")
+    base = k - k % 40 + (k * k + 3) % 40
+    c = rel.table(spark, d, "customer").where(k % 50 != 0)
+    none = F.array().cast("array<string>")
+    rows = c.select(F.concat(F.lit("C"), k.cast("string")).alias("name"), none.alias("required"), none.alias("optional"), F.array(F.concat(F.lit("C"), base.cast("string"))).alias("bases"))
+    return schemas.problems(_types(spark, rows))
 
 
 # Text forms

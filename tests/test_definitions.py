@@ -60,3 +60,16 @@ def test_stream(spark, tmp_path):
     stream = lambda: spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     ingest.append_log(stream(), f"{tmp_path}/log", f"{tmp_path}/c1").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/log").count() == 3
+
+
+def test_tables_of_types(spark):
+    from graphloom.operators import schema as schemas
+
+    table = lambda rows: spark.createDataFrame([(n, [f"r{n}"], [f"o{n}"], b) for n, b in rows], "name string, required array<string>, optional array<string>, bases array<string>")
+    line = [("Node", [])] + [(f"T{i}", [f"T{i - 1}"] if i else []) for i in range(20)]
+    got = {(r["type"], r["predicate"]): r["required"] for r in schemas.contract_frame(table(line)).collect()}
+    own = {n: schemas.Type(n, "", (f"r{n}",), (f"o{n}",), tuple(b)) for n, b in line}
+    assert got == {(t.name, p): p in t.required for t in schemas.effective(own).values() for p in t.required + t.optional}
+    with pytest.raises(InvalidSchema, match="T1: cycle T1.*T9: no base U"):
+        schemas.contract_frame(table([("Node", []), ("T1", ["T2"]), ("T2", ["T1"]), ("T9", ["U"])]))
+    assert not [t.name for t in spark.catalog.listTables()]
