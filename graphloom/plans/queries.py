@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import filters, graph, history, lint, merge, reads, timeline
+from ..operators import filters, graph, history, lint, merge, reads, relink, timeline
 from ..operators import schema as schemas
 from ..operators.grep import grep
 from ..session import shared_dir
@@ -744,3 +744,21 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     goal = rel.table(spark, d, "orders").where("o_orderkey = 1").join(rel.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(rel.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     goal = goal.select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("id"))
     return reads.path(e, "O1", goal, 4).select(F.array_join("path", ">").alias("path"))
+
+
+_NAMES_SQL = r"""d AS (SELECT doc_id, text, regexp_replace(text, '\[+[^\[\]]*\]+', '[', 'g') AS bare, regexp_extract(text, '^[^\s\[\]]+ [^\s\[\]]+') AS name FROM documents),
+names AS (SELECT doc_id AS target, name FROM d WHERE name <> '')"""
+
+
+def _titles(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Documents (id, raw), and as names their first two words."""
+    docs = rel.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("raw"))
+    return docs, docs.select("id", F.regexp_extract("raw", r"^[^\s\[\]]+ [^\s\[\]]+", 0).alias("name"))
+
+
+@query(rf"""WITH {_NAMES_SQL}, near AS (SELECT d.doc_id, n.name FROM d JOIN (SELECT DISTINCT name FROM names) n ON contains(bare, n.name)
+  WHERE regexp_matches(bare, '(^|[\t\n\f\r ])' || regexp_escape(n.name) || '($|[\t\n\f\r [:punct:]])'))
+SELECT near.doc_id, target FROM near JOIN names USING (name) WHERE target <> doc_id""")
+def relink_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that mention the first two words of another one."""
+    return relink.mentions(*_titles(spark, d)).select(F.col("id").cast("long").alias("doc_id"), F.col("target").cast("long").alias("target")).distinct()
