@@ -13,7 +13,7 @@ from ..functions.text import referrer_path, set_value
 from ..operators import lint, merge, store, timeline
 from ..operators.filters import Filter
 from ..operators.schema import Schema, contract, seed
-from ..session import shared_dir
+from ..session import cut, shared_dir
 from ..sources import codec, corpus
 from ..sources import relational as rel
 from . import service
@@ -172,7 +172,7 @@ def lint_documents(spark: SparkSession, d: str) -> DataFrame:
     schema = seed()
     docs, key = _part_documents(spark, d), F.regexp_extract("path", r"P(\d+)", 1).cast("long") % 5
     open_, bare = F.replace("raw", F.lit("---\n\"@id\""), F.lit("---\n<<<<<<< existing\n\"@id\"")), F.replace("raw", F.lit('"@id"'), F.lit("@id"))
-    parsed = corpus.parse(docs.select("path", F.when(key == 0, open_).when(key == 1, bare).otherwise(F.col("raw")).alias("raw")), schema)
+    parsed = cut(corpus.parse(docs.select("path", F.when(key == 0, open_).when(key == 1, bare).otherwise(F.col("raw")).alias("raw")), schema))  # all rules read it
     predicates, types = schema.frames(spark)
     found = lint.lint(parsed, corpus.graph(parsed), predicates, types, contract(spark, schema.types))
     return found.select("id", "rule", "detail", "line").distinct().groupBy("rule", "line").agg(F.count("*").alias("n"))
