@@ -14,9 +14,24 @@ from pyspark.sql import functions as F
 from .grep import lines
 
 RULES = (
-    "frontMatter uniqueBasename linkResolves sourceCitekey entityCategory derivedProvenance predicateCase predicateRegistered "
-    "citationPredicate unrecognizedKind ingestCommit mergeConflict typeRequires typeOptional identityQuoting predicateRole typeCase"
-).split()
+    "frontMatter",
+    "uniqueBasename",
+    "linkResolves",
+    "sourceCitekey",
+    "entityCategory",
+    "derivedProvenance",
+    "predicateCase",
+    "predicateRegistered",
+    "citationPredicate",
+    "unrecognizedKind",
+    "ingestCommit",
+    "mergeConflict",
+    "typeRequires",
+    "typeOptional",
+    "identityQuoting",
+    "predicateRole",
+    "typeCase",
+)
 
 #: The words of a category, by place.
 CATEGORY = (

@@ -15,75 +15,76 @@ from .merge import OPS
 ROLES = ("meta", "text", "href", "edge", "link")
 ROOT, EXEMPT = "Node", ("Node", "Property", "Class")  # every other type extends the root
 
-#: The seeded predicates, as name, role, merge policy, aligned term and label ("-" for none).
-SEED_PREDICATES = """
-tags meta union - -
-text text append schema:text -
-published meta immutable - -
-created meta immutable - -
-updated meta lastWriteWin - -
-indexed meta immutable graph:indexed -
-scoreZ meta validatedOverwrite graph:scoreZ -
-scoreC meta validatedOverwrite graph:scoreC -
-mentions link union schema:mentions -
-mentionedIn link union schema:subjectOf -
-broader edge union skos:broader -
-narrower edge union skos:narrower -
-isPartOf edge union dcterms:isPartOf -
-hasPart edge union schema:hasPart -
-requires edge union dcterms:requires -
-replaces edge union dcterms:replaces -
-isReplacedBy edge union dcterms:isReplacedBy -
-conformsTo edge union dcterms:conformsTo -
-related edge union skos:related -
-referencedBy edge union - -
-cites link append cito:cites -
-citesAsEvidence edge union cito:citesAsEvidence -
-citesAsAuthority edge union cito:citesAsAuthority -
-supports edge union cito:supports -
-confirms edge union cito:confirms -
-extends edge union cito:extends -
-critiques edge union cito:critiques -
-disputes edge union cito:disputes -
-refutes edge union cito:refutes -
-isCitedBy link union cito:isCitedBy -
-title meta immutable - -
-abstract text append - -
-authors meta union - -
-url meta fillIfEmpty - -
-doi meta fillIfEmpty - -
-category meta firstWriteWin - -
-aliases meta union - -
-definition text append - -
-notes text append - -
-ref meta immutable - -
-year meta fillIfEmpty - -
-status meta lastWriteWin - -
-relevance text append - -
-granularity meta immutable - -
-heading meta firstWriteWin - -
-period meta immutable graph:period -
-role meta immutable - -
-merge meta immutable - -
-label meta firstWriteWin - -
-aligned meta firstWriteWin - -
-description text append - -
-required link union - Requires
-optional link union - -
-subClassOf edge union rdfs:subClassOf -
-"""
-
-_RELATIONS = "broader narrower isPartOf hasPart requires replaces isReplacedBy conformsTo related referencedBy"
-#: The seeded types, as name: merge policy | required | optional | bases.
-SEED_TYPES = f"""
-Source: immutable | title abstract mentions | authors url cites doi indexed | Node
-Entity: union | category definition mentionedIn | aliases notes indexed mentions {_RELATIONS} | Node
-Resource: firstWriteWin | ref relevance | url isCitedBy authors year doi status notes indexed mentions mentionedIn {_RELATIONS} | Node
-Timeline: append | granularity cites period | heading indexed mentions mentionedIn | Node
-Node: union | published created | tags text updated scoreZ scoreC |
-Property: union | role merge description | label aligned |
-Class: union | | required optional description |
-"""
+PREFIX = "graph"  # of the terms that no public vocabulary has
+
+#: The seeded predicates, as name, role, merge policy, aligned term and label.
+SEED_PREDICATES = (
+    ("tags", "meta", "union", "", ""),
+    ("text", "text", "append", "schema:text", ""),
+    ("published", "meta", "immutable", "", ""),
+    ("created", "meta", "immutable", "", ""),
+    ("updated", "meta", "lastWriteWin", "", ""),
+    ("indexed", "meta", "immutable", PREFIX + ":indexed", ""),
+    ("scoreZ", "meta", "validatedOverwrite", PREFIX + ":scoreZ", ""),
+    ("scoreC", "meta", "validatedOverwrite", PREFIX + ":scoreC", ""),
+    ("mentions", "link", "union", "schema:mentions", ""),
+    ("mentionedIn", "link", "union", "schema:subjectOf", ""),
+    ("broader", "edge", "union", "skos:broader", ""),
+    ("narrower", "edge", "union", "skos:narrower", ""),
+    ("isPartOf", "edge", "union", "dcterms:isPartOf", ""),
+    ("hasPart", "edge", "union", "schema:hasPart", ""),
+    ("requires", "edge", "union", "dcterms:requires", ""),
+    ("replaces", "edge", "union", "dcterms:replaces", ""),
+    ("isReplacedBy", "edge", "union", "dcterms:isReplacedBy", ""),
+    ("conformsTo", "edge", "union", "dcterms:conformsTo", ""),
+    ("related", "edge", "union", "skos:related", ""),
+    ("referencedBy", "edge", "union", "", ""),
+    ("cites", "link", "append", "cito:cites", ""),
+    ("citesAsEvidence", "edge", "union", "cito:citesAsEvidence", ""),
+    ("citesAsAuthority", "edge", "union", "cito:citesAsAuthority", ""),
+    ("supports", "edge", "union", "cito:supports", ""),
+    ("confirms", "edge", "union", "cito:confirms", ""),
+    ("extends", "edge", "union", "cito:extends", ""),
+    ("critiques", "edge", "union", "cito:critiques", ""),
+    ("disputes", "edge", "union", "cito:disputes", ""),
+    ("refutes", "edge", "union", "cito:refutes", ""),
+    ("isCitedBy", "link", "union", "cito:isCitedBy", ""),
+    ("title", "meta", "immutable", "", ""),
+    ("abstract", "text", "append", "", ""),
+    ("authors", "meta", "union", "", ""),
+    ("url", "meta", "fillIfEmpty", "", ""),
+    ("doi", "meta", "fillIfEmpty", "", ""),
+    ("category", "meta", "firstWriteWin", "", ""),
+    ("aliases", "meta", "union", "", ""),
+    ("definition", "text", "append", "", ""),
+    ("notes", "text", "append", "", ""),
+    ("ref", "meta", "immutable", "", ""),
+    ("year", "meta", "fillIfEmpty", "", ""),
+    ("status", "meta", "lastWriteWin", "", ""),
+    ("relevance", "text", "append", "", ""),
+    ("granularity", "meta", "immutable", "", ""),
+    ("heading", "meta", "firstWriteWin", "", ""),
+    ("period", "meta", "immutable", PREFIX + ":period", ""),
+    ("role", "meta", "immutable", "", ""),
+    ("merge", "meta", "immutable", "", ""),
+    ("label", "meta", "firstWriteWin", "", ""),
+    ("aligned", "meta", "firstWriteWin", "", ""),
+    ("description", "text", "append", "", ""),
+    ("required", "link", "union", "", "Requires"),
+    ("optional", "link", "union", "", ""),
+    ("subClassOf", "edge", "union", "rdfs:subClassOf", ""),
+)
+RELATIONS = ("broader", "narrower", "isPartOf", "hasPart", "requires", "replaces", "isReplacedBy", "conformsTo", "related", "referencedBy")
+#: The seeded types, as name, merge policy, required and optional predicates, and bases.
+SEED_TYPES = (
+    ("Source", "immutable", ("title", "abstract", "mentions"), ("authors", "url", "cites", "doi", "indexed"), ("Node",)),
+    ("Entity", "union", ("category", "definition", "mentionedIn"), ("aliases", "notes", "indexed", "mentions", *RELATIONS), ("Node",)),
+    ("Resource", "firstWriteWin", ("ref", "relevance"), ("url", "isCitedBy", "authors", "year", "doi", "status", "notes", "indexed", "mentions", "mentionedIn", *RELATIONS), ("Node",)),
+    ("Timeline", "append", ("granularity", "cites", "period"), ("heading", "indexed", "mentions", "mentionedIn"), ("Node",)),
+    ("Node", "union", ("published", "created"), ("tags", "text", "updated", "scoreZ", "scoreC"), ()),
+    ("Property", "union", ("role", "merge", "description"), ("label", "aligned"), ()),
+    ("Class", "union", (), ("required", "optional", "description"), ()),
+)
 
 
 @dataclass(frozen=True)
@@ -165,15 +166,11 @@ class Schema:
 
 def seed() -> Schema:
     """The schema of a new graph."""
-    blank = lambda s: "" if s == "-" else s
     out = Schema()
-    for line in SEED_PREDICATES.strip().splitlines():
-        name, role, merge, aligned, label = line.split()
-        out.predicates[name] = Predicate(name, role, merge, blank(label), blank(aligned), f"The predicate {name}, of role {role}.")
-    for line in SEED_TYPES.strip().splitlines():
-        name, rest = line.split(":", 1)
-        merge, required, optional, bases = (x.split() for x in rest.split("|"))
-        out.types[name] = Type(name, merge[0], tuple(required), tuple(optional), tuple(bases), f"The type {name}.")
+    for name, role, merge, aligned, label in SEED_PREDICATES:
+        out.predicates[name] = Predicate(name, role, merge, label, aligned, f"The predicate {name}, of role {role}.")
+    for name, merge, required, optional, bases in SEED_TYPES:
+        out.types[name] = Type(name, merge, required, optional, bases, f"The type {name}.")
     return out
 
 

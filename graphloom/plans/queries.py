@@ -548,12 +548,13 @@ def lint_ingest_commit(spark: SparkSession, d: str) -> DataFrame:
     return lint.ingest_commit(nodes, commits).select("id", "detail")
 
 
-@query(f"WITH {NODES_SQL} SELECT count(*) AS checked, count(*) FILTER (type <> 'Nation') AS passing, count(*) FILTER (type = 'Nation') AS failing FROM nodes")
+@query("""WITH bad AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+SELECT count(*) AS checked, count(*) - (SELECT count(*) FROM bad) AS passing, (SELECT count(*) FROM bad) AS failing FROM orders""")
 def lint_summary(spark: SparkSession, d: str) -> DataFrame:
-    """How many documents pass."""
-    nodes = rel.nodes(spark, d)
-    bad = nodes.where("type = 'Nation'").select(F.lit("x").alias("rule"), "id")
-    return lint.summary(nodes.select(F.col("id").alias("path")), bad)
+    """How many documents pass: orders whose customer is there."""
+    known = rel.table(spark, d, "customer").where("c_acctbal > 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("id"))
+    bad = lint.link_resolves(rel.edges(spark, d, ("placedBy",)), known)
+    return lint.summary(rel.nodes(spark, d, ("Order",)).select(F.concat(F.lit("orders/"), "id", F.lit(".md")).alias("path")), bad)
 
 
 # Schema
