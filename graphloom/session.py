@@ -31,3 +31,8 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*(f"`{c}`" for c in df.columns))
+
+
+def spread(df: DataFrame, rows: int = 4000) -> DataFrame:
+    """The rows dealt over tasks of about so many, for a narrow table whose rows are much work each: a small file is read by one task."""
+    return df.repartition(max(1, min(-(-df.count() // rows), 10_000)))

@@ -14,7 +14,7 @@ import uuid
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -133,8 +133,8 @@ def read(spark: SparkSession, root: str, schema: Schema | None = None) -> DataFr
 def graph(parsed: DataFrame) -> Graph:
     """The tables of readable documents; of one id the greatest path counts."""
     good = parsed.where("err is null")
-    latest = good.groupBy("id").agg(F.max("path").alias("path"))
-    good = good.join(latest, ["id", "path"])
+    # one pass over the documents: a join with the greatest paths would parse them twice
+    good = good.where("path is not null").withColumn("_place", F.rank().over(Window.partitionBy("id").orderBy(F.desc("path")))).where("_place = 1").drop("_place")
     nodes = good.select("id", "type", parse_date(F.col("published")).alias("published"), "path", "raw")
     attrs = good.select("id", F.explode("attrs").alias("a")).select("id", "a.*", F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("alias"))
     texts = good.select("id", F.explode("texts").alias("t")).select("id", "t.*")

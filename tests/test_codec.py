@@ -116,3 +116,38 @@ def test_node_round_trip(attrs, lead, edges, date):
 @pytest.mark.parametrize(("value", "shown"), [(None, ""), (True, "true"), (1.0, "1"), (2.5, "2.5"), ([1, "a"], "[1 a]"), ({"b": 1, "a": 2}, "map[a:2 b:1]")])
 def test_show(value, shown):
     assert codec.show(value) == shown
+
+
+HEADS = ["a: 1\nb: [x, 2.5, true]\n", "a: !x", "a: >#b", "a: |\n  b\n", "[b ?c]", "a: 'b", "a:\t1", "a: \x85b", "a: 2031-02-03\n\"@id\": P1", "{a: b, c: ~}", "a: b: c", "x: \ue000"]
+
+
+@pytest.mark.parametrize("head", HEADS)
+def test_compiled_yaml_reads_as_the_plain_one(head):
+    def read(load):
+        try:
+            return repr(load(head))
+        except codec.yaml.YAMLError as e:
+            return str(e)
+
+    assert read(codec._load) == read(codec.yaml.safe_load)
+
+
+@pytest.mark.parametrize("value", ["a b", "a  b", "yes", "Null", "n", "a_1", "1a", "", "a ", True, ["a", "b c"], ["a", "no"], [], ["a", 1], 1])
+def test_values_written_without_the_emitter(value):
+    plain = codec.yaml.safe_dump(value, default_flow_style=True, allow_unicode=True, width=1 << 20).strip().removesuffix("\n...").strip()
+    assert codec._dump(value) == plain
+
+
+def test_documents_are_parsed_once_and_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.session import spread
+    from graphloom.sources import corpus
+
+    doc = F.concat(F.lit('---\n"@id": P'), (F.col("id") % 7).cast("string"), F.lit('\n"@type": Entity\n---\nWords ['), F.lit("[X]].\n"))
+    docs = spread(spark.range(20, numPartitions=1), 5).select(F.concat(F.lit("a/"), "id").alias("path"), doc.alias("raw"))
+    assert docs.select(F.spark_partition_id()).distinct().count() == 4
+    g = corpus.graph(corpus.parse(docs, seed()))
+    for table in (g.nodes, g.texts, g.hrefs):
+        assert table._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {r["path"] for r in g.nodes.collect()} == {f"a/{max((i for i in range(20) if i % 7 == k), key=str)}" for k in range(7)}
