@@ -1,7 +1,8 @@
 """Proposed links: names of nodes that prose mentions without linking to them.
 
-Names make automata of at most BLOCK_BYTES of names each; one after the other is
-broadcast, and every text is read once for each.  A mention stands between white
+Distinct names make automata of about BLOCK_BYTES of names each; they are
+broadcast, every text is read once for each, and the nodes that have a name are
+joined to its places.  A mention stands between white
 space or the text's start and white space, punctuation or its end, and touches
 no brackets.  Of mentions that overlap, the first counts, and of those that begin
 together the longest.
@@ -19,48 +20,83 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+from ..session import cut
+
+BLOCK_BYTES = 2 << 20
+AT_ONCE = 20_000  # places that a task holds before it hands them on
 _BRACKETS = re.compile(r"\[+[^\[\]]*\]+")
 _BEFORE, _AFTER = frozenset("\t\n\f\r "), frozenset("\t\n\f\r " + string.punctuation)
 
 
-def mentions(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, start, end, target): every mention in documents (id, raw) of the names (id, name) of other nodes, overlapping ones too.
+def _known(names: DataFrame) -> DataFrame:
+    return names.where("coalesce(name, '') <> ''").select(F.col("id").cast("string").alias("id"), "name").distinct()
 
-    Places count characters.  Null texts have none, null and empty names are
-    mentioned nowhere; of nodes with one name each is a target.
+
+def places(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, start, end, name): every place in documents (id, raw) where one of the names (column name) is mentioned, whoever has it.
+
+    Automata hold each name once, however many nodes have it, and not the nodes.
     """
     spark = docs.sparkSession
-    known = names.where("coalesce(name, '') <> ''").select(F.col("id").cast("string").alias("id"), "name").distinct()
-    size = known.agg(F.sum(F.octet_length("name") + F.octet_length("id"))).first()[0] or 0
-    blocks = max(1, math.ceil(2 * size / block_bytes))
+    known = cut(names.where("coalesce(name, '') <> ''").select("name").distinct())
+    size = known.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
     out = None
     for block in range(blocks):
-        automaton, of = ahocorasick.Automaton(), {}
-        for r in known.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).collect():  # about half of block_bytes
-            of.setdefault(r["name"], []).append(r["id"])
-        for name, ids in of.items():
-            automaton.add_word(name, (len(name), tuple(sorted(ids))))
-        automaton.make_automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for r in known.where(F.pmod(F.xxhash64("name"), F.lit(blocks)) == block).toLocalIterator():  # about block_bytes
+            automaton.add_word(r["name"])
+        some = len(automaton) > 0
+        if some:
+            automaton.make_automaton()
         sent = spark.sparkContext.broadcast(automaton)
 
-        def run(frames: Iterator[pd.DataFrame], sent=sent, some=bool(of)) -> Iterator[pd.DataFrame]:
+        def run(frames: Iterator[pd.DataFrame], sent=sent, some=some) -> Iterator[pd.DataFrame]:
+            made = lambda rows: pd.DataFrame(rows, columns=["id", "start", "end", "name"]).astype({"start": "int32", "end": "int32"})
+            rows = []
             for frame in frames:
-                rows = []
                 for id_, raw in zip(frame["id"], frame["raw"]) if some else ():
-                    spans = [m.span() for m in _BRACKETS.finditer(raw)] if raw and "[" in raw else []
-                    for last, (length, targets) in sent.value.iter(raw or ""):
-                        start, end = last + 1 - length, last + 1
-                        if (start and raw[start - 1] not in _BEFORE) or (end < len(raw) and raw[end] not in _AFTER) or any(s < end and start < e for s, e in spans):
+                    spans = _spans(raw) if raw else []
+                    at = 0
+                    for start, end in sorted((last + 1 - length, last + 1) for last, length in sent.value.iter(raw or "")):
+                        if (start and raw[start - 1] not in _BEFORE) or (end < len(raw) and raw[end] not in _AFTER):
+                            continue
+                        while at < len(spans) and spans[at][1] <= start:
+                            at += 1
+                        if at < len(spans) and spans[at][0] < end:
                             continue
-                        rows += [(id_, start, end, t) for t in targets if t != id_]
-                yield pd.DataFrame(rows, columns=["id", "start", "end", "target"]).astype({"start": "int32", "end": "int32"})
+                        rows.append((id_, start, end, raw[start:end]))
+                    if len(rows) >= AT_ONCE:
+                        yield made(rows)
+                        rows = []
+            yield made(rows)
 
-        found = docs.select(F.col("id").cast("string").alias("id"), "raw").mapInPandas(run, "id string, start int, end int, target string")
+        found = docs.select(F.col("id").cast("string").alias("id"), "raw").mapInPandas(run, "id string, start int, end int, name string")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _spans(raw: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _BRACKETS.finditer(raw)] if "[" in raw else []
+
+
+def mentions(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, start, end, target): every mention in documents (id, raw) of the names (id, name) of other nodes, overlapping ones too.
+
+    Places count characters.  Null texts have none, null and empty names are
+    mentioned nowhere; of nodes with one name each is a target.
+    """
+    to = _known(names).withColumnRenamed("id", "target")
+    return places(docs, names, block_bytes).join(to, "name").where("target <> id").select("id", "start", "end", "target")
+
+
+def mentioned(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, target): the nodes that each document mentions, once, however often it does; nodes are joined to each name of a document once."""
+    to = _known(names).withColumnRenamed("id", "target")
+    own = places(docs, names, block_bytes).select("id", "name").distinct()
+    return own.join(to, "name").where("target <> id").select("id", "target")
+
+
 def proposals(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, start, end, targets): the mentions that links are proposed for, with the nodes that have the name.
 

@@ -38,3 +38,13 @@ def test_proposals(spark):
         found = relink.proposals(docs, known, size)
         assert sorted((x["id"], x["start"], x["end"], x["targets"]) for x in found.collect()) == want
     assert relink.proposals(docs, known.limit(0)).count() == 0 and relink.proposals(docs.limit(0), known).count() == 0
+
+
+def test_nodes_of_one_name_are_joined_to_its_places(spark):
+    names = spark.createDataFrame([(str(i), "coral reef") for i in range(300)] + [("n", "sea")], "id string, name string")
+    docs = spark.createDataFrame([("7", "coral reef, coral reef sea"), ("x", "the coral reef")], "id string, raw string")
+    found = relink.places(docs, names)
+    assert sorted(tuple(r) for r in found.collect()) == [("7", 0, 10, "coral reef"), ("7", 12, 22, "coral reef"), ("7", 23, 26, "sea"), ("x", 4, 14, "coral reef")]
+    assert relink.mentions(docs, names).count() == 2 * 299 + 1 + 300
+    got = sorted(tuple(r) for r in relink.mentioned(docs, names).collect())
+    assert got == sorted([("7", str(i)) for i in range(300) if i != 7] + [("7", "n")] + [("x", str(i)) for i in range(300)])
