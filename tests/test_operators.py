@@ -222,3 +222,15 @@ def test_adjacency_is_the_graph_of_its_edges(spark, tmp_path, monkeypatch):
     assert len(calls) == 2  # each side was made once
     plan = laid.of("out", spark.createDataFrame([("n1",)], "id string"))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(id)" in plan
+
+
+def test_single_searches_lay_nothing_out(spark, monkeypatch):
+    from graphloom.plans import queries
+
+    def refuse(*_):
+        raise AssertionError("a layout of the whole graph for one search")
+
+    monkeypatch.setattr(queries.graph, "Adjacency", refuse)
+    monkeypatch.setattr(queries.graph, "isinstance", lambda x, t: t is not refuse and isinstance(x, t), raising=False)
+    for name in ("subgraph_capped", "subgraph_filter_after_cap", "boundary_stubs"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
