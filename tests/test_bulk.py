@@ -153,3 +153,11 @@ def test_many_contributions_to_one_node(spark):
     assert len(out["value"].split("\n\n")) == 50 and out["seq"] == 49
     flags = merge.merge_scalars(rows.where("seq < 2000"), "firstWriteWin").first()
     assert flags["conflict"] and flags["value"].count(">>>>>>> ") == 1999
+
+
+def test_patches_of_a_small_file_are_read_by_many_tasks(spark):
+    from graphloom.plans import documents
+
+    patches = documents._patches(spark, "/root/testdata/sf0.1")
+    per_task = [r["count"] for r in patches.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per_task) == 15_000 and max(per_task) < 8_000
