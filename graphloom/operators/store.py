@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +46,7 @@ COMMITS = "seq long, subject string, source_id string, message string, batch lon
 BATCHES = "batch long"
 SNAPSHOTS = "at long, bucket int, version long, through long, policies string"
 BUCKETS = 32  # of node ids, in a snapshot
+ROWS_AT_ONCE = 20_000  # contributions that a parsing task hands on
 HUB = 200  # contributions to one text beyond which it is merged in joins
 DEFINITIONS = "seq long, kind string, name string, body string"
 
@@ -83,7 +84,7 @@ def count_text(counts: dict[str, int]) -> str:
     return f"{sum(counts.values())} ({inner})" if counts else "0"
 
 
-def rows_of(patch: codec.Patch, seq: int, at: dt.datetime) -> list[tuple]:
+def rows_of(patch: codec.Patch, seq: int, at: dt.datetime | int) -> list[tuple]:
     """The contributions of a patch; timeline sections name further periods only."""
     out = []
     for i, n in enumerate(patch.nodes):
@@ -369,11 +370,14 @@ def parse(patches: DataFrame, schema: Schema) -> DataFrame:
     lie, once, and written by kind.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split(" ")[0] for c in CONTRIBUTIONS.split(", ")] + ["err"]
-        for frame in frames:
+        kinds = {"seq": pa.int64(), "node_seq": pa.int32(), "pos": pa.int32()}
+        for batch in batches:
+            stamps = batch.column(1)
+            kinds["at"] = stamps.type
             rows: list[tuple] = []
-            for seq, at, raw in zip(frame["seq"], frame["at"], frame["raw"]):
+            for seq, at, raw in zip(batch.column(0).to_pylist(), stamps.cast(pa.int64()).to_pylist(), batch.column(2).to_pylist()):
                 try:
                     patch = codec.parse_patch(raw, schema)
                     bad = next((n.id for n in patch.nodes if not n.id or "/" in n.id or n.id in (".", "..")), None)
@@ -386,12 +390,19 @@ def parse(patches: DataFrame, schema: Schema) -> DataFrame:
                             rows += [(seq, patch.document, i, n.id, n.type, "used", k, p, seen, None, n.labels.get(k, ""), at, None) for p, (k, seen) in enumerate(observed(n).items())]
                 except (GraphError, ValueError) as e:
                     rows.append((seq, *[None] * 10, at, str(e) or type(e).__name__))
-            made = pd.DataFrame(rows, columns=names)
-            for name in ("node_seq", "pos"):
-                made[name] = made[name].astype("Int32")
-            yield made
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield _batch(rows, names, kinds)
+                    rows = []
+            yield _batch(rows, names, kinds)
 
-    return cut(patches.select("seq", "at", "raw").mapInPandas(run, f"{CONTRIBUTIONS}, err string"), "kind")
+    return cut(patches.select(F.col("seq").cast("long"), F.col("at").cast("timestamp"), "raw").mapInArrow(run, f"{CONTRIBUTIONS}, err string"), "kind")
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    # times are counts of microseconds until here
+    made = [pa.array(c, pa.int64()).cast(kinds[n]) if n == "at" else pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, columns)]
+    return pa.RecordBatch.from_arrays(made, names=names)
 
 
 def ingest(patches: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:

@@ -161,3 +161,11 @@ def test_patches_of_a_small_file_are_read_by_many_tasks(spark):
     patches = documents._patches(spark, "/root/testdata/sf0.1")
     per_task = [r["count"] for r in patches.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(per_task) == 15_000 and max(per_task) < 8_000
+
+
+def test_parsed_patches_keep_their_times(spark):
+    texts = [patch(f"doc-{i}", random.Random(i)) for i in range(3)] + ["nothing"]
+    at = [dt.datetime(2031, 6, 1, 12, 0, i, 7) for i in range(4)]
+    given = spark.createDataFrame(list(zip(range(4), at, texts)), "seq int, at timestamp, raw string")
+    rows = module.parse(given, seed()).select("seq", "at", "err").distinct().collect()
+    assert {(r["seq"], r["at"]) for r in rows} == set(enumerate(at)) and [r["seq"] for r in rows if r["err"]] == [3]

@@ -151,3 +151,14 @@ def test_documents_are_parsed_once_and_in_many_tasks(spark):
     for table in (g.nodes, g.texts, g.hrefs):
         assert table._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert {r["path"] for r in g.nodes.collect()} == {f"a/{max((i for i in range(20) if i % 7 == k), key=str)}" for k in range(7)}
+
+
+def test_labels_are_gathered_only_where_a_title_needs_them(monkeypatch):
+    from graphloom.operators.schema import Schema, seed
+
+    asked = []
+    real = Schema.by_label
+    monkeypatch.setattr(Schema, "by_label", lambda self: asked.append(1) or real(self))
+    patch = "---\nkind: patch\ndocument: d\npublished: 2031-01-01\n---\n# Entity\n\n## A\n\nPlain words.\n\n- broader:: [[B]]\n\n## C\n```yaml\ntitle: c\n```\n\nMore.\n\n# Source\n\n## d\n```yaml\ntitle: d\n```\n\n**Mentions**\n- mentions:: [[C]]\n"
+    made = codec.parse_patch(patch, seed())
+    assert [n.id for n in made.nodes] == ["C", "d"] and made.nodes[1].edges[0].target == "C" and len(asked) == 1
