@@ -2,7 +2,10 @@
 
 Paths of a local folder are listed by the driver, since file sources hide names
 that begin with a dot or an underscore; those of a path with a scheme by Spark.
-Contents are read and parsed by the executors, and documents written by them.
+Contents are read and parsed by the executors, and documents written by them:
+one file each, or many in packs, as a file takes a block of the file system
+however short it is.  Packs are Parquet tables (path, raw) under the marker; of
+one path the last pack counts, and a file beside them, which people edit, before all.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import shutil
 import urllib.request
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,7 +27,7 @@ from ..model import Graph, GraphError, InvalidSchema
 from ..operators.schema import Predicate, Schema, Type
 from . import codec
 
-MARKER, SCHEMA = ".graph", "_schema"
+MARKER, SCHEMA, PACKS = ".graph", "_schema", "packs"
 #: the folders of a new graph
 FOLDERS = ("sources", "entities", "resources", "timeline/yearly", "timeline/monthly", "_schema/types", "_schema/predicates")
 
@@ -106,8 +110,41 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
     return rows.select(relative.alias("path"), F.when(good, F.decode("content", "UTF-8")).alias("raw"), F.when(~good, "not UTF-8").alias("err"))
 
 
+def _pack_paths(spark: SparkSession, root: str) -> list[str]:
+    """The packs of a graph that were written to their end, in order."""
+    base = root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = make(f"{base}/{MARKER}/{PACKS}")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+    return [f"{base}/{MARKER}/{PACKS}/{n}" for n in names if files.exists(make(f"{base}/{MARKER}/{PACKS}/{n}/_SUCCESS"))]
+
+
+def packed(spark: SparkSession, root: str) -> DataFrame | None:
+    """(path, raw) of the documents in packs, of each path the last; None where there are no packs."""
+    packs = [spark.read.schema("path string, raw string").parquet(p) for p in _pack_paths(spark, root)]
+    if len(packs) < 2:
+        return packs[0] if packs else None
+    every = reduce(DataFrame.unionByName, [p.withColumn("_pack", F.lit(i)) for i, p in enumerate(packs)])
+    return every.groupBy("path").agg(F.max_by("raw", "_pack").alias("raw"))
+
+
 def read(spark: SparkSession, root: str, schema: Schema | None = None) -> DataFrame:
-    """Parsed documents of a folder, or of a path with a scheme on any file system."""
+    """Parsed documents of a folder, or of a path with a scheme on any file system, packed ones among them."""
+    files, more = _read_files(spark, root, schema), packed(spark, root)
+    if more is None:
+        return files
+    return files.unionByName(parse(more.join(_paths(spark, root), "path", "left_anti"), schema))
+
+
+def _paths(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the documents that are files."""
+    if "://" in root or root.startswith("file:"):
+        return listed(spark, root).select("path")
+    return spark.createDataFrame([(p,) for p in walk(root)], "path string")
+
+
+def _read_files(spark: SparkSession, root: str, schema: Schema | None) -> DataFrame:
     if "://" in root or root.startswith("file:"):
         found = listed(spark, root)
         bad = found.where("err is not null").select("path", "err").mapInPandas(lambda frames: (_frame([_row(p, None, e, None) for p, e in zip(f["path"], f["err"])]) for f in frames), PARSED)
@@ -222,6 +259,14 @@ def init(root: str, schema: Schema) -> list[str]:
     return made
 
 
+def _inner(path: str) -> str:
+    """A document's path within the graph; GraphError for one outside."""
+    made = os.path.normpath(path)
+    if os.path.isabs(made) or made.startswith("..") or made.split(os.sep)[0] == MARKER:
+        raise GraphError(f"{path} is outside the graph")
+    return made
+
+
 class Documents(DataSource):
     """A sink of documents (path, raw) as files of a folder that the driver and all executors share.
 
@@ -234,7 +279,9 @@ class Documents(DataSource):
         return "graphloom-documents"
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"], uuid.uuid4().hex)
+        made = _Writer(self.options["path"], uuid.uuid4().hex)
+        os.makedirs(made.pending)
+        return made
 
 
 @dataclass
@@ -249,11 +296,12 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows) -> WriterCommitMessage:
         folder, paths = os.path.join(self.pending, uuid.uuid4().hex), []
+        os.mkdir(folder)  # fails once the job is aborted
         for row in rows:
-            path = os.path.normpath(row["path"])
-            if os.path.isabs(path) or path.startswith("..") or path.split(os.sep)[0] == MARKER:
-                raise GraphError(f"{row['path']} is outside the graph")
-            write_node(folder, path, row["raw"])
+            path = _inner(row["path"])
+            _write_under(folder, os.path.dirname(path))
+            with open(os.path.join(folder, path), "w", encoding="utf-8") as f:
+                f.write(row["raw"])
             paths.append(path)
         return _Written(folder, paths)
 
@@ -266,21 +314,58 @@ class _Writer(DataSourceWriter):
         shutil.rmtree(self.pending, ignore_errors=True)
 
     def abort(self, messages) -> None:
-        shutil.rmtree(self.pending, ignore_errors=True)
+        # tasks that still run find their folder gone, and can't make it anew
+        gone = os.path.join(self.root, MARKER, f"aborted-{uuid.uuid4().hex}")
+        os.rename(self.pending, gone)
+        shutil.rmtree(gone, ignore_errors=True)
+
+
+def _write_under(folder: str, inner: str) -> None:
+    """Make the folders of ``inner`` in a folder that has to be there."""
+    at = folder
+    for name in inner.split(os.sep) if inner else ():
+        at = os.path.join(at, name)
+        try:
+            os.mkdir(at)
+        except FileExistsError:
+            pass
 
 
-def write(documents: DataFrame, root: str) -> None:
-    """Write documents (path, raw) into a graph's folder, from the executors, all or none.
+def write(documents: DataFrame, root: str, packs: bool = False) -> None:
+    """Write documents (path, raw) into a graph's folder, from the executors, all or none: as files, or as one more pack.
 
     GraphError, and nothing written, where a document of the graph can't be read
-    or is of an older form; null texts are empty documents.
+    or is of an older form, or where one for a pack is there as a file; null
+    texts are empty documents.
     """
     spark = documents.sparkSession
     require_readable(read(spark, root))
+    if packs:
+        _write_pack(documents, root)
+        return
     spark.dataSource.register(Documents)
     documents.select("path", F.coalesce("raw", F.lit("")).alias("raw")).write.format(Documents.name()).mode("append").save(root)
 
 
+def _write_pack(documents: DataFrame, root: str) -> None:
+    spark = documents.sparkSession
+
+    def inside(frames):
+        for frame in frames:
+            yield frame.assign(path=[_inner(p) for p in frame["path"]])
+
+    rows = documents.select("path", F.coalesce("raw", F.lit("")).alias("raw")).mapInPandas(inside, "path string, raw string")
+    files = _paths(spark, root)
+    there = None if files.isEmpty() else rows.join(files, "path", "left_semi").agg(F.min("path")).first()[0]
+    if there is not None:
+        raise GraphError(f"{there} is a file of the graph already")
+    done = _pack_paths(spark, root)
+    number = int(done[-1].rpartition("/")[2]) + 1 if done else 0
+    base = root if "://" in root or root.startswith("file:") else f"file://{os.path.abspath(root)}"
+    kept = rows.dropDuplicates(["path"]).sortWithinPartitions("path")
+    kept.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/{MARKER}/{PACKS}/{number:08d}")  # over what an aborted write has left
+
+
 def write_node(root: str, path: str, text: str) -> None:
     full = os.path.join(root, path)
     os.makedirs(os.path.dirname(full), exist_ok=True)

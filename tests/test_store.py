@@ -239,6 +239,38 @@ def test_documents_written_by_executors(spark, folder):
         corpus.read(spark, f"file://{folder}/entities")
 
 
+def test_an_aborted_write_leaves_no_folder_that_a_late_task_could_fill(folder):
+    import os
+
+    sink = corpus.Documents({"path": str(folder)}).writer(None, False)
+    assert os.path.isdir(sink.pending)
+    sink.abort([])
+    with pytest.raises(FileNotFoundError):
+        sink.write([{"path": "late/A.md", "raw": "x"}])
+    assert not [f for f in os.listdir(f"{folder}/{corpus.MARKER}") if f.startswith(("pending", "aborted"))]
+
+
+def test_documents_in_packs(spark, folder):
+    import os
+
+    doc = lambda i, text: (f"many/N{i}.md", f'---\n"@id": N{i}\n"@type": Entity\n---\n\n# N\n\n{text} {i}.\n')
+    table = lambda rows: spark.createDataFrame(rows, "path string, raw string").repartition(3)
+    files = corpus.walk(folder)
+    corpus.write(table([doc(i, "Old") for i in range(30)]), folder, packs=True)
+    corpus.write(table([doc(i, "New") for i in range(20, 40)]), f"file://{folder}", packs=True)
+    corpus.write(table([doc(0, "Edited")]), folder)
+    assert corpus.walk(folder) == sorted([*files, "many/N0.md"])  # packs take no file for each document
+    want = dict([*(doc(i, "Old") for i in range(20)), *(doc(i, "New") for i in range(20, 40)), doc(0, "Edited")])
+    for root in (folder, f"file://{folder}"):
+        rows = corpus.read(spark, root).collect()
+        assert {r["path"]: r["raw"] for r in rows if r["path"].startswith("many/")} == want and len(rows) == len(files) + 40
+    with pytest.raises(GraphError, match="many/N0.md"):
+        corpus.write(table([doc(0, "Hidden")]), folder, packs=True)
+    with pytest.raises(Exception, match="outside"):
+        corpus.write(table([("../out.md", "x")]), folder, packs=True)
+    assert len(os.listdir(f"{folder}/{corpus.MARKER}/{corpus.PACKS}")) == 2
+
+
 def test_grep_text(spark, folder):
     g = corpus.graph(corpus.read(spark, folder, corpus.read_schema(folder)))
     assert "branching \x1b[1mcoral\x1b[0m" in service.grep_text(g, "coral", color=True) and "\x1b" not in service.grep_text(g, "coral")
