@@ -11,8 +11,9 @@ smaller; so only prefixes are joined.
    group, whose rows are the union of its members' prefixes.  A group of copies
    that holds a third of all rows thus reaches the shuffle once for each task.
 2. In each shingle's list, every group is compared with the most typical one of
-   fitting size (a star, not all pairs); verified links join groups, and those
-   within NEAR of a centre make its wider group.
+   fitting size (a star, not all pairs): first with the centre that most of its
+   lists have, then with those that aren't of its component by then; verified
+   links join groups, and those within NEAR of a centre make its wider group.
 3. The token-group matrix holds, for each shingle, the wider groups with it in
    their union.  In ROUNDS further stars, with centres in several orders, one
    group of each component in a list is compared with the list's centre; this
@@ -356,10 +357,24 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     rows = grouped.where(F.size("rows") > 0).select(F.posexplode("rows").alias("at", "token"), F.col("centre").alias("node"), F.col("n_centre").alias("n"), "typical", "n_short")
     lists = store(_lists(rows.select("token", "node", "n", "typical", F.expr("at < n_short").alias("short")), percent), "lists")
-    star = store(lists.where("star <> node").select(F.col("node").alias("a"), F.col("star").alias("b")).distinct(), "stars")
-    star = store(_bounded(star, sets, star.select("a").union(star.select("b")).distinct()).where(F.col("low") <= most), "near-stars")
-    equal = star.where("low < 0").select("a", "b", F.lit(0.0).alias("distance"))
-    stars = store(equal.union(verify(store(star.where("low >= 0").select("a", "b").distinct(), "pairs"), docs, percent)), "links")
+    star = store(lists.where("star <> node").groupBy(F.col("node").alias("a"), F.col("star").alias("b")).agg(F.count("*").alias("shared")), "stars")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links (a, b, distance) among pairs of groups' centres."""
+        near = store(_bounded(pairs, sets, pairs.select("a").union(pairs.select("b")).distinct()).where(F.col("low") <= most), "near-stars")
+        equal = near.where("low < 0").select("a", "b", F.lit(0.0).alias("distance"))
+        out = store(equal.union(verify(store(near.where("low >= 0").select("a", "b").distinct(), "pairs"), docs, percent)), "links")
+        drop(near)
+        return out
+
+    # each group first meets the centre that most of its lists have; then the others, but those of its component
+    nearest = store(star.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("b"))).alias("x")).select("a", (-F.col("x.b")).alias("b")), "nearest")
+    stars = linked(nearest)
+    labels = components(stars.select("a", "b").union(copies).union(near))
+    of = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))
+    others = star.join(nearest, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    others = store(others.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b"), "others")
+    stars = stars.union(linked(others))
     labels = components(stars.select("a", "b").union(copies).union(near))
 
     best = stars.where(F.col("distance") <= 1 - NEAR / 100).groupBy("a").agg(F.min(F.struct("distance", "b")).alias("best"))
@@ -444,7 +459,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # links between components join whole components
     more = merged(more)
     wider = components(store(more if known is None else more.union(known), "more"))
-    for table in (lists, star, stars, homes, members, groups, matrix, opened, met, first, pairs):
+    for table in (lists, star, nearest, others, homes, members, groups, matrix, opened, met, first, pairs):
         drop(table)
     out = signed.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("node"))
     return out.join(wider, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("component_id"))

@@ -285,3 +285,23 @@ def test_sql(spark, name):
     df = queries.QUERIES[name](spark, data)
     assert df.columns == names
     assert sorted(map(tuple, df.collect())) == sorted(cur.fetchall())
+
+
+def test_a_group_of_near_copies_is_met_about_once_a_document(spark, monkeypatch):
+    import random
+
+    from graphloom.llm import jaccard as module
+
+    r = random.Random(1)
+    base = [f"w{r.randrange(5000)}" for _ in range(200)]
+
+    def text():
+        words = list(base)
+        for i in r.sample(range(200), 2):
+            words[i] = f"z{r.randrange(10**6)}"
+        return " ".join(words)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").repartition(8, "doc_id")
+    real, met = module._bounded, []
+    monkeypatch.setattr(module, "_bounded", lambda pairs, *more: (met.append(pairs.count()), real(pairs, *more))[1])
+    assert module.join(docs).select("component_id").distinct().count() == 1 and sum(met) < 2000
