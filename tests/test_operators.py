@@ -7,6 +7,7 @@ from graphloom.model import InvalidPattern, InvalidSchema, NodeNotFound
 from graphloom.operators import filters, graph, lint, merge
 from graphloom.operators import schema as schemas
 from graphloom.operators.grep import fit_window, grep
+from graphloom.sources import relational
 
 
 def edges(spark, pairs):
@@ -234,3 +235,9 @@ def test_single_searches_lay_nothing_out(spark, monkeypatch):
     monkeypatch.setattr(queries.graph, "isinstance", lambda x, t: t is not refuse and isinstance(x, t), raising=False)
     for name in ("subgraph_capped", "subgraph_filter_after_cap", "boundary_stubs"):
         assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_ends_are_counted_in_one_shuffle(spark):
+    ends = relational.ends(spark, "/root/testdata/sf0.001")
+    assert ends.count() == ends.select("id").distinct().count()
+    assert ends._jdf.queryExecution().toString().partition("== Physical Plan ==")[2].count("Exchange hashpartitioning") == 1
