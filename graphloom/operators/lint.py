@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .grep import lines
 
 RULES = (
@@ -197,25 +198,29 @@ def located(violations: DataFrame, docs: DataFrame) -> DataFrame:
     title = F.concat(F.lit("**"), F.upper(F.substring(d, 1, 1)), d.substr(F.lit(2), F.length(d)), F.lit("**"))
     needles = [F.concat(F.lit("[["), d, F.lit("]]")), F.concat(F.lit("[["), d, F.lit("|")), F.concat(d, F.lit(":: ")), F.concat(d, F.lit(":")), title, d]
     by_rule = F.when(F.col("rule") == "mergeConflict", F.lit("<<<<<<<")).when(F.col("rule") == "entityCategory", F.lit("category:")).when(F.col("rule").isin("typeCase", "unrecognizedKind"), F.lit("@type")).when(F.col("rule").isin("sourceCitekey", "identityQuoting"), F.lit("@id"))
-    at = lambda needle: F.nullif(F.array_position(F.transform("_lines", lambda x: x.contains(needle)), True), F.lit(0))
-    line = F.coalesce(F.when(by_rule.isNotNull(), at(by_rule)), F.when(d != "", F.coalesce(*map(at, needles))), F.lit(1))
-    text = docs.select("id", F.split("raw", "\n").alias("_lines"))
-    return violations.join(text, "id", "left").withColumn("line", line.cast("int")).drop("_lines")
+    at = lambda needle: F.when(~needle.contains("\n"), F.nullif(F.position(needle, F.col("_raw")), F.lit(0)))
+    place = F.coalesce(F.when(by_rule.isNotNull(), at(by_rule)), F.when(d != "", F.coalesce(*map(at, needles))))
+    before = F.substring(F.col("_raw"), F.lit(1), F.col("_place") - 1)
+    line = F.coalesce(F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1, F.lit(1))
+    text = docs.select("id", F.col("raw").alias("_raw"))
+    return violations.join(text, "id", "left").withColumn("_place", place).withColumn("line", line.cast("int")).drop("_raw", "_place")
 
 
 def lint(parsed: DataFrame, graph, predicates: DataFrame, types: DataFrame, contract: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     """All violations of a graph, each with the line that it shows in.  ``parsed`` is (path, id, type, raw, err) of every document, readable or not.
 
     A document with an open conflict is checked for nothing else of its own; one
-    that can't be read is only reported as such.
+    that can't be read is only reported as such.  What several rules read is
+    written once, without texts: else each rule would lay the documents out anew.
     """
-    conflicts = merge_conflict(parsed.withColumn("id", basename(F.col("path"))))
+    conflicts = cut(merge_conflict(parsed.withColumn("id", basename(F.col("path")))))
     clean = parsed.join(conflicts.select("path"), "path", "left_anti")
-    nodes = graph.nodes.join(conflicts.select("path"), "path", "left_anti").where(F.col("id") == basename(F.col("path")))
+    nodes = cut(graph.nodes.join(conflicts.select("path"), "path", "left_anti").where(F.col("id") == basename(F.col("path"))).select("id", "type", "published", "path"))
     ids = nodes.select("id")
-    own = lambda df, c: df.join(ids.withColumnRenamed("id", c), c, "left_semi")
-    attrs, texts, edges, hrefs = own(graph.attrs, "id"), own(graph.texts, "id"), own(graph.edges, "src"), own(graph.hrefs, "src")
-    used = occurrences(nodes, attrs, texts, edges, hrefs)
+    own = lambda df, c, *more: cut(df.join(ids.withColumnRenamed("id", c), c, "left_semi").select(c, *more))
+    attrs, texts = own(graph.attrs, "id", "key", "pos", "value_str"), own(graph.texts, "id", "key")
+    edges, hrefs = own(graph.edges, "src", "predicate", "dst"), own(graph.hrefs, "src", "predicate", "dst")
+    used = cut(occurrences(nodes, attrs, texts, edges, hrefs).distinct())
     links = hrefs.unionByName(edges)
     words = attrs.where("key = 'category'").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value_str"))), lambda x: x["value_str"]).alias("category"))
     found = [

@@ -241,3 +241,11 @@ def test_ends_are_counted_in_one_shuffle(spark):
     ends = relational.ends(spark, "/root/testdata/sf0.001")
     assert ends.count() == ends.select("id").distinct().count()
     assert ends._jdf.queryExecution().toString().partition("== Physical Plan ==")[2].count("Exchange hashpartitioning") == 1
+
+
+def test_lines_of_violations_are_counted_before_their_place(spark):
+    docs = spark.createDataFrame([("a", "---\nö: é\nkey: 1\n---\nSee [[x]]\nand [[é|b]]"), ("n", None)], "id string, raw string")
+    found = [("linkResolves", "a", "x"), ("linkResolves", "a", "é"), ("typeOptional", "a", "key"), ("frontMatter", "a", "1\n---"), ("frontMatter", "a", None), ("linkResolves", "n", "x"), ("linkResolves", "z", "x")]
+    out = lint.located(spark.createDataFrame(found, "rule string, id string, detail string"), docs)
+    assert {(r["rule"], r["id"], r["detail"]): r["line"] for r in out.collect()} == dict(zip(found, [5, 6, 3, 1, 1, 1, 1]))
+    assert "split(" not in out._jdf.queryExecution().toString()  # no document is cut into lines for each of its violations
