@@ -305,3 +305,13 @@ def test_a_group_of_near_copies_is_met_about_once_a_document(spark, monkeypatch)
     real, met = module._bounded, []
     monkeypatch.setattr(module, "_bounded", lambda pairs, *more: (met.append(pairs.count()), real(pairs, *more))[1])
     assert module.join(docs).select("component_id").distinct().count() == 1 and sum(met) < 2000
+
+
+def test_a_repeated_pair_of_words_is_looked_up_at_few_places(spark, monkeypatch):
+    texts = [(i, " ".join([f"h{i}x{k}" for k in range(7 * i)] + ["ping", "pong"] * 300 + [f"t{i}x{k}" for k in range(9)])) for i in range(6)]
+    real, looked = passages._uncovered, []
+    monkeypatch.setattr(passages, "_uncovered", lambda *x: (looked.append(real(*x).count()), real(*x))[1])
+    rows = passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    for i in range(1, 6):
+        assert {w for r in rows if r["doc_id"] == i for w in range(r["start"], r["end"])} == set(range(7 * i, 7 * i + 600))
+    assert 0 < looked[0] < 6 * 100  # of 556 places in each text
