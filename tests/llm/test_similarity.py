@@ -315,3 +315,42 @@ def test_a_repeated_pair_of_words_is_looked_up_at_few_places(spark, monkeypatch)
     for i in range(1, 6):
         assert {w for r in rows if r["doc_id"] == i for w in range(r["start"], r["end"])} == set(range(7 * i, 7 * i + 600))
     assert 0 < looked[0] < 6 * 100  # of 556 places in each text
+
+
+def test_a_passage_whose_seeds_first_stand_in_many_other_documents(spark):
+    rng = random.Random(21)
+    fill = lambda n: [f"f{rng.randrange(10**9)}" for _ in range(n)]
+    line, texts = fill(14), []
+    for i in range(300):  # the line alone, before, between and after
+        texts.append((10 * i, " ".join(fill(50) + line + fill(50))))
+    pairs = []
+    for k in range(20):
+        before, after = fill(18), fill(22)
+        a, b = 503 + 100 * k, 1503 + 61 * k
+        changed = [fill(1)[0] if i % 4 == 0 else w for i, w in enumerate(before)], [fill(1)[0] if i % 5 == 1 else w for i, w in enumerate(after)]
+        texts += [(min(a, b), " ".join(fill(30) + before + line + after + fill(40))), (max(a, b) + 1, " ".join(fill(35) + changed[0] + line + changed[1] + fill(20)))]
+        pairs.append((max(a, b) + 1, min(a, b)))
+    rng.shuffle(texts)
+    rows = passages.find(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {(r["doc_id"], r["ref_doc_id"]) for r in rows} == set(pairs)
+    assert all(r["n_same"] >= 0.8 * r["n_words"] and r["n_words"] >= passages.MIN_WORDS for r in rows)
+
+
+def test_first_occurrence_with_enough_same_words_against_brute_force():
+    r = np.random.default_rng(0)
+    n = 700
+    words = r.integers(0, 1 << 32, (n, 2 * passages.REACH), dtype=np.uint32) | np.uint32(1)
+    words[r.random(words.shape) < 0.8] = 7
+    words[::9, 70:] = 0  # where a text ends
+    words[::7, 20:40] = 0
+    doc, none = r.permutation(n) // 2, np.zeros(n, np.int64)
+    order = np.argsort(doc, kind="stable")
+
+    def score(a, b):
+        same = [-99 if 0 in (p, q) else int(p == q) for p, q in zip(a.tolist(), b.tolist())]
+        return passages.K + max(sum(same[:x]) + sum(same[passages.REACH : 2 * passages.REACH - x]) for x in range(passages.REACH + 1))
+
+    for after in (np.full(n, -1), doc // 2):
+        got = passages._first_of(doc, words, (after, none), doc, none, words)
+        want = [next((j for j in order.tolist() if after[i] < doc[j] < doc[i] and score(words[i], words[j]) >= 36), -1) for i in range(150)]
+        assert [doc[j] if j >= 0 else -1 for j in got[:150]] == [doc[j] if j >= 0 else -1 for j in want] and any(j >= 0 for j in want) and any(j < 0 for j in want)
