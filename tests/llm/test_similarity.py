@@ -339,7 +339,7 @@ def test_a_passage_whose_seeds_first_stand_in_many_other_documents(spark):
 def test_first_occurrence_with_enough_same_words_against_brute_force():
     r = np.random.default_rng(0)
     n = 700
-    words = r.integers(0, 1 << 32, (n, 2 * passages.REACH), dtype=np.uint32) | np.uint32(1)
+    words = r.integers(8, 1 << 16, (n, 2 * passages.REACH), dtype=np.uint16)
     words[r.random(words.shape) < 0.8] = 7
     words[::9, 70:] = 0  # where a text ends
     words[::7, 20:40] = 0
