@@ -354,3 +354,51 @@ def test_first_occurrence_with_enough_same_words_against_brute_force():
         got = passages._first_of(doc, words, (after, none), doc, none, words)
         want = [next((j for j in order.tolist() if after[i] < doc[j] < doc[i] and score(words[i], words[j]) >= 36), -1) for i in range(150)]
         assert [doc[j] if j >= 0 else -1 for j in got[:150]] == [doc[j] if j >= 0 else -1 for j in want] and any(j >= 0 for j in want) and any(j < 0 for j in want)
+
+
+def test_occurrences_of_a_common_line_are_compared_by_groups_of_words(monkeypatch):
+    r = np.random.default_rng(1)
+    n, reach = 3000, passages.REACH
+    words = r.integers(8, 1 << 16, (n, 2 * reach), dtype=np.uint16)
+    words[:, [0, 1, 2, 3, *range(reach, reach + 4)]] = np.arange(2, 10)  # the line around the seed
+    words[r.random(n) < 0.1, 60:] = 0  # where a text ends
+    for i in range(1000, n, 10):  # copies with a fifth of the words changed, at most
+        words[i] = words[i - 1000]
+        words[i, r.choice([*range(4, reach), *range(reach + 4, 2 * reach)], r.integers(4, 22), replace=False)] = 1
+    doc, none, of = np.arange(n) // 2, np.zeros(n, np.int64), np.arange(n) // 1500
+    want = passages._first_of_all(doc, words, (none - 1, none), doc, np.arange(n), words)
+    halves = [passages._first_of_all(doc[x], words[x], (none[x] - 1, none[x]), doc[x], np.arange(1500), words[x]) for x in (slice(1500), slice(1500, n))]
+    own = np.concatenate([halves[0], np.where(halves[1] < 0, -1, halves[1] + 1500)])
+    compared, whole = [], passages._first_of_all
+    monkeypatch.setattr(passages, "_first_of_all", lambda *x: (compared.append(len(x[0]) * len(x[3])), whole(*x))[1])
+    for size in (passages.ROWS_AT_ONCE, 700):
+        monkeypatch.setattr(passages, "ROWS_AT_ONCE", size)
+        assert (passages._first_of(doc, words, (none - 1, none), doc, np.arange(n), words) == want).all()
+        assert (passages._first_of(doc, words, (none - 1, none), doc, np.arange(n), words, of, of) == own).all()
+        assert size == 700 or not compared  # 4.5 million pairs before
+    assert 20 < (want >= 0).sum() < 250
+
+
+def test_a_row_is_sent_to_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(passages, "LIST", 10)
+    places = spark.range(5000).selectExpr("id % 2 * (id % 50) as key", "id as doc", "0 as pos")
+    blocks = {r["key"]: r["g"] for r in passages._blocks(places, "g").collect()}
+    assert blocks[0] == passages.MOST_BLOCKS and blocks[1] == passages.MOST_BLOCKS and len(blocks) == 26
+
+
+def test_shuffle_files_go_with_the_step_that_wrote_them(spark):
+    import os
+    import time
+
+    from graphloom.llm.workspace import store
+
+    files = lambda: sum(n.startswith("shuffle_") for p in folders for _, _, names in os.walk(p) for n in names)
+    folders = list(spark._jsc.sc().env().blockManager().diskBlockManager().localDirsString())
+    before = files()
+    out = store(spark.range(1000).repartition(7, "id").groupBy("id").count(), "counts")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and out.count() == 1000
+    assert store(out.repartition(3, "id"), "again").count() == 1000
