@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 BLOCK_BYTES = 2 << 20
+ROWS = 1_000_000  # results of a name that a task makes, about
+MOST_PARTS = 256  # of a name; beyond that a task makes more
 AT_ONCE = 20_000  # places that a task holds before it hands them on
 _BRACKETS = re.compile(r"\[+[^\[\]]*\]+")
 _BEFORE, _AFTER = frozenset("\t\n\f\r "), frozenset("\t\n\f\r " + string.punctuation)
@@ -93,8 +95,22 @@ def mentions(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES)
 def mentioned(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, target): the nodes that each document mentions, once, however often it does; nodes are joined to each name of a document once."""
     to = _known(names).withColumnRenamed("id", "target")
-    own = places(docs, names, block_bytes).select("id", "name").distinct()
-    return own.join(to, "name").where("target <> id").select("id", "target")
+    own = cut(places(docs, names, block_bytes).select("id", "name").distinct())
+    return _dealt(own, to).where("target <> id").select("id", "target")
+
+
+def _dealt(own: DataFrame, to: DataFrame) -> DataFrame:
+    """The documents (id, name) joined to the nodes (target, name) by name; the documents of a name with many results are dealt over tasks.
+
+    Few bytes make many rows here, so neither skew nor size of a partition tells.
+    """
+    sizes = own.groupBy("name").count().join(to.groupBy("name").agg(F.count("*").alias("nodes")), "name")
+    parts = cut(sizes.select("name", F.least(F.lit(MOST_PARTS), F.ceil(F.col("count") * F.col("nodes") / ROWS)).cast("int").alias("g")).where("g > 1"))
+    tasks = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    g = F.coalesce("g", F.lit(1))
+    one = own.join(parts, "name", "left").select("id", "name", F.pmod(F.xxhash64("id"), g).cast("int").alias("part"))
+    two = to.join(parts, "name", "left").select("target", "name", F.explode(F.sequence(F.lit(0), g - 1)).alias("part"))
+    return one.repartition(tasks, "name", "part").join(two.repartition(tasks, "name", "part").hint("merge"), ["name", "part"])
 
 
 def proposals(docs: DataFrame, names: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -48,3 +48,15 @@ def test_nodes_of_one_name_are_joined_to_its_places(spark):
     assert relink.mentions(docs, names).count() == 2 * 299 + 1 + 300
     got = sorted(tuple(r) for r in relink.mentioned(docs, names).collect())
     assert got == sorted([("7", str(i)) for i in range(300) if i != 7] + [("7", "n")] + [("x", str(i)) for i in range(300)])
+
+
+def test_documents_of_a_common_name_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(relink, "ROWS", 1000)
+    names = spark.createDataFrame([(str(i), "coral reef") for i in range(100)] + [("n", "sea")], "id string, name string")
+    docs = spark.createDataFrame([(f"d{i}", "a coral reef") for i in range(400)] + [("3", "coral reef"), ("s", "sea")], "id string, raw string")
+    found = relink.mentioned(docs, names)
+    assert found.count() == found.distinct().count() == 400 * 100 + 99 + 1
+    most = found.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 30_000
